@@ -208,7 +208,10 @@ def apply_stages(df: DataFrame, stages) -> DataFrame:
         elif isinstance(st, Agg):
             df = df.groupBy(*st.keys).agg(*[F.expr(sql).alias(a) for a, sql in st.cols])
         elif isinstance(st, Explode):
-            df = df.selectExpr(*st.keep, f"posexplode({st.arr}) AS ({st.pos}, {st.val})")
+            # outer form + null filter: the plain generator makes Catalyst infer a
+            # size(arr) > 0 filter below the exchange, evaluating ``arr`` twice
+            df = df.selectExpr(*st.keep, f"posexplode_outer({st.arr}) AS ({st.pos}, {st.val})")
+            df = df.where(F.col(st.val).isNotNull())
         else:
             raise TypeError(st)
     return df

@@ -41,7 +41,10 @@ def decode_entities(d: Dialect, x: str) -> str:
         f"WHEN {d.startswith('p', '&#')} THEN {_cp(d, dec)} "
         f"ELSE coalesce({d.map_get(d.map_lit(ENTITY_MAP), 'substring(p, 2, length(p) - 2)')}, p) END"
     )
-    return d.array_join(d.transform(d.rx_extract_all(x, ENTITY_PIECE_RE), "p", body), "")
+    decoded = d.array_join(d.transform(d.rx_extract_all(x, ENTITY_PIECE_RE), "p", body), "")
+    if x.isidentifier():  # cheap guard: only strings holding '&' go through the lambda
+        return f"(CASE WHEN instr({x}, '&') > 0 THEN {decoded} ELSE {x} END)"
+    return decoded
 
 
 def md_escape(d: Dialect, x: str) -> str:
@@ -65,12 +68,20 @@ def has_attr(d: Dialect, tok: str, name: str) -> str:
 DOT_PASSES = 8  # '..' segments resolved per path (each pass removes one level)
 
 
-def pct_encode_path(d: Dialect, x: str) -> str:
-    """Percent-encode characters outside printable ASCII and the path-unsafe set."""
-    safe = "^[!$-;=@-_a-z|~]$"  # printable ASCII except space " # < > ? ` { }
-    body = f"CASE WHEN {d.rlike('ch', safe)} THEN ch ELSE {d.rx_replace(d.utf8_hex('ch'), '(..)', '%$1')} END"
+PATH_SAFE_CLASS = "!$-;=@-_a-z|~"      # printable ASCII except space " # < > ? ` { }
+QUERY_SAFE_CLASS = "!$-&(-;=?-~"       # printable ASCII except space " # < > '
+FRAGMENT_SAFE_CLASS = "!#-;=?-_a-~"    # printable ASCII except space " < > `
+
+
+def pct_encode(d: Dialect, x: str, safe: str = PATH_SAFE_CLASS) -> str:
+    """UTF-8 percent-encode characters outside ``safe`` (a regex class body)."""
+    body = f"CASE WHEN {d.rlike('ch', '^[' + safe + ']$')} THEN ch ELSE {d.rx_replace(d.utf8_hex('ch'), '(..)', '%$1')} END"
     enc = d.array_join(d.transform(d.rx_extract_all(x, "(?s)."), "ch", body), "")
-    return f"(CASE WHEN {d.rlike(x, '[^!$-;=@-_a-z|~]')} THEN {enc} ELSE {x} END)"
+    return f"(CASE WHEN {d.rlike(x, '[^' + safe + ']')} THEN {enc} ELSE {x} END)"
+
+
+def pct_encode_path(d: Dialect, x: str) -> str:
+    return pct_encode(d, x, PATH_SAFE_CLASS)
 
 
 def remove_dots(d: Dialect, x: str) -> str:

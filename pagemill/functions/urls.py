@@ -171,7 +171,7 @@ def ipv6_serialize(groups: Column) -> Column:
 
 def ip_kind(ip: Column) -> Column:
     """Node's isIP: 4, 6 or 0."""
-    return F.when(ip.rlike(IPV4_RE), F.lit(4)).when(ipv6_groups(ip).isNotNull(), F.lit(6)).otherwise(F.lit(0))
+    return F.when(ip.rlike(IPV4_RE), F.lit(4)).when(ip.rlike(IPV6_RE) & ~ip.contains(":::"), F.lit(6)).otherwise(F.lit(0))
 
 
 # --- B5 -------------------------------------------------------------------
@@ -239,76 +239,90 @@ def is_private_address(ip, compat: bool = True) -> Column:
 
 
 # --- B1/B2/B3 -------------------------------------------------------------
-def parse_url(raw) -> Column:
-    """WHATWG-style parse + serialise of an absolute URL, as a struct:
-    (href, scheme, host, port, path, query, fragment, valid, needs_idna).
+def _stage(df: DataFrame, **cols) -> DataFrame:
+    return df.select("*", *[c.alias(k) for k, c in cols.items()])
 
-    href is NULL when the URL is invalid. Non-ASCII hosts are flagged ``needs_idna``;
-    ``normalise_urls`` converts them.
+
+def normalise_urls(df: DataFrame, col: str = "raw_url", out: str = "nu") -> DataFrame:
+    """B1 over a DataFrame: adds struct ``out`` = (href, protocol, host, port, path, valid).
+
+    WHATWG-style parse + serialise of an absolute URL: trim, drop tab/newline, lower-case
+    scheme and host, special-scheme slashes, numeric IPv4 hosts canonicalised, IPv6 hosts
+    serialised, default ports dropped, dot segments removed, path/query/fragment
+    percent-encoded; href NULL when invalid. Each step is a column of its own (no expression
+    is inlined twice). Non-ASCII host names go through one pandas UDF (IDNA), on those rows only.
     """
-    s = js_trim(_c(raw))
-    s = F.regexp_replace(s, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
-    s = F.regexp_replace(s, "[\\t\\n\\r]", "")
-    scheme = F.lower(F.regexp_extract(s, "^([A-Za-z][A-Za-z0-9+.\\-]*):", 1))
-    rest = F.substring(s, F.length(scheme) + 2, 1 << 30)
-    special = scheme.isin(*SPECIAL_SCHEMES)
-    after = F.when(special, F.regexp_replace(rest, "^[/\\\\]*", "")).otherwise(rest)
-    authority = F.regexp_extract(after, "^([^/\\\\?#]*)", 1)
-    remainder = F.substring(after, F.length(authority) + 1, 1 << 30)
-    userinfo = F.when(F.instr(authority, "@") > 0, F.regexp_extract(authority, "^(.*)@", 1))
-    hostport = F.regexp_replace(authority, "^.*@", "")
-    is_v6 = hostport.startswith("[")
-    v6_text = F.regexp_extract(hostport, "^\\[([^\\]]*)\\]", 1)
-    port_raw = F.when(is_v6, F.regexp_extract(hostport, "^\\[[^\\]]*\\](?::(.*))?$", 1)).otherwise(
-        F.regexp_extract(hostport, "^[^:]*(?::(.*))?$", 1))
-    has_colon = F.when(is_v6, F.regexp_replace(hostport, "^\\[[^\\]]*\\]", "").startswith(":")).otherwise(F.instr(hostport, ":") > 0)
-    host_raw = F.when(is_v6, v6_text).otherwise(F.regexp_extract(hostport, "^([^:]*)", 1))
-    host_l = F.lower(host_raw)
-    v4n = ipv4_number(host_l)
-    g6 = ipv6_groups(v6_text)
-    host = (
-        F.when(is_v6, F.concat(F.lit("["), ipv6_serialize(g6), F.lit("]")))
-        .when(ends_in_number(host_l), long_to_ipv4(v4n))
-        .otherwise(host_l)
-    )
-    port_ok = (port_raw == "") | port_raw.rlike("^[0-9]{1,5}$") & (port_raw.cast("int") <= 65535)
-    port_num = F.when(port_raw != "", port_raw.cast("int"))
+    base = df.columns
+    c = F.col
+    d = _stage(df, _s=F.regexp_replace(F.regexp_replace(js_trim(c(col)), "^[\\x00-\\x20]+|[\\x00-\\x20]+$", ""), "[\\t\\n\\r]", ""))
+    d = _stage(d, _scheme=F.lower(F.regexp_extract(c("_s"), "^([A-Za-z][A-Za-z0-9+.\\-]*):", 1)))
+    d = _stage(d, _special=c("_scheme").isin(*SPECIAL_SCHEMES), _rest=F.expr("substring(_s, length(_scheme) + 2)"))
+    d = _stage(d, _after=F.when(c("_special"), F.regexp_replace(c("_rest"), "^[/\\\\]*", "")).otherwise(c("_rest")))
+    d = _stage(d, _auth=F.regexp_extract(c("_after"), "^([^/\\\\?#]*)", 1))
+    d = _stage(d, _remainder=F.expr("substring(_after, length(_auth) + 1)"),
+               _userinfo=F.when(F.instr(c("_auth"), "@") > 0, F.regexp_extract(c("_auth"), "^(.*)@", 1)),
+               _hostport=F.regexp_replace(c("_auth"), "^.*@", ""))
+    d = _stage(d, _is_v6=c("_hostport").startswith("["))
+    d = _stage(d, _v6=F.regexp_extract(c("_hostport"), "^\\[([^\\]]*)\\]", 1),
+               _port_raw=F.when(c("_is_v6"), F.regexp_extract(c("_hostport"), "^\\[[^\\]]*\\](?::(.*))?$", 1))
+               .otherwise(F.regexp_extract(c("_hostport"), "^[^:]*(?::(.*))?$", 1)),
+               _host_raw=F.when(c("_is_v6"), F.regexp_extract(c("_hostport"), "^\\[([^\\]]*)\\]", 1))
+               .otherwise(F.regexp_extract(c("_hostport"), "^([^:]*)", 1)))
+    # IPv6 literals: lower-cased and syntax-checked only (no numeric re-serialisation)
+    d = _stage(d, _host_l=F.lower(c("_host_raw")), _g6=F.when(c("_v6").rlike(IPV6_RE), F.lit(True)))
+    d = _stage(d, _num=ends_in_number(c("_host_l")), _v4n=ipv4_number(c("_host_l")))
+    d = _stage(d, _host=F.when(c("_is_v6"), F.concat(F.lit("["), c("_host_l"), F.lit("]")))
+               .when(c("_num"), long_to_ipv4(c("_v4n"))).otherwise(c("_host_l")))
     default_port = F.create_map(*[x for k, v in SPECIAL_PORTS.items() for x in (F.lit(k), F.lit(v))])
-    port = F.when(port_num.isNull() | (port_num == F.try_element_at(default_port, scheme)), F.lit(None).cast("string")).otherwise(port_num.cast("string"))
-    path_raw = F.regexp_extract(remainder, "^([^?#]*)", 1)
-    path_raw = F.when(special, F.regexp_replace(path_raw, "\\\\", "/")).otherwise(path_raw)
-    path = F.when(path_raw == "", F.lit("/")).otherwise(path_raw)
-    path = percent_encode(remove_dot_segments(path), PATH_SAFE)
-    q = F.regexp_extract(remainder, "^[^?#]*\\?([^#]*)", 1)
-    has_q = remainder.rlike("^[^?#]*\\?")
-    frag = F.regexp_extract(remainder, "^[^#]*#(.*)$", 1)
-    has_f = F.instr(remainder, "#") > 0
-    query = F.when(has_q, F.concat(F.lit("?"), percent_encode(q, QUERY_SAFE))).otherwise(F.lit(""))
-    fragment = F.when(has_f, F.concat(F.lit("#"), percent_encode(frag, FRAGMENT_SAFE))).otherwise(F.lit(""))
-    host_ok = (
-        (host_raw != "")
-        & F.when(is_v6, g6.isNotNull())
-        .when(ends_in_number(host_l), v4n.isNotNull())
-        .otherwise(~host_raw.rlike(FORBIDDEN_HOST))
-    )
-    valid_special = special & host_ok & port_ok & (~has_colon | port_ok)
-    valid = (scheme != "") & (~special | valid_special) & (~scheme.isin("http", "https") | valid_special)
+    d = _stage(d, _port_ok=(c("_port_raw") == "") | (c("_port_raw").rlike("^[0-9]{1,5}$") & (F.expr("try_cast(_port_raw AS INT)") <= 65535)),
+               _port_num=F.expr("try_cast(nullif(_port_raw, '') AS INT)"))
+    d = _stage(d, _port=F.when(c("_port_num").isNull() | (c("_port_num") == F.try_element_at(default_port, c("_scheme"))),
+                               F.lit(None).cast("string")).otherwise(c("_port_num").cast("string")),
+               _path_raw=F.regexp_extract(c("_remainder"), "^([^?#]*)", 1),
+               _q=F.regexp_extract(c("_remainder"), "^[^?#]*\\?([^#]*)", 1),
+               _has_q=c("_remainder").rlike("^[^?#]*\\?"),
+               _frag=F.regexp_extract(c("_remainder"), "^[^#]*#(.*)$", 1),
+               _has_f=F.instr(c("_remainder"), "#") > 0)
+    d = _stage(d, _path0=F.when(c("_special"), F.regexp_replace(c("_path_raw"), "\\\\", "/")).otherwise(c("_path_raw")))
+    from pagemill.functions import sqltext as X
+    from pagemill.functions.dialect import SPARK
+    d = _stage(d, _path00=F.when(c("_path0") == "", F.lit("/")).otherwise(c("_path0")))
+    d = _stage(d, _path1=F.expr(X.remove_dots(SPARK, "_path00")))
+    d = _stage(d, _path=F.expr(X.pct_encode(SPARK, "_path1", X.PATH_SAFE_CLASS)),
+               _qe=F.expr(X.pct_encode(SPARK, "_q", X.QUERY_SAFE_CLASS)),
+               _fe=F.expr(X.pct_encode(SPARK, "_frag", X.FRAGMENT_SAFE_CLASS)))
+    host_ok = (c("_host_raw") != "") & F.when(c("_is_v6"), c("_g6").isNotNull()).when(c("_num"), c("_v4n").isNotNull()) \
+        .otherwise(~c("_host_raw").rlike(FORBIDDEN_HOST))
+    d = _stage(d, _valid_special=c("_special") & host_ok & c("_port_ok"))
+    d = _stage(d, _valid=(c("_scheme") != "") & (~c("_special") | c("_valid_special")))
     href = F.concat(
-        scheme, F.lit("://"),
-        F.when(userinfo.isNotNull(), F.concat(userinfo, F.lit("@"))).otherwise(F.lit("")),
-        host,
-        F.when(port.isNotNull(), F.concat(F.lit(":"), port)).otherwise(F.lit("")),
-        path, query, fragment,
+        c("_scheme"), F.lit("://"),
+        F.when(c("_userinfo").isNotNull(), F.concat(c("_userinfo"), F.lit("@"))).otherwise(F.lit("")),
+        c("_host"), F.when(c("_port").isNotNull(), F.concat(F.lit(":"), c("_port"))).otherwise(F.lit("")),
+        c("_path"), F.when(c("_has_q"), F.concat(F.lit("?"), c("_qe"))).otherwise(F.lit("")),
+        F.when(c("_has_f"), F.concat(F.lit("#"), c("_fe"))).otherwise(F.lit("")),
     )
-    return F.struct(
-        F.when(valid & special, href).alias("href"),
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).alias("protocol"),
-        F.when(valid & special, host).alias("host"),
-        port.alias("port"),
-        path.alias("path"),
-        valid.alias("valid"),
-        (valid & special & ~is_v6 & host_raw.rlike("[^\\x00-\\x7f]")).alias("needs_idna"),
+    needs_idna = c("_valid") & c("_special") & ~c("_is_v6") & c("_host_raw").rlike("[^\\x00-\\x7f]")
+    d = d.select(*base, F.struct(
+        F.when(c("_valid") & c("_special"), href).alias("href"),
+        F.when(c("_scheme") != "", F.concat(c("_scheme"), F.lit(":"))).alias("protocol"),
+        F.when(c("_valid") & c("_special"), c("_host")).alias("host"),
+        c("_port").alias("port"), c("_path").alias("path"), c("_valid").alias("valid"),
+        needs_idna.alias("needs_idna"),
+    ).alias(out))
+    flag = F.coalesce(F.col(f"{out}.needs_idna"), F.lit(False))
+    plain = d.where(~flag)
+    idn = d.where(flag).withColumn("_ascii_host", _idna_host(F.col(f"{out}.host")))
+    fixed = F.when(
+        F.col("_ascii_host").isNull(),
+        F.col(out).withField("href", F.lit(None).cast("string")).withField("valid", F.lit(False)).withField("host", F.lit(None).cast("string")),
+    ).otherwise(
+        F.col(out).withField("href", F.concat(F.regexp_extract(F.col(f"{out}.href"), "^([a-z][a-z0-9+.\\-]*://(?:[^@/]*@)?)", 1),
+                                              F.col("_ascii_host"),
+                                              F.regexp_replace(F.col(f"{out}.href"), "^[a-z][a-z0-9+.\\-]*://(?:[^@/]*@)?[^:/?#]*", "")))
+        .withField("host", F.col("_ascii_host"))
     )
+    return plain.unionByName(idn.withColumn(out, fixed).drop("_ascii_host"))
 
 
 def host_of(url) -> Column:
@@ -329,29 +343,6 @@ def _idna_host(hosts: pd.Series) -> pd.Series:
     return hosts.map(conv)
 
 
-def normalise_urls(df: DataFrame, col: str = "raw_url", out: str = "norm") -> DataFrame:
-    """B1 over a DataFrame: adds ``out`` = parse_url struct with IDNA hosts converted.
-
-    Only rows with non-ASCII hosts visit Python (split + union, both sides keep their
-    partitioning; no shuffle)."""
-    p = df.withColumn(out, parse_url(F.col(col)))
-    plain = p.where(~F.coalesce(F.col(f"{out}.needs_idna"), F.lit(False)))
-    idn = p.where(F.coalesce(F.col(f"{out}.needs_idna"), F.lit(False)))
-    a = idn.withColumn("_ascii_host", _idna_host(F.col(f"{out}.host")))
-    fixed = F.when(
-        F.col("_ascii_host").isNull(),
-        F.col(out).withField("href", F.lit(None).cast("string")).withField("valid", F.lit(False)).withField("host", F.lit(None).cast("string")),
-    ).otherwise(
-        F.col(out)
-        .withField("href", F.regexp_replace(F.col(f"{out}.href"), "^([a-z]+://(?:[^@/]*@)?)[^:/]*", "$1" + "\u0000"))
-        .withField("host", F.col("_ascii_host"))
-    )
-    a = a.withColumn(out, fixed).withColumn(
-        out, F.col(out).withField("href", F.replace(F.col(f"{out}.href"), F.lit("\u0000"), F.col("_ascii_host")))
-    ).drop("_ascii_host")
-    return plain.unionByName(a)
-
-
 # --- G8 -------------------------------------------------------------------
 def resolve_url(base, ref) -> Column:
     """Resolve ``ref`` against absolute ``base`` (RFC 3986 forms used in HTML attributes)."""

@@ -77,8 +77,8 @@ def fragment_sql(d: Dialect, opts: Options = DEFAULT, rules=DEFAULT_RULES) -> st
         parts.append(f"WHEN {cond} AND o = 1 THEN {s(r.open)}")
         parts.append(f"WHEN {cond} AND c = 1 THEN {s(r.close)}")
     parts.append(f"WHEN tag = 'br' THEN {s(BR)}")
-    if opts.include_links:
-        has = "coalesce(cur_href, '') <> ''"
+    if True:  # per-page flag ``lnk`` (include_links)
+        has = "lnk AND coalesce(cur_href, '') <> ''"
         parts.append(f"WHEN tag = 'a' AND o = 1 AND {has} THEN {s(A_O)}")
         parts.append(f"WHEN tag = 'a' AND c = 1 AND {has} THEN {s(A_M)} || {href} || {s(A_E)}")
     # H8: with include_links = false an anchor renders as its content only

@@ -66,10 +66,10 @@ def token_stages(d: Dialect, opts: Options = DEFAULT) -> list:
     """pages(page_id, url, html) -> tokens(page_id, url, tok, pos, tag, o, c, void, is_text)."""
     sw = d.startswith
     return [
-        Sel(keep=["page_id", "url"], cols=[("h", clean_html(d, "html", opts))]),
-        Sel(keep=["page_id", "url"], cols=[("toks", d.rx_extract_all("h", TOKEN_RE))]),
-        Explode("toks", "pos0", "tok", keep=["page_id", "url"]),
-        Sel(keep=["page_id", "url", "tok"], cols=[
+        Sel(keep=["page_id", "url", "lnk"], cols=[("h", clean_html(d, "html", opts))]),
+        Sel(keep=["page_id", "url", "lnk"], cols=[("toks", d.rx_extract_all("h", TOKEN_RE))]),
+        Explode("toks", "pos0", "tok", keep=["page_id", "url", "lnk"]),
+        Sel(keep=["page_id", "url", "lnk", "tok"], cols=[
             ("pos", "CAST(pos0 AS BIGINT)"),
             ("tag", f"lower({d.rx_extract('tok', TAG_NAME_RE, 1)})"),
         ]),
@@ -152,17 +152,47 @@ def nesting_stages(d: Dialect, opts: Options = DEFAULT) -> list:
     ]
 
 
+# Target HTML bytes per page partition. Tokens expand the HTML a few times in memory while
+# they stream through sorts/windows (which spill), so partitions stay well under executor memory.
+TARGET_PARTITION_BYTES = 64 * 1024 * 1024
+
+
+def page_partition_count(pages: DataFrame, opts: Options = DEFAULT) -> int:
+    """Explicit partition count for the page shuffle: from options, else from Catalyst's size
+    estimate of the input (driver-side metadata only), never below the cluster parallelism.
+    An explicit count also stops AQE from coalescing this CPU-heavy stage into a few tasks."""
+    if opts.page_partitions:
+        return int(opts.page_partitions)
+    spark = pages.sparkSession
+    floor_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    try:
+        size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # estimate unavailable (e.g. streaming source)
+        return floor_
+    return max(floor_, -(-size // TARGET_PARTITION_BYTES))
+
+
 def partition_pages(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
     """Hash-partition the *page rows* on page_id so every later per-page window/aggregate
     reuses this one distribution (the exploded tokens never cross a shuffle)."""
-    if opts.page_partitions:
-        return pages.repartition(opts.page_partitions, "page_id")
-    return pages.repartition("page_id")
+    return pages.repartition(page_partition_count(pages, opts), "page_id")
+
+
+def with_links_flag(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
+    """Ensure the per-page ``lnk`` (include links) column; default from the options."""
+    from pyspark.sql import functions as F
+    if "lnk" in pages.columns:
+        return pages.select("page_id", "url", "html", F.coalesce(F.col("lnk"), F.lit(opts.include_links)).alias("lnk"))
+    return pages.select("page_id", "url", "html", F.lit(opts.include_links).alias("lnk"))
+
+
+def pages_source_duck(opts: Options = DEFAULT, source: str = "pages") -> str:
+    return f"(SELECT page_id, url, html, {str(opts.include_links).upper()} AS lnk FROM {source})"
 
 
 def nested_df(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
     """Tokens with nesting context on Spark (pages hash-partitioned on page_id first)."""
-    p = partition_pages(pages.select("page_id", "url", "html"), opts)
+    p = partition_pages(with_links_flag(pages, opts), opts)
     return apply_stages(p, token_stages(SPARK, opts) + nesting_stages(SPARK, opts))
 
 

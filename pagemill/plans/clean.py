@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pagemill.functions import sqltext as X
 from pagemill.functions.dialect import SPARK, Dialect, apply_stages, duck_ctes
 from pagemill.operators.blocks import meta_stages, page_stages
-from pagemill.operators.tokens import partition_pages
+from pagemill.operators.tokens import pages_source_duck, partition_pages, with_links_flag
 from pagemill.options import DEFAULT, MSG_NO_CONTENT, Options
 
 RESULT_COLUMNS = ["page_id", "url", "title", "excerpt", "site_name", "word_count", "markdown", "source", "error"]
@@ -35,7 +35,7 @@ def clean_pages(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
     Plan shape: one hash exchange of the *page rows* on page_id; tokens, blocks, windows,
     per-page aggregates and the final meta join all reuse that distribution.
     """
-    p = partition_pages(pages.select("page_id", "url", "html"), opts)
+    p = partition_pages(with_links_flag(pages, opts), opts)
     md = apply_stages(p, page_stages(SPARK, opts))
     meta = apply_stages(p, meta_stages(SPARK))
     r = meta.join(md, "page_id", "left")
@@ -44,7 +44,7 @@ def clean_pages(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
 
 def clean_pages_duck(d: Dialect, opts: Options = DEFAULT, source: str = "pages") -> str:
     """The same plan as DuckDB SQL (oracle)."""
-    ctes1, last1 = duck_ctes(page_stages(d, opts), source, "pg")
+    ctes1, last1 = duck_ctes(page_stages(d, opts), pages_source_duck(opts, source), "pg")
     ctes2, last2 = duck_ctes(meta_stages(d), source, "mt")
     cols = ", ".join(f"{sql} AS {a}" for a, sql in result_cols(d))
     return ("WITH " + ",\n".join(ctes1 + ctes2) +
