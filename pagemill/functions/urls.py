@@ -76,7 +76,7 @@ def ipv4_number(host: Column) -> Column:
     nums = F.transform(parts, _ipv4_part)
     n = F.size(parts)
     ok = (n <= 4) & F.forall(nums, lambda x: x.isNotNull()) & F.forall(
-        F.slice(nums, 1, F.greatest(n - 1, F.lit(1))), lambda x: (x <= 255)
+        F.slice(nums, 1, F.greatest(n - 1, F.lit(0))), lambda x: (x <= 255)
     )
     last = F.element_at(nums, -1)
     head = F.aggregate(
