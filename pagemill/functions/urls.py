@@ -310,19 +310,21 @@ def normalise_urls(df: DataFrame, col: str = "raw_url", out: str = "nu") -> Data
         c("_port").alias("port"), c("_path").alias("path"), c("_valid").alias("valid"),
         needs_idna.alias("needs_idna"),
     ).alias(out))
-    flag = F.coalesce(F.col(f"{out}.needs_idna"), F.lit(False))
-    plain = d.where(~flag)
-    idn = d.where(flag).withColumn("_ascii_host", _idna_host(F.col(f"{out}.host")))
-    fixed = F.when(
-        F.col("_ascii_host").isNull(),
-        F.col(out).withField("href", F.lit(None).cast("string")).withField("valid", F.lit(False)).withField("host", F.lit(None).cast("string")),
-    ).otherwise(
-        F.col(out).withField("href", F.concat(F.regexp_extract(F.col(f"{out}.href"), "^([a-z][a-z0-9+.\\-]*://(?:[^@/]*@)?)", 1),
-                                              F.col("_ascii_host"),
-                                              F.regexp_replace(F.col(f"{out}.href"), "^[a-z][a-z0-9+.\\-]*://(?:[^@/]*@)?[^:/?#]*", "")))
-        .withField("host", F.col("_ascii_host"))
+    # IDNA: the pandas UDF sees a host only where one needs converting (NULL elsewhere, so
+    # ASCII rows cost a null pass-through); one projection, no split/union of the plan.
+    d = d.withColumn("_ascii_host", _idna_host(F.when(F.col(f"{out}.needs_idna"), F.col(f"{out}.host"))))
+    idn = F.col(f"{out}.needs_idna")
+    fixed = (
+        F.when(idn & F.col("_ascii_host").isNull(),
+               F.col(out).withField("href", F.lit(None).cast("string")).withField("valid", F.lit(False))
+               .withField("host", F.lit(None).cast("string")))
+        .when(idn, F.col(out).withField("href", F.concat(
+            F.regexp_extract(F.col(f"{out}.href"), "^([a-z][a-z0-9+.\\-]*://(?:[^@/]*@)?)", 1), F.col("_ascii_host"),
+            F.regexp_replace(F.col(f"{out}.href"), "^[a-z][a-z0-9+.\\-]*://(?:[^@/]*@)?[^:/?#]*", "")))
+            .withField("host", F.col("_ascii_host")))
+        .otherwise(F.col(out))
     )
-    return plain.unionByName(idn.withColumn(out, fixed).drop("_ascii_host"))
+    return d.withColumn(out, fixed).drop("_ascii_host")
 
 
 def host_of(url) -> Column:
