@@ -87,7 +87,7 @@ def assemble_body(chunks: DataFrame, max_bytes: int) -> DataFrame:
 # --- C3 / E7 / F2 / B13 ---------------------------------------------------
 def resolve_redirects(starts: DataFrame, responses: DataFrame, verdicts: DataFrame | None = None,
                       timeout_ms: int | None = None, max_hops: int = MAX_REDIRECTS, check_hops: bool = True,
-                      src_col: str = "src") -> DataFrame:
+                      src_col: str = "src", cut_lineage: bool = False) -> DataFrame:
     """Follow captured redirects for each distinct start URL, re-checking every hop's host.
 
     Unrolled equi-joins (``max_hops + 1`` fetches); only rows still redirecting go on, and the
@@ -121,6 +121,11 @@ def resolve_redirects(starts: DataFrame, responses: DataFrame, verdicts: DataFra
         done.append(x.where(~go_on).select(
             "src", F.col("cur").alias("final_url"), F.col("hop").cast("bigint").alias("hops"), "status", "content_type",
             "page_id", F.col("elapsed").cast("bigint").alias("elapsed"), "chain_error"))
+        if cut_lineage:  # hop tables are small; a checkpoint keeps the unrolled plan linear
+            x = x.checkpoint()
+            done[-1] = x.where(~go_on).select(
+                "src", F.col("cur").alias("final_url"), F.col("hop").cast("bigint").alias("hops"), "status",
+                "content_type", "page_id", F.col("elapsed").cast("bigint").alias("elapsed"), "chain_error")
         cur = x.where(go_on).select("src", resolve_url(F.col("cur"), js_trim(F.col("location"))).alias("cur"),
                                     F.lit(hop + 1).alias("hop"), "elapsed")
     out = done[0]

@@ -12,6 +12,7 @@ from pagemill.operators.requests import clean_requests, first_seen, request_opti
 from pagemill.operators.responses import content_type_ok, reason_phrase, resolve_redirects, status_ok, too_large
 from pagemill.options import DEFAULT, MSG_BAD_SCHEME, MSG_HTTP_STATUS, MSG_INVALID_URL, MSG_NOT_HTML, MSG_TOO_LARGE, Options
 from pagemill.plans.clean import clean_pages
+from pagemill.session import ensure_checkpoint_dir
 
 
 def _fmt(msg: str, *cols) -> F.Column:
@@ -23,19 +24,22 @@ def scrape(requests: DataFrame, responses: DataFrame, dns: DataFrame, runs: Data
     """Clean/dedupe requests, normalise, refuse private hosts, follow redirects with per-hop
     checks, apply status/type/size/time guards, clean the pages, route the first error, then
     apply each run's budget. Returns DATASET_COLUMNS rows (success and error records)."""
+    ensure_checkpoint_dir(requests.sparkSession)
     reqs = request_options(first_seen(clean_requests(requests)), runs)
     if "mode" not in reqs.columns:
         reqs = reqs.withColumn("mode", F.lit(None).cast("string"))
     reqs = reqs.withColumn("mode", F.coalesce(F.col("mode"), F.when(F.col("render_js"), F.lit("render")).otherwise(F.lit("fetch"))))
-    n = normalise_urls(reqs, "url", "nu")
+    # lineage cuts (reliable checkpoints in spark.checkpoint.dir): the small per-request
+    # tables are reused several times below and would otherwise be re-planned each time
+    n = normalise_urls(reqs, "url", "nu").checkpoint()
     web = F.col("nu.protocol").isin("http:", "https:") & F.col("nu.href").isNotNull()
     starts = n.where(web).select(F.col("nu.href").alias("src"))
     hosts = starts.select(host_of(F.col("src")).alias("host")).unionByName(
         responses.where(F.col("location").isNotNull()).select(host_of(F.col("location")).alias("host")))
-    verdicts = host_verdicts(hosts, dns, compat=not opts.extra.get("numeric_ipv6", False))
-    chains = resolve_redirects(starts, responses, verdicts, timeout_ms=opts.timeout_ms)
-    bodies = responses.select("page_id", F.col("body").alias("html"))
-    r = n.join(chains, F.col("nu.href") == chains.src, "left").join(bodies, "page_id", "left")
+    verdicts = host_verdicts(hosts, dns, compat=not opts.extra.get("numeric_ipv6", False)).checkpoint()
+    chains = resolve_redirects(starts, responses, verdicts, timeout_ms=opts.timeout_ms, cut_lineage=True).checkpoint()
+    sizes = responses.select("page_id", F.octet_length("body").alias("nbytes"))
+    r = n.join(chains, F.col("nu.href") == chains.src, "left").join(sizes, "page_id", "left")
     fetch = F.col("mode") == "fetch"
     status_msg = F.when(fetch, _fmt(MSG_HTTP_STATUS, F.col("status"), reason_phrase(F.col("status")), F.col("final_url"))) \
         .otherwise(F.format_string("The server returned HTTP %s for %s.", F.col("status"), F.col("nu.href")))
@@ -45,16 +49,19 @@ def scrape(requests: DataFrame, responses: DataFrame, dns: DataFrame, runs: Data
         (F.col("chain_error").isNotNull(), F.col("chain_error")),
         (~status_ok(F.col("status")), status_msg),
         (fetch & ~content_type_ok(F.col("content_type")), _fmt(MSG_NOT_HTML, F.col("content_type"))),
-        (fetch & too_large(F.col("html"), opts.max_bytes), F.lit(MSG_TOO_LARGE.format(opts.max_bytes))),
+        (fetch & (F.col("nbytes") > opts.max_bytes), F.lit(MSG_TOO_LARGE.format(opts.max_bytes))),
     )
-    r = r.select("run_id", "ord", "url", F.col("nu.href").alias("href"), "page_id", "html", "include_links", err.alias("pre_error"))
+    r = r.select("run_id", "ord", "url", F.col("nu.href").alias("href"), "page_id", "include_links",
+                 err.alias("pre_error")).checkpoint()
     ok = r.where(F.col("pre_error").isNull())
     # one cleaning per (requested URL, final page, link option); the requested URL is the link base (Q4)
     key = F.concat_ws("|", F.col("href"), F.col("page_id").cast("string"), F.col("include_links").cast("string"))
     ok = ok.withColumn("key", key)
-    to_clean = ok.select(F.col("key").alias("page_id"), F.col("href").alias("url"), "html",
-                         F.col("include_links").alias("lnk")).dropDuplicates(["page_id"])
-    cleaned = clean_pages(to_clean, opts).withColumnRenamed("page_id", "key").drop("url")
+    # HTML moves once: distinct pages to clean joined to their bodies (bodies never join hops)
+    bodies = responses.select("page_id", F.col("body").alias("html"))
+    to_clean = ok.select("key", "href", "page_id", "include_links").dropDuplicates(["key"]).join(bodies, "page_id") \
+        .select(F.col("key").alias("page_id"), F.col("href").alias("url"), "html", F.col("include_links").alias("lnk"))
+    cleaned = clean_pages(to_clean, opts).withColumnRenamed("page_id", "key").drop("url").checkpoint()
     good = ok.join(cleaned, "key").select(
         "run_id", "ord", F.when(F.col("error").isNull(), F.col("href")).otherwise(F.col("url")).alias("url"),
         "title", "excerpt", "site_name", "word_count", "markdown", "error")
