@@ -15,7 +15,9 @@ def js_trim(d: Dialect, x: str) -> str:
 
 
 def word_count(d: Dialect, x: str) -> str:
-    return f"CAST(coalesce({d.size(d.rx_extract_all(x, JS_NON_WS + '+'))}, 0) AS BIGINT)"
+    """Maximal non-whitespace runs: each word becomes one 'x' and whitespace disappears."""
+    y = d.rx_replace(d.rx_replace(x, JS_NON_WS + "+", "x"), JS_WS + "+", "")
+    return f"CAST(coalesce(length({y}), 0) AS BIGINT)"
 
 
 def tidy(d: Dialect, x: str) -> str:
