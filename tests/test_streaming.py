@@ -1,7 +1,15 @@
 """Streaming page cleaning equals the batch result; replaying a batch id rewrites it."""
 
+import os
 import tempfile
 
+
+def _dir_of(path):
+    """Streaming file sources read folders: a scratch folder holding a link to the table."""
+    d = tempfile.mkdtemp(prefix="pm-src-", dir="/tmp")
+    os.symlink(path, os.path.join(d, os.path.basename(path)))
+    return d
+
 from pagemill.plans.clean import clean_pages
 from pagemill.streaming.pipelines import clean_pages_stream, deliver_batch, meter_hourly_stream
 
@@ -9,7 +17,7 @@ from pagemill.streaming.pipelines import clean_pages_stream, deliver_batch, mete
 def test_stream_equals_batch(spark, sf001):
     out = tempfile.mkdtemp(prefix="pm-out-", dir="/tmp")
     ck = tempfile.mkdtemp(prefix="pm-ck-", dir="/tmp")
-    q = clean_pages_stream(spark, f"{sf001}/pages.parquet", out, ck)
+    q = clean_pages_stream(spark, _dir_of(f"{sf001}/pages.parquet"), out, ck)
     q.awaitTermination(300)
     got = spark.read.parquet(out).drop("batch_id")
     want = clean_pages(spark.read.parquet(f"{sf001}/pages.parquet"))
@@ -27,7 +35,7 @@ def test_replay_is_idempotent(spark, sf001):
 
 
 def test_hourly_metering_stream(spark, sf001):
-    events = spark.readStream.schema(spark.read.parquet(f"{sf001}/events.parquet").schema).parquet(f"{sf001}/events.parquet")
+    events = spark.readStream.schema(spark.read.parquet(f"{sf001}/events.parquet").schema).parquet(_dir_of(f"{sf001}/events.parquet"))
     q = (meter_hourly_stream(events).writeStream.outputMode("complete").format("memory").queryName("pm_hourly")
          .option("checkpointLocation", tempfile.mkdtemp(prefix="pm-ck-", dir="/tmp")).start())
     q.processAllAvailable()
