@@ -155,8 +155,11 @@ def q_normalise_url(spark, sf):
 
 
 def q_scheme_filter(spark, sf):
+    """B2 as a predicate column over every request (filtering on the parsed struct would make
+    Catalyst copy the whole parser into the filter condition)."""
     p = q_normalise_url(spark, sf)
-    return p.where(F.col("valid")).select("run_id", "ord", F.col("protocol").isin("http:", "https:").alias("allowed"))
+    return p.select("run_id", "ord", "valid",
+                    (F.coalesce(F.col("valid"), F.lit(False)) & F.col("protocol").isin("http:", "https:")).alias("allowed"))
 
 
 def q_host_of(spark, sf):
@@ -169,6 +172,24 @@ def q_private_ipv4(spark, sf):
     return a.select("id", ip.alias("ip"), is_private_ipv4(ip).alias("private"))
 
 
+IPV6_FORMS = ("CASE id % 5 WHEN 0 THEN '::ffff:' || ip4 WHEN 1 THEN 'fe80::' || CAST(n % 9999 AS STRING) "
+              "WHEN 2 THEN '2001:db8::' || CAST(n % 9999 AS STRING) WHEN 3 THEN 'fd' || CAST(n % 89 + 10 AS STRING) || '::1' "
+              "ELSE CASE WHEN n % 2 = 0 THEN '::1' ELSE '::' END END")
+
+
+def q_private_ipv6(spark, sf):
+    """B6 (the reference's textual rule, Q3) over IPv6 forms derived from every address row."""
+    from pagemill.functions.urls import is_private_ipv6
+    a = FX.addresses(spark, sf).select("id", "n", long_to_ipv4(F.col("n")).alias("ip4"))
+    v6 = a.select("id", F.expr(IPV6_FORMS).alias("ip6"))
+    return v6.select("id", "ip6", is_private_ipv6(F.col("ip6")).alias("private"))
+
+
+def q_distinct_urls(spark, sf):
+    from pagemill.operators.requests import distinct_urls
+    return distinct_urls(clean_requests(FX.requests(spark, sf)))
+
+
 def q_refused_ranges(spark, sf):
     return flag_private(FX.addresses(spark, sf), refused_ranges_df(spark)).select("id", "n", "cidr")
 
@@ -429,9 +450,21 @@ def oracles() -> dict:
             "OR n BETWEEN 2130706432 AND 2147483647 OR n BETWEEN 2851995648 AND 2852061183 OR n BETWEEN 2886729728 AND 2887778303 "
             "OR n BETWEEN 3232235520 AND 3232301055) AS private FROM (SELECT id, n, CAST(n // 16777216 AS VARCHAR) || '.' || "
             f"CAST(n // 65536 % 256 AS VARCHAR) || '.' || CAST(n // 256 % 256 AS VARCHAR) || '.' || CAST(n % 256 AS VARCHAR) AS ip FROM {ADDR} a) t"),
+        "private_ipv6": (
+            "WITH a AS (SELECT id, n, CAST(n // 16777216 AS VARCHAR) || '.' || CAST(n // 65536 % 256 AS VARCHAR) || '.' || "
+            f"CAST(n // 256 % 256 AS VARCHAR) || '.' || CAST(n % 256 AS VARCHAR) AS ip4 FROM {ADDR} x), "
+            f"v AS (SELECT id, {IPV6_FORMS.replace('AS STRING', 'AS VARCHAR')} AS ip6 FROM a), "
+            "m AS (SELECT id, ip6, lower(ip6) AS l, regexp_extract(lower(ip6), '^::ffff:([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+)$', 1) AS mp FROM v) "
+            "SELECT id, ip6, CASE WHEN l IN ('::1', '::') THEN TRUE WHEN mp <> '' THEN "
+            "(split_part(mp, '.', 1) IN ('0', '10', '127') OR (split_part(mp, '.', 1) = '169' AND split_part(mp, '.', 2) = '254') "
+            "OR (split_part(mp, '.', 1) = '172' AND CAST(split_part(mp, '.', 2) AS INT) BETWEEN 16 AND 31) "
+            "OR (split_part(mp, '.', 1) = '192' AND split_part(mp, '.', 2) = '168') "
+            "OR (split_part(mp, '.', 1) = '100' AND CAST(split_part(mp, '.', 2) AS INT) BETWEEN 64 AND 127)) "
+            "ELSE starts_with(l, 'fe80') OR starts_with(l, 'fc') OR starts_with(l, 'fd') END AS private FROM m"),
+        "distinct_urls": f"SELECT DISTINCT url FROM {CLEAN_F} c",
         "refused_ranges": f"SELECT a.id, a.n, r.cidr FROM {ADDR} a LEFT JOIN {RANGES} r ON a.n BETWEEN r.lo AND r.hi",
         "normalise_url": f"SELECT run_id, ord, href, protocol, valid FROM {_duck_norm(REQ)} q",
-        "scheme_filter": f"SELECT run_id, ord, protocol IN ('http:', 'https:') AS allowed FROM {_duck_norm(REQ)} q WHERE valid",
+        "scheme_filter": f"SELECT run_id, ord, valid, (coalesce(valid, FALSE) AND coalesce(protocol IN ('http:', 'https:'), FALSE)) AS allowed FROM {_duck_norm(REQ)} q",
         "clean_requests": f"SELECT run_id, ord, url FROM {CLEAN_F} c",
         "first_seen": f"SELECT run_id, ord, url FROM {UNIQUE} u",
         "validate_runs": f"SELECT * FROM {VALIDATE} v",
@@ -492,7 +525,8 @@ def queries() -> dict:
         "content_or_fallback": _stages_query(_content_or_fallback),
         "md_blocks": _stages_query(_md_blocks),
         "page_metadata": _stages_query(_meta),
-        "host_of": q_host_of, "private_ipv4": q_private_ipv4, "refused_ranges": q_refused_ranges,
+        "host_of": q_host_of, "private_ipv4": q_private_ipv4, "private_ipv6": q_private_ipv6,
+        "distinct_urls": q_distinct_urls, "refused_ranges": q_refused_ranges,
         "normalise_url": q_normalise_url, "scheme_filter": q_scheme_filter, "host_verdicts": q_host_verdicts,
         "clean_requests": q_clean_requests, "first_seen": q_first_seen, "validate_runs": q_validate_runs,
         "request_options": q_request_options,
