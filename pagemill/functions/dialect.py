@@ -88,6 +88,9 @@ class Dialect:
     def bool_or(self, x: str) -> str:
         return f"bool_or({x})"
 
+    def struct(self, pairs) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in pairs) + ")"
+
     def min_by(self, x: str, y: str) -> str:
         """Value of x at the smallest y (x may be NULL there; rows with NULL y are skipped)."""
         return f"min_by({x}, {y})"
@@ -166,6 +169,9 @@ class DuckDialect(Dialect):
     def min_by(self, x: str, y: str) -> str:
         return f"arg_min_null({x}, {y})"
 
+    def struct(self, pairs) -> str:
+        return "{" + ", ".join(f"'{k}': {v}" for k, v in pairs) + "}"
+
 
 SPARK = Dialect()
 DUCK = DuckDialect()

@@ -128,8 +128,8 @@ def choice_stages(d: Dialect) -> list:
             ("cw_total", f"sum(cw) {W_PAGE}"),
             ("w_total", f"sum(words) {W_PAGE}"),
             ("lw_total", f"sum(link_words) {W_PAGE}"),
-            ("win_region", f"first_value(CASE WHEN {in_reg} AND rw > 0 THEN region_seq END) OVER (PARTITION BY page_id "
-                           f"ORDER BY CASE WHEN {in_reg} AND rw > 0 THEN rw END DESC NULLS LAST, region_seq ASC)"),
+            # best region: max of (words, -seq) over candidate rows; one partition-only window
+            ("rwin", f"max(CASE WHEN {in_reg} AND rw > 0 THEN {d.struct([('w', 'rw'), ('neg', '-region_seq'), ('r', 'region_seq')])} END) {W_PAGE}"),
         ]),
         Sel(cols=[
             ("c_close_blk", f"min(CASE WHEN cid IS NOT NULL AND NOT c_is_open THEN blk END) {w_cid}"),
@@ -139,12 +139,10 @@ def choice_stages(d: Dialect) -> list:
         ]),
         Sel(cols=[("cand_score", f"CASE WHEN {cand} THEN {score} END")]),
         Sel(cols=[
-            ("c_open", "first_value(CASE WHEN cand_score IS NOT NULL THEN blk END) OVER (PARTITION BY page_id "
-                       "ORDER BY cand_score DESC NULLS LAST, blk ASC)"),
-            ("c_close", "first_value(CASE WHEN cand_score IS NOT NULL THEN c_close_blk END) OVER (PARTITION BY page_id "
-                        "ORDER BY cand_score DESC NULLS LAST, blk ASC)"),
+            ("cwin", f"max(CASE WHEN cand_score IS NOT NULL THEN {d.struct([('s', 'cand_score'), ('neg', '-blk'), ('b', 'blk'), ('c', 'c_close_blk')])} END) {W_PAGE}"),
             ("any_markup", f"max(markup) {W_PAGE}"),
         ]),
+        Sel(cols=[("win_region", "rwin.r"), ("c_open", "cwin.b"), ("c_close", "cwin.c")]),
         Sel(cols=[("source", "CASE WHEN win_region IS NOT NULL THEN 'article' "
                              "WHEN c_open IS NOT NULL THEN 'container' ELSE 'fallback' END")]),
         Sel(cols=[("keep", (

@@ -37,6 +37,8 @@ CASES = {
     "upper_case": ("<P>Up <B>Bold</B></P>", "Up **Bold**"),
     "unclosed_p_b": ("<p><b>lead<br><p>next", "**lead**\n\nnext"),
     "stray_close": ("<p>a</b> b</p>", "a b"),
+    "container": ("<div><a href='/a'>a</a> <a href='/b'>b</a></div><div><p>" + "alpha " * 20 + "</p><p>" + "beta " * 20
+                  + "</p></div>", ("alpha " * 20).strip() + "\n\n" + ("beta " * 20).strip()),
     "removed": ("<noscript>x</noscript><iframe>y</iframe><form>z</form><p>w</p>", "w"),
 }
 
