@@ -42,3 +42,28 @@ def test_hourly_metering_stream(spark, sf001):
     q.stop()
     n_stream = spark.sql("SELECT sum(n) AS s FROM pm_hourly").first().s
     assert n_stream == spark.read.parquet(f"{sf001}/events.parquet").count()
+
+
+def test_stateful_budget_equals_batch(spark):
+    """Running success count kept in state; one micro-batch gives the batch answer."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from pagemill.operators.dataset import budget_cutoff
+    from pagemill.streaming.pipelines import budget_state_update
+
+    rows = [(r, o, None if (o * 7 + r) % 3 else "err", lim) for r, lim in ((0, 5), (1, 0), (2, None)) for o in range(40)]
+    schema = "run_id bigint, ord bigint, error string, event_limit bigint"
+    src = tempfile.mkdtemp(prefix="pm-src-", dir="/tmp")
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(src + "/o")
+    stream = spark.readStream.schema(schema).parquet(src + "/o")
+    out = stream.groupBy("run_id").applyInPandasWithState(
+        budget_state_update, "run_id bigint, ord bigint, error string", "done bigint", "append", GroupStateTimeout.NoTimeout)
+    q = (out.writeStream.outputMode("append").format("memory").queryName("pm_budget")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="pm-ck-", dir="/tmp")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.run_id, r.ord) for r in spark.sql("SELECT run_id, ord FROM pm_budget").collect())
+    df = spark.createDataFrame(rows, schema)
+    runs = df.select("run_id", "event_limit").distinct()
+    want = sorted((r.run_id, r.ord) for r in budget_cutoff(df.drop("event_limit"), runs).collect())
+    assert got == want
