@@ -7,8 +7,10 @@ from http import HTTPStatus
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions import sqltext as X
+from pagemill.functions.dialect import SPARK
 from pagemill.functions.text import js_trim
-from pagemill.functions.urls import host_of, resolve_url
+from pagemill.functions.urls import host_of
 from pagemill.options import (MAX_REDIRECTS, MSG_HTTP_STATUS, MSG_NOT_HTML, MSG_REDIRECT_NO_LOCATION, MSG_TIMEOUT,
                               MSG_TOO_LARGE, MSG_TOO_MANY_REDIRECTS)
 
@@ -126,8 +128,9 @@ def resolve_redirects(starts: DataFrame, responses: DataFrame, verdicts: DataFra
             done[-1] = x.where(~go_on).select(
                 "src", F.col("cur").alias("final_url"), F.col("hop").cast("bigint").alias("hops"), "status",
                 "content_type", "page_id", F.col("elapsed").cast("bigint").alias("elapsed"), "chain_error")
-        cur = x.where(go_on).select("src", resolve_url(F.col("cur"), js_trim(F.col("location"))).alias("cur"),
-                                    F.lit(hop + 1).alias("hop"), "elapsed")
+        nxt = x.where(go_on).select("src", "cur", js_trim(F.col("location")).alias("loc"), "elapsed")
+        cur = nxt.select("src", F.expr(X.resolve_url(SPARK, "cur", "loc")).alias("cur"),
+                         F.lit(hop + 1).alias("hop"), "elapsed")
     out = done[0]
     for d_ in done[1:]:
         out = out.unionByName(d_)
