@@ -31,10 +31,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's spark.checkpoint.dir when set; only set one (under /tmp) when unset,
-    which is the local/test case."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="pagemill-ckpt-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    """The checkpoint folder: the cluster's spark.checkpoint.dir, or the one set on the context. On
+    one machine without either (tests) a new folder below /tmp; on a cluster that is an error, since
+    executors could not read each other's files."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="pagemill-ckpt-", dir="/tmp")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(where)
+    return where
