@@ -40,3 +40,14 @@ SELECT p.doc_id, p.source, p.lang, p.topic, p.tokens, c.probability,
        ('0x' || substr(md5('mix:' || coalesce(p.doc_id::VARCHAR, '')), 1, 12))::BIGINT / pow(16, 12) < c.probability AS kept
 FROM placed p JOIN chances c USING (source, lang, topic)
 """
+
+VECTOR_SEARCH = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) DESC, c.vec_id) AS rank
+  FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+WHERE rank <= 20
+"""
