@@ -1,11 +1,11 @@
 """Near-duplicate documents by HyperMinHash registers, banding and exact confirmation.
 
 A document is the set of its distinct word shingles, hashed to 64 bits. The top bits of a hash name
-one of 128 buckets; a bucket's register keeps, of its smallest hash, the count of leading zeros
+one of 256 buckets; a bucket's register keeps, of its smallest hash, the count of leading zeros
 (6 bits) and the next 10 bits (mantissa). Empty buckets copy another bucket in a fixed order of
-their own. 32 bands of 4 registers propose pairs: a pair of similarity 0.8 shares no band with
-probability 0.59 ** 32 = 5e-8. Before texts are read, the share of equal registers, less the
-collisions that the sets' sizes make by chance, drops pairs that lie more than six standard errors
+their own. 42 bands of 6 registers propose pairs of like size (similar sets can't differ more): a
+pair of similarity 0.8 shares no band with probability 0.74 ** 42 = 3e-6. Before texts are read, the share of equal registers, less the
+collisions that the sets' sizes make by chance, drops pairs that lie more than five standard errors
 below the threshold; what is left is confirmed on the full sets.
 
 Equal sets are one class and are never paired. Within a band's bucket, members are linked to one
@@ -16,6 +16,7 @@ every link that could join two components is confirmed or refuted.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -26,10 +27,14 @@ from pyspark.sql import functions as F
 from .common import checkpointed, small_batches
 from .components import components
 
-BUCKETS, MANTISSA, BAND = 128, 10, 4
+BUCKETS, MANTISSA, BAND = 256, 10, 6
 PERCENT = 80
 #: Words kept with their hash in a worker; a full cache is emptied.
 CACHE = 400_000
+#: Members of a bucket that are held against each other at once.
+BLOCK = 1024
+#: Sets of fewer shingles are always read: their registers repeat too few hashes for an estimate.
+TINY = 8
 #: Keys of texts up to this many are broadcast (24 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 500_000
 SIGNATURES = "uid long, doc_id long, text_key binary, n_shingles long, set_key binary, registers binary"
@@ -77,16 +82,16 @@ def _orders() -> np.ndarray:
 
 
 ORDERS = _orders()
-EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(57)
+EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(56)
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """The 128 registers (leading zeros << 10 | mantissa) of a set that isn't empty."""
+    """The 256 registers (leading zeros << 10 | mantissa) of a set that isn't empty."""
     at = np.searchsorted(hashes, EDGES)
     first = hashes[np.minimum(at, len(hashes) - 1)]
-    full = (at < len(hashes)) & ((first >> np.uint64(57)) == np.arange(BUCKETS, dtype=np.uint64))
-    value = first << np.uint64(7)
-    zeros = np.where(value == 0, 57, 64 - np.frexp(value.astype(np.float64))[1]).clip(0, 57).astype(np.uint64)
+    full = (at < len(hashes)) & ((first >> np.uint64(56)) == np.arange(BUCKETS, dtype=np.uint64))
+    value = first << np.uint64(8)
+    zeros = np.where(value == 0, 56, 64 - np.frexp(value.astype(np.float64))[1]).clip(0, 56).astype(np.uint64)
     mantissa = (value << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
     out = ((zeros << np.uint64(MANTISSA)) | mantissa).astype("<u2")
     empty = np.flatnonzero(~full)
@@ -102,7 +107,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 def chance(n1: float, n2: float) -> float:
     """Probability that a register of unrelated sets of n1 and n2 shingles is equal."""
-    edges = 2.0 ** -np.arange(0, 58)
+    edges = 2.0 ** -np.arange(0, 57)
     share = lambda n: (1 - edges[1:]) ** (n / BUCKETS) - (1 - edges[:-1]) ** (n / BUCKETS)
     return float((share(n1) * share(n2)).sum() / 2**MANTISSA)
 
@@ -113,6 +118,12 @@ def estimate(r1: np.ndarray, r2: np.ndarray, n1: int, n2: int) -> float:
     return max(0.0, (int((r1 == r2).sum()) - by_chance) / (BUCKETS - by_chance))
 
 
+def least_estimate(percent: int) -> float:
+    """The estimate below which a pair isn't read: five standard errors under the threshold."""
+    share = percent / 100
+    return share - 5 * (share * (1 - share) / BUCKETS) ** 0.5
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
@@ -137,14 +148,14 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     """a, b, linked of each pair of class ids: by estimate where that is far below, else on the full sets."""
     spark = docs.sparkSession
     small_batches(spark)
-    floor = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / BUCKETS) ** 0.5
+    floor = least_estimate(percent)
 
     def near(batches):
         for batch in batches:
             keep = []
             for r1, r2, n1, n2 in zip(batch["ra"], batch["rb"], batch["na"], batch["nb"]):
                 small, large = min(n1, n2), max(n1, n2)
-                keep.append(100 * small >= percent * large and (small < 2 * BUCKETS or estimate(np.frombuffer(r1, "<u2"), np.frombuffer(r2, "<u2"), n1, n2) >= floor))
+                keep.append(100 * small >= percent * large and (small < TINY or estimate(np.frombuffer(r1, "<u2"), np.frombuffer(r2, "<u2"), n1, n2) >= floor))
             yield batch.loc[keep, ["a", "b", "ka", "kb"]]
 
     side = lambda c: classes.select(F.col("id").alias(c), F.col("text_key").alias(f"k{c}"), F.col("registers").alias(f"r{c}"), F.col("n").alias(f"n{c}"))
@@ -171,6 +182,88 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     return checkpointed(with_texts.select("a", "b", "kb", "ta", "tb").mapInPandas(sure, "a long, b long, linked boolean"))
 
 
+BANDS = BUCKETS // BAND
+
+
+def sketch(registers_: bytes) -> bytes:
+    """The low 4 bits of each mantissa, two a byte, and a 16-bit hash of each band."""
+    low = (np.frombuffer(registers_, "<u2") & 15).astype(np.uint8).reshape(-1, 2)
+    size = 2 * BAND
+    return (low[:, 0] | low[:, 1] << 4).tobytes() + b"".join(xxhash.xxh32_digest(registers_[i * size : (i + 1) * size])[:2] for i in range(BANDS))
+
+
+def unpacked(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """4 bits of each register (n, 256) and the hash of each band (n, 42)."""
+    flat = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), BUCKETS // 2 + 2 * BANDS)
+    low = flat[:, : BUCKETS // 2]
+    return np.stack([low & 15, low >> 4], axis=2).reshape(len(sketches), BUCKETS), np.ascontiguousarray(flat[:, BUCKETS // 2 :]).view("<u2")
+
+
+def apart_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """a, b: likely pairs that share a band but no component.
+
+    Of a bucket whose members lie in several components, the members outside the most frequent one
+    are held against all members, in blocks of at most BLOCK by BLOCK, by 4 bits of each register.
+    Pairs well below the threshold are not returned, others at the first band they share.
+    """
+    small_batches(members.sparkSession)
+    placed = checkpointed(labelled(members.select("band", "at", "id"), "id", roots, "root"))
+    several = (
+        placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
+        .agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("main")).where("roots > 1")
+        .select("band", F.col("main.root").alias("main"), F.ceil(F.col("all") / BLOCK).alias("nx"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).alias("ny"))
+    )
+    inside = placed.join(several, "band")
+    make = F.pandas_udf(lambda r: pd.Series([sketch(x) for x in r]), "binary")
+    ids = inside.select("id").distinct()
+    sketches = checkpointed(classes.join(ids, "id", "left_semi").select("id", "n", make("registers").alias("sketch")))
+    inside = inside.join(sketches, "id")
+    deal = lambda n: F.pmod(F.xxhash64("id", "band"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = inside.withColumn("x", deal(F.col("nx"))).withColumn("y", every("ny")).withColumn("outer", F.lit(False))
+    two = inside.where("root != main").withColumn("y", deal(F.col("ny"))).withColumn("x", every("nx")).withColumn("outer", F.lit(True))
+    both = one.unionByName(two).repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    floor, chance_ = least_estimate(percent), 1 / 16
+
+    def compare(held: pd.DataFrame) -> pd.DataFrame | None:
+        outer = held["outer"].to_numpy()
+        if not outer.any() or outer.all():
+            return None
+        xs, ys = held[~outer], held[outer]
+        (x, xband), (y, yband) = unpacked(xs["sketch"].tolist()), unpacked(ys["sketch"].tolist())
+        at, main = int(held["at"].iloc[0]), int(held["main"].iloc[0])
+        xid, xroot, xn = (xs[c].to_numpy() for c in ("id", "root", "n"))
+        a, b = [], []
+        for row, row_bands, yid, yroot, yn in zip(y, yband, ys["id"], ys["root"], ys["n"]):
+            maybe = np.flatnonzero((xroot != yroot) & ((xroot == main) | (xid < yid)) & (100 * np.minimum(xn, yn) >= percent * np.maximum(xn, yn)))
+            if not len(maybe):
+                continue
+            same = x[maybe] == row
+            near = ((same.mean(axis=1) - chance_) / (1 - chance_) >= floor) | (np.minimum(xn[maybe], yn) < TINY)
+            shared = (xband[maybe, :at] == row_bands[:at]) & same[:, : at * BAND].reshape(len(maybe), at, BAND).all(axis=2)
+            near &= ~shared.any(axis=1)  # else an earlier band's bucket returns it
+            a += [yid] * int(near.sum())
+            b += xid[maybe[near]].tolist()
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}) if a else None
+
+    def groups(batches):
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            keys = rest[["band", "x", "y"]].to_numpy()
+            ends = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            if not len(ends):
+                continue
+            for lo, hi in zip([0, *ends[:-1]], ends):
+                if hi - lo > 1 and (out := compare(rest.iloc[lo:hi])) is not None:
+                    yield out
+            rest = rest.iloc[ends[-1] :]
+        if rest is not None and len(rest) > 1 and (out := compare(rest)) is not None:
+            yield out
+
+    return both.select("band", "x", "y", "outer", "at", "main", "id", "root", "n", "sketch").mapInPandas(groups, "a long, b long").distinct()
+
+
 def labelled(rows: DataFrame, node: str, roots: DataFrame, label: str) -> DataFrame:
     """Adds the component of the id in column ``node`` (its own id where it has no link)."""
     return rows.join(roots.select(F.col("node").alias(node), F.col("root").alias("_root")), node, "left").withColumn(label, F.coalesce("_root", node)).drop("_root")
@@ -190,8 +283,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
         .agg(F.min(F.struct("uid", "text_key", "registers", F.col("n_shingles").alias("n"))).alias("one"), F.min("doc_id").alias("low"))
         .select(F.col("one.uid").alias("id"), "one.text_key", "one.registers", "one.n", "low", "set_key")
     )
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * 2 * BAND + 1, F.lit(2 * BAND))))
-    keyed = classes.select("id", F.explode(bands).alias("band"))
+    # Sets of similarity s differ in size by a factor 1 / s at most: their size cells are equal or adjacent.
+    cell = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100.01 / percent)))
+    band = lambda i, c: F.xxhash64(i, c, F.substring(F.col("registers"), i * 2 * BAND + 1, F.lit(2 * BAND)))
+    bands = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.array(band(i, cell), band(i, cell + 1))))
+    keyed = classes.select("id", F.posexplode(bands).alias("at", "band")).withColumn("at", F.floor(F.col("at") / 2).cast("int"))
     centres = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", "band"), "id"))["id"].alias("centre")).where("n > 1").drop("n")
     members = checkpointed(keyed.join(centres, "band"))
     stars = checkpointed(members.where("id != centre").groupBy(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).agg(F.count(F.lit(1)).alias("shared")))
@@ -206,12 +302,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
     roots = components(links)
 
     # Then every pair of a bucket that the components leave apart and no star has tried.
-    placed = checkpointed(labelled(members.select("band", "id"), "id", roots, "root"))
-    mixed_bands = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main")).where("roots > 1").drop("roots")
-    inside = checkpointed(placed.join(mixed_bands, "band"))
-    outer = inside.where("root != main").select("band", F.col("id").alias("y"), F.col("root").alias("ry"))
-    cross = inside.select("band", "id", "root", "main").join(outer, "band").where("root != ry AND (root = main OR id < y)")
-    cross = cross.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    cross = apart_pairs(members, classes, roots, percent).join(stars.select("a", "b"), ["a", "b"], "left_anti")
     last = confirm(checkpointed(cross), classes, docs, k, percent)
     roots = components(links.unionByName(last.where("linked").select("a", "b")))
 
