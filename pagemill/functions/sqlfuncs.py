@@ -10,6 +10,16 @@ from pyspark.sql import SparkSession
 
 from pagemill.functions import sqltext as X
 from pagemill.functions.dialect import SPARK
+from pagemill.functions.urls import REFUSED_IPV4
+
+
+def _private_ipv4(ip: str) -> str:
+    """The range table as SQL: TRUE unless four numbers up to 255 lie outside all refused ranges."""
+    octets = f"transform(split({ip}, '[.]'), p -> CAST(p AS BIGINT))"
+    number = f"aggregate({octets}, 0L, (n, p) -> n * 256 + p)"
+    refused = " OR ".join(f"n BETWEEN {lo} AND {hi}" for _, lo, hi in REFUSED_IPV4)
+    hit = f"exists(array({number}), n -> {refused})"
+    return f"CASE WHEN {ip} RLIKE '^[0-9]{{1,18}}([.][0-9]{{1,18}}){{3}}$' THEN exists({octets}, p -> p > 255) OR {hit} ELSE TRUE END"
 
 
 def _defs() -> dict:
@@ -19,14 +29,7 @@ def _defs() -> dict:
         "pm_tidy_markdown": ("s STRING", "STRING", X.tidy(SPARK, "s")),
         "pm_decode_entities": ("s STRING", "STRING", X.decode_entities(SPARK, "s")),
         "pm_resolve_url": ("base STRING, ref STRING", "STRING", X.resolve_url(SPARK, "base", "ref")),
-        "pm_is_private_ipv4": ("ip STRING", "BOOLEAN", (
-            "CASE WHEN NOT (ip RLIKE '^[0-9]{1,3}([.][0-9]{1,3}){3}$') THEN TRUE ELSE "
-            "(split_part(ip, '.', 1) IN ('0', '10', '127') OR (split_part(ip, '.', 1) = '169' AND split_part(ip, '.', 2) = '254') "
-            "OR (split_part(ip, '.', 1) = '172' AND CAST(split_part(ip, '.', 2) AS INT) BETWEEN 16 AND 31) "
-            "OR (split_part(ip, '.', 1) = '192' AND split_part(ip, '.', 2) = '168') "
-            "OR (split_part(ip, '.', 1) = '100' AND CAST(split_part(ip, '.', 2) AS INT) BETWEEN 64 AND 127) "
-            "OR CAST(split_part(ip, '.', 1) AS INT) > 255 OR CAST(split_part(ip, '.', 2) AS INT) > 255 "
-            "OR CAST(split_part(ip, '.', 3) AS INT) > 255 OR CAST(split_part(ip, '.', 4) AS INT) > 255) END")),
+        "pm_is_private_ipv4": ("ip STRING", "BOOLEAN", _private_ipv4("ip")),
     }
 
 

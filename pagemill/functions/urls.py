@@ -61,11 +61,16 @@ def remove_dot_segments(path: Column) -> Column:
 
 def _ipv4_part(p: Column) -> Column:
     """One IPv4 number part (decimal, 0x hex, leading-0 octal) -> bigint, NULL if invalid."""
+    too_big = F.lit(1 << 40)  # any number of more digits is over 32 bits and so never valid
+
+    def value(digits: Column, radix: int, most: int) -> Column:
+        d = F.regexp_replace(digits, "^0+", "")
+        return F.when(d == "", F.lit(0).cast("bigint")).when(F.length(d) > most, too_big).otherwise(F.conv(d, radix, 10).cast("bigint"))
+
     return (
-        F.when(p.rlike("^0[xX][0-9a-fA-F]*$"),
-               F.when(F.length(p) == 2, F.lit(0).cast("bigint")).otherwise(F.conv(F.substring(p, 3, 64), 16, 10).cast("bigint")))
-        .when(p.rlike("^0[0-7]+$"), F.conv(F.substring(p, 2, 64), 8, 10).cast("bigint"))
-        .when(p.rlike("^[0-9]{1,12}$"), p.cast("bigint"))
+        F.when(p.rlike("^0[xX][0-9a-fA-F]*$"), value(F.regexp_replace(p, "^0[xX]", ""), 16, 9))
+        .when(p.rlike("^0[0-7]*$"), value(p, 8, 12))
+        .when(p.rlike("^[1-9][0-9]*$"), value(p, 10, 11))
     )
 
 
@@ -200,7 +205,7 @@ def is_private_ipv4(ip) -> Column:
     parts = F.split(ip, "\\.", -1)
     nums = F.transform(parts, lambda p: F.when(p.rlike("^\\s*[0-9]*\\s*$"), F.trim(p)))
     # JS Number(''): 0; Number(' 7 '): 7; anything else NaN
-    vals = F.transform(nums, lambda p: F.when(p == "", F.lit(0).cast("bigint")).otherwise(p.cast("bigint")))
+    vals = F.transform(nums, lambda p: F.when(p == "", F.lit(0).cast("bigint")).otherwise(p.try_cast("bigint")))
     ok = (F.size(parts) == 4) & F.forall(vals, lambda x: x.isNotNull() & (x >= 0) & (x <= 255))
     n = F.aggregate(vals, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x)
     return F.when(~ok, F.lit(True)).otherwise(is_private_ipv4_number(n))
@@ -274,7 +279,7 @@ def normalise_urls(df: DataFrame, col: str = "raw_url", out: str = "nu") -> Data
     d = _stage(d, _host=F.when(c("_is_v6"), F.concat(F.lit("["), c("_host_l"), F.lit("]")))
                .when(c("_num"), long_to_ipv4(c("_v4n"))).otherwise(c("_host_l")))
     default_port = F.create_map(*[x for k, v in SPECIAL_PORTS.items() for x in (F.lit(k), F.lit(v))])
-    d = _stage(d, _port_ok=(c("_port_raw") == "") | (c("_port_raw").rlike("^[0-9]{1,5}$") & (F.expr("try_cast(_port_raw AS INT)") <= 65535)),
+    d = _stage(d, _port_ok=(c("_port_raw") == "") | (c("_port_raw").rlike("^[0-9]+$") & F.coalesce(F.expr("try_cast(_port_raw AS INT)") <= 65535, F.lit(False))),
                _port_num=F.expr("try_cast(nullif(_port_raw, '') AS INT)"))
     d = _stage(d, _port=F.when(c("_port_num").isNull() | (c("_port_num") == F.try_element_at(default_port, c("_scheme"))),
                                F.lit(None).cast("string")).otherwise(c("_port_num").cast("string")),
@@ -287,7 +292,7 @@ def normalise_urls(df: DataFrame, col: str = "raw_url", out: str = "nu") -> Data
     from pagemill.functions import sqltext as X
     from pagemill.functions.dialect import SPARK
     d = _stage(d, _path00=F.when(c("_path0") == "", F.lit("/")).otherwise(c("_path0")))
-    d = _stage(d, _path1=F.expr(X.remove_dots(SPARK, "_path00")))
+    d = _stage(d, _path1=remove_dot_segments(c("_path00")))
     d = _stage(d, _path=F.expr(X.pct_encode(SPARK, "_path1", X.PATH_SAFE_CLASS)),
                _qe=F.expr(X.pct_encode(SPARK, "_q", X.QUERY_SAFE_CLASS)),
                _fe=F.expr(X.pct_encode(SPARK, "_frag", X.FRAGMENT_SAFE_CLASS)))

@@ -12,7 +12,7 @@ from pagemill.functions.dialect import SPARK
 from pagemill.functions.text import js_trim
 from pagemill.functions.urls import host_of
 from pagemill.options import (MAX_REDIRECTS, MSG_HTTP_STATUS, MSG_NOT_HTML, MSG_REDIRECT_NO_LOCATION, MSG_TIMEOUT,
-                              MSG_TOO_LARGE, MSG_TOO_MANY_REDIRECTS)
+                              MSG_TOO_LARGE, MSG_TOO_MANY_REDIRECTS, MSG_UNRESOLVED)
 
 # HTTP reason phrases from the standard library (used when a response row has no status text).
 REASON = {s.value: s.phrase for s in HTTPStatus}
@@ -55,10 +55,15 @@ def guard_errors(df: DataFrame, url_col: str, max_bytes: int, check_type: bool =
 
 
 # --- A3 / E3 / D6 ---------------------------------------------------------
+def _chunk_bytes(chunks: DataFrame) -> F.Column:
+    """The bytes of a chunk: a BINARY chunk as it is (a character may be cut between chunks), text as UTF-8."""
+    return F.col("chunk") if dict(chunks.dtypes)["chunk"] == "binary" else F.encode("chunk", "UTF-8")
+
+
 def body_bytes(chunks: DataFrame, max_bytes: int) -> DataFrame:
     """D6 + E3: running byte total per body and the first chunk that trips the cap."""
     w = Window.partitionBy("req_url").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = chunks.select("req_url", "seq", F.sum(F.octet_length("chunk")).over(w).alias("received"))
+    c = chunks.select("req_url", "seq", F.sum(F.octet_length(_chunk_bytes(chunks))).over(w).alias("received"))
     return c.groupBy("req_url").agg(
         F.max("received").cast("bigint").alias("total_bytes"),
         F.min(F.when(F.col("received") > max_bytes, F.col("seq"))).alias("trip_seq"),
@@ -70,7 +75,7 @@ def assemble_body(chunks: DataFrame, max_bytes: int) -> DataFrame:
     running total passes the cap. Only chunks inside the cap are ever collected, so one group
     never holds more than ``max_bytes``."""
     w = Window.partitionBy("req_url").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = chunks.select("req_url", "seq", F.encode("chunk", "UTF-8").alias("b"))
+    c = chunks.select("req_url", "seq", _chunk_bytes(chunks).alias("b"))
     c = c.select("*", F.sum(F.octet_length("b")).over(w).alias("received"))
     g = c.groupBy("req_url").agg(
         F.max("received").cast("bigint").alias("total_bytes"),
@@ -93,21 +98,28 @@ def resolve_redirects(starts: DataFrame, responses: DataFrame, verdicts: DataFra
     """Follow captured redirects for each distinct start URL, re-checking every hop's host.
 
     Unrolled equi-joins (``max_hops + 1`` fetches); only rows still redirecting go on, and the
-    responses side is projected without bodies so no join moves HTML.
+    responses side is projected without bodies so no join moves HTML. ``responses`` may carry each
+    redirect's normalised ``target`` and ``target_error``; with ``verdicts`` a host that has none is refused.
     Output: (src, final_url, hops, status, content_type, page_id, elapsed, chain_error)."""
-    resp = responses.select("req_url", "status", "location", "content_type", "elapsed_ms", "page_id")
+    known = "target" in responses.columns
+    target = [F.col("target"), F.col("target_error")] if known else [F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("target_error")]
+    resp = responses.select("req_url", "status", "location", "content_type", "elapsed_ms", "page_id", *target)
     cur = starts.select(F.col(src_col).alias("src")).distinct().select(
         "src", F.col("src").alias("cur"), F.lit(0).alias("hop"), F.lit(0).cast("bigint").alias("elapsed"))
     done = []
     for hop in range(max_hops + 1):
         x = cur
         if verdicts is not None and (check_hops or hop == 0):
-            x = x.join(verdicts.select(F.col("host").alias("_h"), "verdict"), host_of(F.col("cur")) == F.col("_h"), "left").drop("_h")
+            # a host without any verdict was never checked, which refuses it like one that doesn't resolve
+            judged = verdicts.select(F.col("host").alias("_h"), F.col("verdict").alias("_v"))
+            host = host_of(F.col("cur"))
+            unchecked = F.format_string(MSG_UNRESOLVED.replace("{}", "%s"), host)
+            x = x.join(judged, host == F.col("_h"), "left").withColumn("verdict", F.when(F.col("_h").isNull(), unchecked).otherwise(F.col("_v"))).drop("_h", "_v")
         else:
             x = x.select("*", F.lit(None).cast("string").alias("verdict"))
         x = x.join(resp, x.cur == resp.req_url, "left").drop("req_url")
         elapsed = F.col("elapsed") + F.coalesce(F.col("elapsed_ms"), F.lit(0))
-        x = x.select("src", "cur", "hop", "verdict", "status", "location", "content_type", "page_id", elapsed.alias("elapsed"))
+        x = x.select("src", "cur", "hop", "verdict", "status", "location", "content_type", "page_id", elapsed.alias("elapsed"), "target", "target_error")
         redirect = is_redirect(F.col("status"))
         err = (
             F.when(F.col("verdict").isNotNull(), F.col("verdict"))
@@ -116,7 +128,8 @@ def resolve_redirects(starts: DataFrame, responses: DataFrame, verdicts: DataFra
                   F.lit(MSG_TIMEOUT.format(timeout_ms)))
             .when(redirect & (F.coalesce(F.col("location"), F.lit("")) == ""),
                   F.format_string(MSG_REDIRECT_NO_LOCATION.replace("{}", "%s"), F.col("status")))
-            .when(redirect & F.lit(hop >= max_hops), F.lit(MSG_TOO_MANY_REDIRECTS))
+            .when(redirect & F.col("target_error").isNotNull(), F.col("target_error"))
+            .when(redirect & F.lit(hop >= max_hops), F.lit(MSG_TOO_MANY_REDIRECTS.format(max_hops)))
         )
         x = x.select("*", err.alias("chain_error"))
         go_on = F.col("chain_error").isNull() & redirect
@@ -128,8 +141,8 @@ def resolve_redirects(starts: DataFrame, responses: DataFrame, verdicts: DataFra
             done[-1] = x.where(~go_on).select(
                 "src", F.col("cur").alias("final_url"), F.col("hop").cast("bigint").alias("hops"), "status",
                 "content_type", "page_id", F.col("elapsed").cast("bigint").alias("elapsed"), "chain_error")
-        nxt = x.where(go_on).select("src", "cur", js_trim(F.col("location")).alias("loc"), "elapsed")
-        cur = nxt.select("src", F.expr(X.resolve_url(SPARK, "cur", "loc")).alias("cur"),
+        nxt = x.where(go_on).select("src", "cur", js_trim(F.col("location")).alias("loc"), "elapsed", "target")
+        cur = nxt.select("src", (F.col("target") if known else F.expr(X.resolve_url(SPARK, "cur", "loc"))).alias("cur"),
                          F.lit(hop + 1).alias("hop"), "elapsed")
     out = done[0]
     for d_ in done[1:]:

@@ -55,9 +55,10 @@ def clean_html(d: Dialect, x: str, opts: Options = DEFAULT) -> str:
     blank-content rule while rendering nothing. One pass per removed tag, in order."""
     x = d.rx_replace(x, "\r\n?", "\n")
     x = d.rx_replace(x, "[\\x00-\\x08\\x0B\\x0E-\\x1F]", "")
-    x = d.rx_replace(x, "(?s)<!--.*?-->", PLACEHOLDER)
+    x = d.rx_replace(x, "(?s)<!--.*?(?:-->|\\z)", PLACEHOLDER)
     for t in opts.removed_tags:
-        x = d.rx_replace(x, f"(?is)<{t}\\b[^>]*+>.*?</{t}\\s*>", PLACEHOLDER)
+        end = f"(?:</{t}\\s*>|\\z)" if t in ("script", "style", "iframe") else f"</{t}\\s*>"  # raw text runs to the end if unclosed
+        x = d.rx_replace(x, f"(?is)<{t}\\b[^>]*+>.*?{end}", PLACEHOLDER)
     return x
 
 
@@ -158,17 +159,16 @@ TARGET_PARTITION_BYTES = 64 * 1024 * 1024
 
 
 def page_partition_count(pages: DataFrame, opts: Options = DEFAULT) -> int:
-    """Explicit partition count for the page shuffle: from options, else from Catalyst's size
-    estimate of the input (driver-side metadata only), never below the cluster parallelism.
+    """Explicit partition count for the page shuffle: from options, else from the size
+    of the input files (driver-side metadata only), never below the cluster parallelism.
     An explicit count also stops AQE from coalescing this CPU-heavy stage into a few tasks."""
     if opts.page_partitions:
         return int(opts.page_partitions)
     spark = pages.sparkSession
     floor_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    try:
-        size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # estimate unavailable (e.g. streaming source)
-        return floor_
+    leaves = pages._jdf.queryExecution().optimizedPlan().collectLeaves()
+    scans = [leaf for leaf in (leaves.apply(i) for i in range(leaves.size())) if leaf.nodeName().startswith("LogicalRelation")]
+    size = sum(int(str(leaf.stats().sizeInBytes())) for leaf in scans)  # of the files: a join's estimate is a product
     return max(floor_, -(-size // TARGET_PARTITION_BYTES))
 
 

@@ -31,7 +31,7 @@ MSG_PRIVATE_RESOLVED = 'Refusing to fetch "{}" because it resolves to a private
 MSG_TOO_LARGE = "The page is larger than the {}-byte limit and was not downloaded."
 MSG_TIMEOUT = "The page took longer than {} ms to respond and was aborted."
 MSG_REDIRECT_NO_LOCATION = "The server returned a redirect (HTTP {}) without a destination."
-MSG_TOO_MANY_REDIRECTS = "The page redirected too many times (more than 5)."
+MSG_TOO_MANY_REDIRECTS = "The page redirected too many times (more than {})."
 MSG_HTTP_STATUS = "The server returned HTTP {} ({}) for {}."
 MSG_NOT_HTML = 'That URL is not an HTML page (content-type: "{}"). This tool only reads web pages.'
 MSG_NO_CONTENT = "The page loaded but contained no readable text content to extract."

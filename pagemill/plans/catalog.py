@@ -414,7 +414,7 @@ SELECT h.src, h.cur AS final_url, CAST(h.hop AS BIGINT) AS hops, h.status, CAST(
   CASE WHEN h.status IS NULL THEN 'Could not reach the page: no captured response.'
        WHEN h.elapsed > {{limit}} THEN {_d(MSG_TIMEOUT.format(TEST_TIMEOUT_MS))}
        WHEN h.status BETWEEN 300 AND 399 AND coalesce(h.location, '') = '' THEN {_fmt_duck(MSG_REDIRECT_NO_LOCATION, 'CAST(h.status AS VARCHAR)')}
-       WHEN h.status BETWEEN 300 AND 399 AND h.hop >= 5 THEN {_d(MSG_TOO_MANY_REDIRECTS)} END AS chain_error
+       WHEN h.status BETWEEN 300 AND 399 AND h.hop >= 5 THEN {_d(MSG_TOO_MANY_REDIRECTS.format(5))} END AS chain_error
 FROM h JOIN f ON h.src = f.src AND h.hop = f.mh"""
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.urls import host_of, normalise_urls
+from pagemill.functions.urls import host_of, normalise_urls, resolve_url
 from pagemill.operators.addresses import host_verdicts
 from pagemill.operators.dataset import budget_cutoff, dataset_union, first_error
 from pagemill.operators.requests import clean_requests, first_seen, request_options
@@ -19,6 +19,20 @@ def _fmt(msg: str, *cols) -> F.Column:
     return F.format_string(msg.replace("{}", "%s"), *cols)
 
 
+def redirect_targets(responses: DataFrame) -> DataFrame:
+    """Adds ``target``, where each response's Location leads as a normalised URL, and ``target_error``
+    for a Location that is no web URL. A hop's current URL is its response's, so this holds for every chain."""
+    raw = F.when(F.coalesce(F.col("location"), F.lit("")) != "", resolve_url("req_url", "location"))
+    d = normalise_urls(responses.withColumn("_raw", raw), "_raw", "_t")
+    web = F.col("_t.href").isNotNull() & F.col("_t.protocol").isin("http:", "https:")
+    error = F.when(F.col("_raw").isNull() | web, F.lit(None).cast("string")) \
+        .when(~F.coalesce(F.col("_t.valid"), F.lit(False)), _fmt(MSG_INVALID_URL, F.col("_raw"))) \
+        .otherwise(_fmt(MSG_BAD_SCHEME, F.col("_t.protocol")))
+    out = d.withColumn("target", F.when(web, F.col("_t.href"))).withColumn("target_error", error).drop("_raw", "_t")
+    ensure_checkpoint_dir(responses.sparkSession)
+    return out.checkpoint()
+
+
 def scrape(requests: DataFrame, responses: DataFrame, dns: DataFrame, runs: DataFrame,
            opts: Options = DEFAULT) -> DataFrame:
     """Clean/dedupe requests, normalise, refuse private hosts, follow redirects with per-hop
@@ -34,9 +48,10 @@ def scrape(requests: DataFrame, responses: DataFrame, dns: DataFrame, runs: Data
     n = normalise_urls(reqs, "url", "nu").checkpoint()
     web = F.col("nu.protocol").isin("http:", "https:") & F.col("nu.href").isNotNull()
     starts = n.where(web).select(F.col("nu.href").alias("src"))
+    responses = redirect_targets(responses)
     hosts = starts.select(host_of(F.col("src")).alias("host")).unionByName(
-        responses.where(F.col("location").isNotNull()).select(host_of(F.col("location")).alias("host")))
-    verdicts = host_verdicts(hosts, dns, compat=not opts.extra.get("numeric_ipv6", False)).checkpoint()
+        responses.where(F.col("target").isNotNull()).select(host_of(F.col("target")).alias("host")))
+    verdicts = host_verdicts(hosts, dns, compat=opts.extra.get("textual_ipv6", False)).checkpoint()
     chains = resolve_redirects(starts, responses, verdicts, timeout_ms=opts.timeout_ms, cut_lineage=True).checkpoint()
     sizes = responses.select("page_id", F.octet_length("body").alias("nbytes"))
     r = n.join(chains, F.col("nu.href") == chains.src, "left").join(sizes, "page_id", "left")
