@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def short_lived_shuffles(spark: SparkSession):
+    """DataFrames made inside drop their shuffle files when an action on them ends.
+
+    For chains of checkpointed steps: nothing reads a step's shuffles after its checkpoint, so a chain
+    of any length holds the files of one step. A DataFrame used again just shuffles again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n (the folds of held-out rows)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n)).cast("int")

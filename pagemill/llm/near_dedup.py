@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import checkpointed, short_lived_shuffles, small_batches
 from .components import components
 
 BUCKETS, MANTISSA, BAND = 256, 10, 6
@@ -277,7 +277,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
     doc_ids rank after all others, and a component without any other has a null component_id; kept
     is doc_id = component_id (null-safe). An empty table gives no rows.
     """
-    signs = checkpointed(signatures(docs, k))
+    with short_lived_shuffles(docs.sparkSession):
+        signs = checkpointed(signatures(docs, k))
+        of_set = checkpointed(set_components(signs, docs, k, percent))
+    out = attach(signs.select("uid", "doc_id", "n_shingles", "set_key"), of_set)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def set_components(signs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """set_key, component_id, known (true) of every set that isn't empty."""
     classes = checkpointed(
         signs.where("n_shingles > 0").groupBy("set_key")
         .agg(F.min(F.struct("uid", "text_key", "registers", F.col("n_shingles").alias("n"))).alias("one"), F.min("doc_id").alias("low"))
@@ -308,9 +316,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
 
     found = labelled(classes.select("id", "low", "set_key"), "id", roots, "root")
     lows = found.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_set = found.join(lows, "root").select("set_key", "component_id", F.lit(True).alias("known"))
-    out = attach(signs.select("uid", "doc_id", "n_shingles", "set_key"), checkpointed(of_set))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.join(lows, "root").select("set_key", "component_id", F.lit(True).alias("known"))
 
 
 def attach(rows: DataFrame, of_set: DataFrame, share: int = 1000) -> DataFrame:
