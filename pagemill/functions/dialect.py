@@ -37,6 +37,20 @@ class Dialect:
     def rlike(self, x: str, p: str) -> str:
         return f"({x} RLIKE {self.pat(p)})"
 
+    def rx_count(self, x: str, p: str) -> str:
+        return f"regexp_count({x}, {self.pat(p)})"
+
+    def before(self, x: str, sep: str) -> str:
+        """The part of ``x`` before the first ``sep``."""
+        return f"substring_index({x}, {self.s(sep)}, 1)"
+
+    def split(self, x: str, sep: str) -> str:
+        return f"split({x}, {self.s(sep)}, -1)"
+
+    def fold_text(self, arr: str, acc: str, v: str, body: str) -> str:
+        """Folds an array of strings into one string, from ''."""
+        return f"aggregate({arr}, '', ({acc}, {v}) -> {body})"
+
     # arrays / lambdas ------------------------------------------------------
     def transform(self, arr: str, v: str, body: str) -> str:
         return f"transform({arr}, {v} -> {body})"
@@ -121,6 +135,18 @@ class DuckDialect(Dialect):
     def rlike(self, x: str, p: str) -> str:
         return f"regexp_matches({x}, {self.pat(p)})"
 
+    def rx_count(self, x: str, p: str) -> str:
+        return f"len({self.rx_extract_all(x, p)})"
+
+    def before(self, x: str, sep: str) -> str:
+        return f"split_part({x}, {self.s(sep)}, 1)"
+
+    def split(self, x: str, sep: str) -> str:
+        return f"string_split({x}, {self.s(sep)})"
+
+    def fold_text(self, arr: str, acc: str, v: str, body: str) -> str:
+        return f"list_reduce(list_prepend('', {arr}), lambda {acc}, {v}: {body})"
+
     def transform(self, arr: str, v: str, body: str) -> str:
         return f"list_transform({arr}, lambda {v}: {body})"
 

@@ -6,8 +6,11 @@ Same semantics as ``pagemill.functions.text``; these are what the HTML pipeline
 from __future__ import annotations
 
 from pagemill.functions.dialect import Dialect
-from pagemill.functions.text import ENTITY_MAP, ENTITY_PIECE_RE, MD_ESCAPE_ANYWHERE, MD_ESCAPE_LEADING, MD_ESCAPE_ORDINAL
-from pagemill.options import JS_NON_WS, JS_WS
+from pagemill.functions.text import (
+    LEGACY_RE, MD_ESCAPE_ANYWHERE, MD_ESCAPE_LEADING, MD_ESCAPE_ORDINAL, REF_PIECE_IN_ATTRIBUTE, REF_PIECE_IN_TEXT,
+    REF_START, REF_VALUE, REFERENCES, WORD_BLANKS,
+)
+from pagemill.options import JS_WS
 
 
 def js_trim(d: Dialect, x: str) -> str:
@@ -15,9 +18,9 @@ def js_trim(d: Dialect, x: str) -> str:
 
 
 def word_count(d: Dialect, x: str) -> str:
-    """Maximal non-whitespace runs: each word becomes one 'x' and whitespace disappears."""
-    y = d.rx_replace(d.rx_replace(x, JS_NON_WS + "+", "x"), JS_WS + "+", "")
-    return f"CAST(coalesce(length({y}), 0) AS BIGINT)"
+    """Maximal non-whitespace runs, counted after every white space became a space."""
+    y = f"translate({x}, {d.s(WORD_BLANKS)}, {d.s(' ' * len(WORD_BLANKS))})"
+    return f"CAST(coalesce({d.rx_count(y, '[^ ]++')}, 0) AS BIGINT)"
 
 
 def tidy(d: Dialect, x: str) -> str:
@@ -34,16 +37,31 @@ def _cp(d: Dialect, v: str) -> str:
     return d.cp2str(f"(CASE WHEN {v} <= 0 OR {v} > 1114111 OR {v} BETWEEN 55296 AND 57343 THEN 65533 ELSE {v} END)")
 
 
-def decode_entities(d: Dialect, x: str) -> str:
-    dec = "CAST(substring(p, 3, length(p) - 3) AS BIGINT)"
-    hexv = d.hex2int("substring(p, 4, length(p) - 4)")
+def _reference(d: Dialect, name: str) -> str:
+    """Text of the reference ``name`` from the table, NULL where it has none."""
+    table, key = d.s(REFERENCES), f"({d.s(REF_START)} || {name} || {d.s(REF_VALUE)})"
+    rest = f"substring({table}, CAST(instr({table}, {key}) + length({key}) AS INTEGER))"
+    return f"(CASE WHEN instr({table}, {key}) > 0 THEN {d.before(rest, REF_START)} END)"
+
+
+def decode_entities(d: Dialect, x: str, attribute: bool = False) -> str:
+    """All HTML 5 names, numbers of any length, and the names that need no semicolon; in an
+    attribute those stay as they are before a letter, a digit or '=' (``?a=1&copy=2``)."""
+    digits = d.rx_extract("p", "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    hexadecimal = f"({d.startswith('p', '&#x')} OR {d.startswith('p', '&#X')})"
+    number = (f"(CASE WHEN {digits} = '' THEN 0 WHEN length({digits}) > 7 THEN 1114112 "
+              f"WHEN {hexadecimal} THEN {d.hex2int(digits)} ELSE CAST({digits} AS BIGINT) END)")
+    windows = _reference(d, f"'#' || CAST({number} AS STRING)")
+    legacy = f"^&({LEGACY_RE})"
+    prefix = "p" if attribute else f"CASE WHEN {d.rlike('p', legacy)} THEN {_reference(d, d.rx_extract('p', legacy, 1))} || {d.rx_replace('p', legacy, '')} ELSE p END"
     body = (
         f"CASE WHEN NOT {d.startswith('p', '&')} OR length(p) < 3 THEN p "
-        f"WHEN {d.startswith('p', '&#x')} OR {d.startswith('p', '&#X')} THEN {_cp(d, hexv)} "
-        f"WHEN {d.startswith('p', '&#')} THEN {_cp(d, dec)} "
-        f"ELSE coalesce({d.map_get(d.map_lit(ENTITY_MAP), 'substring(p, 2, length(p) - 2)')}, p) END"
+        f"WHEN {d.startswith('p', '&#')} THEN (CASE WHEN {number} BETWEEN 128 AND 159 THEN coalesce({windows}, {_cp(d, number)}) ELSE {_cp(d, number)} END) "
+        + (f"WHEN {d.rlike('p', legacy + '[=A-Za-z0-9]$')} THEN p " if attribute else "")
+        + f"ELSE coalesce({_reference(d, d.rx_replace('p', '^&|;$', ''))}, {prefix}) END"
     )
-    decoded = d.array_join(d.transform(d.rx_extract_all(x, ENTITY_PIECE_RE), "p", body), "")
+    pieces = REF_PIECE_IN_ATTRIBUTE if attribute else REF_PIECE_IN_TEXT
+    decoded = d.array_join(d.transform(d.rx_extract_all(x, pieces), "p", body), "")
     if x.isidentifier():  # cheap guard: only strings holding '&' go through the lambda
         return f"(CASE WHEN instr({x}, '&') > 0 THEN {decoded} ELSE {x} END)"
     return decoded
@@ -59,7 +77,7 @@ def attr(d: Dialect, tok: str, name: str) -> str:
     """Attribute value of a start-tag token ('' when absent), entities decoded."""
     v = d.rx_extract(tok, f"(?i)[\\s\"'/]{name}\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)", 1)
     v = d.rx_replace(v, "^\"(.*)\"$|^'(.*)'$", "$1$2")
-    return decode_entities(d, v)
+    return decode_entities(d, v, attribute=True)
 
 
 def has_attr(d: Dialect, tok: str, name: str) -> str:
@@ -67,9 +85,6 @@ def has_attr(d: Dialect, tok: str, name: str) -> str:
 
 
 # --- G8 ---------------------------------------------------------------------
-DOT_PASSES = 8  # '..' segments resolved per path (each pass removes one level)
-
-
 PATH_SAFE_CLASS = "!$-;=@-_a-z|~"      # printable ASCII except space " # < > ? ` { }
 QUERY_SAFE_CLASS = "!$-&(-;=?-~"       # printable ASCII except space " # < > '
 FRAGMENT_SAFE_CLASS = "!#-;=?-_a-~"    # printable ASCII except space " < > `
@@ -87,11 +102,14 @@ def pct_encode_path(d: Dialect, x: str) -> str:
 
 
 def remove_dots(d: Dialect, x: str) -> str:
-    x = d.rx_replace(x, "/\\.(/|$)", "/")
-    x = d.rx_replace(x, "/\\.(/|$)", "/")
-    for _ in range(DOT_PASSES):
-        x = d.rx_replace(x, "/[^/]+/\\.\\.(/|$)", "/")
-    return d.rx_replace(x, "^(/\\.\\.)+(/|$)", "/")
+    """'.' and '..' segments (also as %2e) of a path from its '/', folded from left to right."""
+    path = d.rx_replace(x, "(?i)(/(?:\\.|%2e){1,2})$", "$1/")  # a dot segment at the end leaves a '/'
+    step = (
+        "CASE WHEN lower(sg) IN ('.', '%2e') THEN acc "
+        f"WHEN lower(sg) IN ('..', '.%2e', '%2e.', '%2e%2e') THEN {d.rx_replace('acc', '/[^/]*$', '')} "
+        "ELSE acc || '/' || sg END"
+    )
+    return d.fold_text(d.split(f"substring({path}, 2)", "/"), "acc", "sg", step)
 
 
 def resolve_url(d: Dialect, base: str, ref: str) -> str:

@@ -6,12 +6,12 @@ code-generate it inside the surrounding stage.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.options import JS_NON_WS, JS_WS
+from pagemill.options import JS_WS, JS_WS_CODEPOINTS
 
 
 def _c(col) -> Column:
@@ -25,11 +25,13 @@ def js_trim(col) -> Column:
 
 
 # --- D1 -------------------------------------------------------------------
+WORD_BLANKS = "".join(chr(c) for c in JS_WS_CODEPOINTS if c != 0x20)
+
+
 def word_count(col) -> Column:
-    """Number of maximal runs of non-whitespace (JS ``split(/\\s+/).filter(Boolean).length``)."""
-    # every word becomes one 'x', whitespace disappears: the length is the count (no arrays)
-    c = F.regexp_replace(F.regexp_replace(_c(col), f"{JS_NON_WS}+", "x"), f"{JS_WS}+", "")
-    return F.coalesce(F.length(c), F.lit(0)).cast("bigint")
+    """Number of maximal runs of characters that aren't white space (0 for NULL)."""
+    c = F.translate(_c(col), WORD_BLANKS, " " * len(WORD_BLANKS))
+    return F.coalesce(F.regexp_count(c, F.lit("[^ ]++")), F.lit(0)).cast("bigint")
 
 
 # --- H17 ------------------------------------------------------------------
@@ -47,71 +49,24 @@ def collapse_ws(col) -> Column:
 
 
 # --- G9 -------------------------------------------------------------------
-# Named references come from the Python standard library's HTML 4 table (252 names),
-# so nothing is typed by hand; numeric references cover the rest of Unicode.
-ENTITY_MAP = {name: chr(cp) for name, cp in sorted(name2codepoint.items())}
-ENTITY_PIECE_RE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});|[^&]+|&"
-
-
-def sql_lit(v: str) -> str:
-    """A Spark SQL string literal for ``v``."""
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-# One SQL literal (parsed once on the JVM side, constant-folded) instead of 504 lit() calls.
-ENTITY_MAP_SQL = "map(" + ", ".join(f"{sql_lit(k)}, {sql_lit(v)}" for k, v in ENTITY_MAP.items()) + ")"
-
-
-def _entity_map_col() -> Column:
-    return F.expr(ENTITY_MAP_SQL)
-
-
-def codepoint_to_str(cp: Column) -> Column:
-    """Code point -> one-character string; invalid code points -> U+FFFD (HTML rule)."""
-    bad = (cp <= 0) | (cp > 0x10FFFF) | cp.between(0xD800, 0xDFFF)
-    safe = F.when(bad, F.lit(0xFFFD)).otherwise(cp)
-    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
-
-
-def _cp_sql(v: str) -> str:
-    return (f"decode(unhex(lpad(hex(CASE WHEN {v} <= 0 OR {v} > 1114111 OR {v} BETWEEN 55296 AND 57343 "
-            f"THEN 65533 ELSE {v} END), 8, '0')), 'UTF-32')")
-
-
-def decode_entities_sql(x: str) -> str:
-    """SQL text of decode_entities over the SQL expression ``x`` (parsed once by Spark)."""
-    dec = "cast(substring(p, 3, length(p) - 3) as bigint)"
-    hexv = "cast(conv(substring(p, 4, length(p) - 4), 16, 10) as bigint)"
-    return (
-        f"array_join(transform(regexp_extract_all({x}, {sql_lit(ENTITY_PIECE_RE)}, 0), p -> CASE "
-        f"WHEN NOT startswith(p, '&') OR length(p) < 3 THEN p "
-        f"WHEN startswith(p, '&#x') OR startswith(p, '&#X') THEN {_cp_sql(hexv)} "
-        f"WHEN startswith(p, '&#') THEN {_cp_sql(dec)} "
-        f"ELSE coalesce(try_element_at({ENTITY_MAP_SQL}, substring(p, 2, length(p) - 2)), p) END), '')"
-    )
-
-
-def decode_entities(col) -> Column:
-    """Decode character references (named HTML 4 set + decimal/hex numeric)."""
-    if isinstance(col, str):
-        return F.expr(decode_entities_sql(f"`{col}`"))
-    c = _c(col)
-    emap = _entity_map_col()
-
-    def piece(p: Column) -> Column:
-        n = F.length(p)
-        dec = F.substring(p, F.lit(3), n - 3).cast("bigint")
-        hexv = F.conv(F.substring(p, F.lit(4), n - 4), 16, 10).cast("bigint")
-        name = F.substring(p, F.lit(2), n - 2)
-        return (
-            F.when(~p.startswith("&") | (n < 3), p)
-            .when(p.startswith("&#x") | p.startswith("&#X"), codepoint_to_str(hexv))
-            .when(p.startswith("&#"), codepoint_to_str(dec))
-            .otherwise(F.coalesce(F.try_element_at(emap, name), p))
-        )
-
-    # input used once: callers may pass large expressions, which must not be duplicated
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(ENTITY_PIECE_RE), 0), piece), "")
+# Character references come from the Python standard library: all HTML 5 names, those among them
+# that need no semicolon, and for the numbers 128-159 the Windows-1252 characters, as in HTML.
+def _references() -> dict[str, str]:
+    table = {name: html5[name + ";"] for name in ("amp", "lt", "gt", "quot", "nbsp", "apos")}  # found first
+    for n in range(128, 160):
+        char = bytes([n]).decode("cp1252", "ignore")
+        if char:
+            table[f"#{n}"] = char
+    return table | {name.rstrip(";"): value for name, value in sorted(html5.items())}
+
+
+REF_START, REF_VALUE = "\x01", "\x02"
+#: One literal, START name VALUE text for each reference: cheap to parse, searched with instr.
+REFERENCES = "".join(f"{REF_START}{name}{REF_VALUE}{value}" for name, value in _references().items()) + REF_START
+LEGACY_RE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_REF = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|"
+REF_PIECE_IN_TEXT = f"{_REF}(?:{LEGACY_RE}))|[^&]+|&"
+REF_PIECE_IN_ATTRIBUTE = f"{_REF}(?:{LEGACY_RE})[=A-Za-z0-9]|(?:{LEGACY_RE}))|[^&]+|&"
 
 
 # --- H15 ------------------------------------------------------------------
