@@ -97,54 +97,55 @@ def resolve_redirects(starts: DataFrame, responses: DataFrame, verdicts: DataFra
                       src_col: str = "src", cut_lineage: bool = False) -> DataFrame:
     """Follow captured redirects for each distinct start URL, re-checking every hop's host.
 
-    Unrolled equi-joins (``max_hops + 1`` fetches); only rows still redirecting go on, and the
-    responses side is projected without bodies so no join moves HTML. ``responses`` may carry each
-    redirect's normalised ``target`` and ``target_error``; with ``verdicts`` a host that has none is refused.
+    A linear fold of ``max_hops + 1`` fetches: one row per chain, finished chains are carried along
+    under a key of their own that meets no response, so no hop is computed twice and no key is
+    shared by the finished ones. The responses side has no bodies, so no join moves HTML. ``responses``
+    may carry each redirect's normalised ``target`` and ``target_error``; with ``verdicts`` a host that has none is refused.
     Output: (src, final_url, hops, status, content_type, page_id, elapsed, chain_error)."""
+    text = F.lit(None).cast("string")
     known = "target" in responses.columns
-    target = [F.col("target"), F.col("target_error")] if known else [F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("target_error")]
-    resp = responses.select("req_url", "status", "location", "content_type", "elapsed_ms", "page_id", *target)
-    cur = starts.select(F.col(src_col).alias("src")).distinct().select(
-        "src", F.col("src").alias("cur"), F.lit(0).alias("hop"), F.lit(0).cast("bigint").alias("elapsed"))
-    done = []
+    fetched = ["status", "content_type", "page_id"]
+    kinds = dict(responses.dtypes)
+    chains = starts.select(F.col(src_col).alias("src")).distinct().select(
+        "src", F.col("src").alias("cur"), F.lit(0).alias("hop"), F.lit(0).cast("bigint").alias("elapsed"), F.lit(True).alias("going"),
+        *[F.lit(None).cast(kinds[c]).alias(c) for c in fetched], text.alias("chain_error"))
+    going, own = F.col("going"), F.concat(F.lit("\x00"), F.col("src"))
     for hop in range(max_hops + 1):
-        x = cur
+        x = chains
         if verdicts is not None and (check_hops or hop == 0):
             # a host without any verdict was never checked, which refuses it like one that doesn't resolve
             judged = verdicts.select(F.col("host").alias("_h"), F.col("verdict").alias("_v"))
-            host = host_of(F.col("cur"))
-            unchecked = F.format_string(MSG_UNRESOLVED.replace("{}", "%s"), host)
-            x = x.join(judged, host == F.col("_h"), "left").withColumn("verdict", F.when(F.col("_h").isNull(), unchecked).otherwise(F.col("_v"))).drop("_h", "_v")
+            x = x.withColumn("_host", F.when(going, host_of(F.col("cur"))).otherwise(own))
+            unchecked = F.format_string(MSG_UNRESOLVED.replace("{}", "%s"), F.col("_host"))
+            x = x.join(judged, F.col("_host") == F.col("_h"), "left").withColumn("_verdict", F.when(F.col("_h").isNull(), unchecked).otherwise(F.col("_v")))
         else:
-            x = x.select("*", F.lit(None).cast("string").alias("verdict"))
-        x = x.join(resp, x.cur == resp.req_url, "left").drop("req_url")
-        elapsed = F.col("elapsed") + F.coalesce(F.col("elapsed_ms"), F.lit(0))
-        x = x.select("src", "cur", "hop", "verdict", "status", "location", "content_type", "page_id", elapsed.alias("elapsed"), "target", "target_error")
-        redirect = is_redirect(F.col("status"))
+            x = x.withColumn("_verdict", text)
+        resp = responses.select(
+            F.col("req_url").alias("_req"), js_trim(F.col("location")).alias("_loc"), F.col("location").alias("_location"),
+            F.col("elapsed_ms").alias("_ms"), *[F.col(c).alias(f"_{c}") for c in fetched],
+            (F.col("target") if known else text).alias("_target"), (F.col("target_error") if known else text).alias("_target_error"))
+        x = x.withColumn("_key", F.when(going, F.col("cur")).otherwise(own)).join(resp, F.col("_key") == F.col("_req"), "left")
+        spent = (F.col("elapsed") + F.when(going, F.coalesce(F.col("_ms"), F.lit(0))).otherwise(F.lit(0))).cast("bigint")
+        x = x.withColumn("_spent", spent)
+        redirect = is_redirect(F.col("_status"))
         err = (
-            F.when(F.col("verdict").isNotNull(), F.col("verdict"))
-            .when(F.col("status").isNull(), F.lit("Could not reach the page: no captured response."))
-            .when(F.lit(timeout_ms is not None) & (F.col("elapsed") > F.lit(timeout_ms or 0)),
+            F.when(F.col("_verdict").isNotNull(), F.col("_verdict"))
+            .when(F.col("_status").isNull(), F.lit("Could not reach the page: no captured response."))
+            .when(F.lit(timeout_ms is not None) & (F.col("_spent") > F.lit(timeout_ms or 0)),
                   F.lit(MSG_TIMEOUT.format(timeout_ms)))
-            .when(redirect & (F.coalesce(F.col("location"), F.lit("")) == ""),
-                  F.format_string(MSG_REDIRECT_NO_LOCATION.replace("{}", "%s"), F.col("status")))
-            .when(redirect & F.col("target_error").isNotNull(), F.col("target_error"))
+            .when(redirect & (F.coalesce(F.col("_location"), F.lit("")) == ""),
+                  F.format_string(MSG_REDIRECT_NO_LOCATION.replace("{}", "%s"), F.col("_status")))
+            .when(redirect & F.col("_target_error").isNotNull(), F.col("_target_error"))
             .when(redirect & F.lit(hop >= max_hops), F.lit(MSG_TOO_MANY_REDIRECTS.format(max_hops)))
         )
-        x = x.select("*", err.alias("chain_error"))
-        go_on = F.col("chain_error").isNull() & redirect
-        done.append(x.where(~go_on).select(
-            "src", F.col("cur").alias("final_url"), F.col("hop").cast("bigint").alias("hops"), "status", "content_type",
-            "page_id", F.col("elapsed").cast("bigint").alias("elapsed"), "chain_error"))
-        if cut_lineage:  # hop tables are small; a checkpoint keeps the unrolled plan linear
-            x = x.checkpoint()
-            done[-1] = x.where(~go_on).select(
-                "src", F.col("cur").alias("final_url"), F.col("hop").cast("bigint").alias("hops"), "status",
-                "content_type", "page_id", F.col("elapsed").cast("bigint").alias("elapsed"), "chain_error")
-        nxt = x.where(go_on).select("src", "cur", js_trim(F.col("location")).alias("loc"), "elapsed", "target")
-        cur = nxt.select("src", (F.col("target") if known else F.expr(X.resolve_url(SPARK, "cur", "loc"))).alias("cur"),
-                         F.lit(hop + 1).alias("hop"), "elapsed")
-    out = done[0]
-    for d_ in done[1:]:
-        out = out.unionByName(d_)
-    return out
+        x = x.withColumn("_error", F.when(going, err))
+        x = x.withColumn("_on", going & F.col("_error").isNull() & F.coalesce(redirect, F.lit(False)))
+        target = F.col("_target") if known else F.expr(X.resolve_url(SPARK, "cur", "_loc"))
+        chains = x.select(
+            "src", F.when(F.col("_on"), target).otherwise(F.col("cur")).alias("cur"),
+            (F.col("hop") + F.col("_on").cast("int")).alias("hop"), F.col("_spent").alias("elapsed"), F.col("_on").alias("going"),
+            *[F.when(going, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in fetched],
+            F.when(going, F.col("_error")).otherwise(F.col("chain_error")).alias("chain_error"))
+        if cut_lineage:  # one narrow row per chain
+            chains = chains.checkpoint()
+    return chains.select("src", F.col("cur").alias("final_url"), F.col("hop").cast("bigint").alias("hops"), *fetched, "elapsed", "chain_error")
