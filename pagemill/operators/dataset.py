@@ -104,8 +104,8 @@ def render_document(results: DataFrame) -> DataFrame:
 
 
 def iso_utc(ts) -> F.Column:
-    """ISO-8601 UTC with milliseconds."""
-    return F.date_format(F.to_utc_timestamp(ts, "UTC"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """ISO-8601 UTC with milliseconds, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:

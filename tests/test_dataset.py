@@ -40,3 +40,15 @@ def test_run_status_text(spark):
 def test_render_document(spark):
     df = spark.createDataFrame([("T", None, "http://a/", 2, "x y")], "title string, site_name string, url string, word_count bigint, markdown string")
     assert render_document(df).first().document == "# T\n**URL:** http://a/\n**Words:** 2\n\n---\n\nx y"
+
+
+def test_iso_utc_in_any_time_zone(spark):
+    from pagemill.operators.dataset import iso_utc
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Kolkata", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            row = spark.range(1).select(iso_utc(F.timestamp_millis(F.lit(1700000000123))).alias("t")).first()
+            assert row.t == "2023-11-14T22:13:20.123Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
