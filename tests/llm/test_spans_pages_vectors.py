@@ -75,6 +75,33 @@ def test_extract_cases(spark):
     assert wrappers.extract_main_text(frame.limit(0)).collect() == []
 
 
+def test_templates_beyond_eight_pages_keep_their_text(spark):
+    """Hosts with many pages of one template and few of others: every template's text stays."""
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows, want = [], {}
+
+    def add(host, body, *texts):
+        i = len(rows)
+        rows.append((i, f"http://{host}/{i}", f"<html><body>{body}</body></html>"))
+        want[i] = "\n\n".join(texts)
+
+    for i in range(60):
+        add("a.example", f"<article><p>{words(i, 30)}</p></article>", words(i, 30))
+        add("b.example", f"<div class='story'><p>{words(i, 30)}</p></div><div class='legal'><p>{'fixed ' * 40}</p></div>", words(i, 30))
+    add("a.example", f"<article></article><div class='entry'><p>{words(100, 20)}</p></div>", words(100, 20))
+    add("a.example", f"<article><p>{words(101, 20)}</p></article><article class='late'><p>{words(102, 20)}</p></article>", words(101, 20), words(102, 20))
+    add("a.example", f"<section><article><p>{words(103, 20)}</p></article></section><article><p>{words(104, 20)}</p></article>", words(103, 20), words(104, 20))
+    add("a.example", "<article><ul><li><a href='x'>only links</a></li></ul></article>", "only links")
+    add("b.example", f"<div class='story'><p>{words(105, 20)}</p></div><div class='update'><p>{words(106, 20)}</p></div>", words(105, 20), words(106, 20))
+    for i in (110, 120):
+        add("b.example", f"<div class='story'><p>{words(i, 20)}</p></div><div class='note'><p>{words(i + 1, 20)}</p></div>", words(i, 20), words(i + 1, 20))
+    add("b.example", f"<div class='story' hidden><p>no</p></div><div class='story'><p>{words(130, 20)}</p></div>", words(130, 20))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(frame).collect()}
+    assert got == want
+    assert {r["page_id"]: r["text"] for r in wrappers.extract_main_text(frame.repartition(7, "url")).collect()} == want
+
+
 def test_top_k_cases(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "BLOCK", 16)
     rng = np.random.default_rng(3)
