@@ -5,14 +5,16 @@ numbers), which always stay. Looser patterns propose further candidates: spelled
 in national phone formats, unchecked card and dotted numbers. Labelers of three sorts vote on every
 candidate, base or not: regular expressions (shape and checksum), gazetteers (mail domains' endings,
 card issuers' leading digits) and context (words before the span). Expectation-maximisation finds
-each labeler's reliability and each sampled candidate's probability; these train a logistic span
-classifier on the votes and the span's shape, which decides on the candidates of all texts.
+each labeler's reliability and each candidate's probability; these train a logistic span classifier
+on the votes and the span's shape, which decides on the candidates. Both learn from the counts of
+(kind, length, votes) over every candidate of all texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -20,11 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .sampling import uniform
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bounds of the training sample: documents read, bytes of one of them, candidates kept of one.
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_SPANS = 4000, 20_000, 40
+#: Longer spans are counted together by powers of two, so that the counts collected are bounded.
+LENGTHS = 64
 ROUNDS = 30
 
 LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -154,22 +155,24 @@ def votes(text: str, start: int, kind: int, end: int) -> list[int]:
 LABELERS = 5
 
 
-def em(v: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+def em(v: np.ndarray, kinds: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
     """P(personal data) of each candidate: expectation-maximisation of one prior for each kind and
-    each labeler's rates of its three votes under either truth, starting from the majority."""
+    each labeler's rates of its three votes under either truth, starting from the majority. Row i
+    stands for n[i] candidates (one by default)."""
+    n = np.ones(len(v)) if n is None else n
     p = 1 / (1 + np.exp(-v.sum(axis=1) - 0.25))
     for _ in range(ROUNDS):
         log_odds = np.zeros(len(v))
         for kind in np.unique(kinds):
             own = kinds == kind
-            q = p[own]
-            prior = np.clip((q.sum() + 1) / (len(q) + 2), 0.02, 0.98)
+            q, m = p[own] * n[own], n[own]
+            prior = np.clip((q.sum() + 1) / (m.sum() + 2), 0.02, 0.98)
             odds = np.full(own.sum(), np.log(prior / (1 - prior)))
             for k in range(v.shape[1]):
                 for vote in (-1, 0, 1):
                     cast = v[own, k] == vote
                     yes = (q[cast].sum() + 1 + vote) / (q.sum() + 3)
-                    no = ((1 - q[cast]).sum() + 1 - vote) / ((1 - q).sum() + 3)
+                    no = ((m - q)[cast].sum() + 1 - vote) / ((m - q).sum() + 3)
                     odds[cast] += np.clip(np.log(max(yes, 1e-3) / max(no, 1e-3)), -3, 3)
             log_odds[own] = odds
         p = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
@@ -183,14 +186,23 @@ def shape_of(v: np.ndarray, kinds: np.ndarray, lengths: np.ndarray) -> np.ndarra
     return np.hstack([v, by_kind, kind, (lengths[:, None] - 15) / 10, np.ones((len(v), 1))]).astype(float)
 
 
-def train(v: np.ndarray, kinds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Weights of the span classifier, by gradient steps towards the labelers' posterior."""
-    p, x = em(v, kinds), shape_of(v, kinds, lengths)
-    w = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton steps on a ridge
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (p - q) - 0.5 * w)
+def train(v: np.ndarray, kinds: np.ndarray, lengths: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the span classifier, by Newton steps on a ridge towards the labelers' posterior; a
+    step is halved until the loss falls. Row i stands for n[i] candidates."""
+    n = np.ones(len(v)) if n is None else n
+    p, x = em(v, kinds, n), shape_of(v, kinds, lengths)
+    w, ridge = np.zeros(x.shape[1]), max(0.5, 1e-9 * n.sum())  # large counts: solvable in floats
+    loss = lambda w: (n * (np.logaddexp(0, x @ w) - p * (x @ w))).sum() + ridge / 2 * w @ w
+    now = loss(w)
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        h = (x * (n * q * (1 - q))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (n * (p - q)) - ridge * w)
+        while (then := loss(w + step)) > now and np.abs(step).max() > 1e-10:
+            step /= 2
+        if then > now or np.abs(step).max() <= 1e-10:
+            break
+        w, now = w + step, then
     return w
 
 
@@ -222,27 +234,39 @@ def all_spans(text: str, weights: np.ndarray | None) -> tuple[list, list]:
     return base, sorted(out)
 
 
-def fit(docs: DataFrame) -> np.ndarray | None:
-    """Weights learned from the candidates of a bounded sample of the documents that hold digits or @."""
+def length_class(length: int) -> int:
+    return length if length <= LENGTHS else 1 << length.bit_length()
+
+
+def histogram(docs: DataFrame) -> DataFrame:
+    """kind, class (of lengths), votes, n, length (mean): counts of every candidate of all documents.
+
+    At most 4 kinds, 64 lengths and 31 classes of longer spans, and 3 ** 5 votes, however many documents.
+    """
     small_batches(docs.sparkSession)
-    ids = docs.where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= SAMPLE_BYTES)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = ids.count()
 
     def vote(batches):
         for batch in batches:
-            rows = []
+            n, total = Counter(), Counter()
             for t in batch["text"].tolist():
-                spans = sorted(set(base_spans(t)) | set(candidates(t)))[:SAMPLE_SPANS]
-                rows += [(kind, b - a, votes(t, a, kind, b)) for a, kind, b in spans]
-            yield pd.DataFrame(rows, columns=["kind", "length", "votes"])
+                for a, kind, b in set(base_spans(t)) | set(candidates(t)):
+                    key = (kind, length_class(b - a), tuple(votes(t, a, kind, b)))
+                    n[key] += 1
+                    total[key] += b - a
+            yield pd.DataFrame([(*k, n[k], total[k]) for k in n], columns=["kind", "class", "votes", "n", "total"])
+
+    texts = docs.where(F.col("text").rlike("[0-9@]|at[)\\]}]")).select("text")
+    counted = texts.mapInPandas(vote, "kind int, class long, votes array<int>, n long, total long")
+    return counted.groupBy("kind", "class", "votes").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("length"))
 
-    drawn = ids.where(uniform("personal", "doc_id") * F.lit(float(max(total, 1))) < SAMPLE_DOCS)
-    rows = drawn.mapInPandas(vote, "kind int, length int, votes array<int>").groupBy("kind", "length", "votes").agg(F.count(F.lit(1)).alias("n")).orderBy("kind", "length", "votes").collect()
+
+def fit(docs: DataFrame) -> np.ndarray | None:
+    """Weights learned from every candidate of all documents, by their counts."""
+    rows = histogram(docs).orderBy("kind", "class", "votes").collect()
     if not rows:
         return None
-    repeat = [min(r["n"], 1000) for r in rows]
-    stack = lambda c: np.repeat(np.array([r[c] for r in rows]), repeat, axis=0)
-    return train(stack("votes"), stack("kind"), stack("length"))
+    column = lambda c: np.array([r[c] for r in rows])
+    return train(column("votes"), column("kind"), column("length"), column("n").astype(float))
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

@@ -45,6 +45,30 @@ def test_personal_data_cases(spark):
     assert personal_data.detect(docs(spark, [])).collect() == []
 
 
+def test_personal_data_learns_from_every_candidate(spark):
+    """The model is the one of all candidates: long documents, late spans and frequent votes count in full."""
+    orders = "".join(f"order 4{i:015d}. " for i in range(1500))
+    listing = "".join(f"item 10{i}.1.2.3.4, " for i in range(45)) + "".join(f"phone (212) 555-01{i:02d}; " for i in range(60))
+    assert len(orders) > 20_000
+    texts = [orders, listing, "mail bob (at) example (dot) org", "call +1 (212) 555-0123 or 030 1234 5678", "host 10.0.0.1 card 4111 1111 1111 1111 a@b.example", "x" * 300 + "@example.com"]
+    spans = [(t, *s) for t in texts for s in sorted(set(personal_data.base_spans(t)) | set(personal_data.candidates(t)))]
+    votes = np.array([personal_data.votes(t, a, kind, b) for t, a, kind, b in spans])
+    kinds, lengths = np.array([s[2] for s in spans]), np.array([s[3] - s[1] for s in spans])
+    frame = docs(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    assert np.allclose(personal_data.fit(frame), personal_data.train(votes, kinds, lengths), atol=1e-6)
+    assert personal_data.fit(frame.where("doc_id = 2")) is not None
+
+
+def test_personal_data_counts_are_weights():
+    rng = np.random.default_rng(0)
+    v, kinds, lengths = rng.integers(-1, 2, (40, 5)), rng.integers(0, 4, 40), rng.integers(5, 40, 40)
+    n = rng.integers(1, 3000, 40)
+    each = [np.repeat(a, n, axis=0) for a in (v, kinds, lengths)]
+    assert np.allclose(personal_data.em(v, kinds, n), personal_data.em(*each[:2])[np.cumsum(n) - 1], atol=1e-9)
+    assert np.allclose(personal_data.train(v, kinds, lengths, n), personal_data.train(*each), atol=1e-6)
+    assert np.isfinite(personal_data.train(v, kinds, lengths, n * 1e9)).all()
+
+
 PAGE = "<html><head><title>T &amp; x</title><script>var a='<p>no</p>'</script></head><body><nav><ul><li>menu {i}</ul></nav><div class='ad'>buy {i}</div>{open}<h1>Head {i}</h1><p>One&nbsp; &eacute; {i}<br>two<p>Three <b>bold {i}</b> text<aside>side {i}</aside><section class='comments'><p>reader {i}</p></section>{close}<footer>foot {i}</footer>"
 WANT = "Head {i}\n\nOne é {i} two\n\nThree bold {i} text"
 
