@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pagemill.functions import sqltext as X
 from pagemill.functions.dialect import Agg, Dialect, Sel, all_w, prev_w, run_w
-from pagemill.operators.markdown import B_C, BULLET, I_C, K_C, S_C, fenced, finish_inline, fragment_sql, indent_lines
+from pagemill.operators.markdown import B_C, BULLET, DEFAULT_RULES, I_C, K_C, S_C, changes_sql, emits_sql, fenced, finish_inline, fragment_sql, indent_lines
 from pagemill.operators.tokens import LEVEL_TAGS, LIST_TAGS, in_list, nesting_stages, token_stages
 from pagemill.options import DEFAULT, Options
 
@@ -19,6 +19,8 @@ BOILER_LD = "(1.0 / 3.0)"
 W_BLK_RUN = run_w("page_id", "blk")
 W_BLK_PREV = prev_w("page_id", "blk")
 W_BLK_NEXT = prev_w("page_id", "blk DESC")
+W_IN_RUN = run_w("page_id, blk", "pos")
+W_IN_PREV = prev_w("page_id, blk", "pos")
 W_LVL_RUN = run_w("page_id, lvl_key", "blk")
 W_PAGE = all_w("page_id")
 
@@ -35,10 +37,15 @@ def block_stages(d: Dialect, opts: Options = DEFAULT) -> list:
                f"WHEN {in_list('tag', LEVEL_TAGS)} AND c = 1 THEN d_lvl + 1 WHEN tag = 'li' AND o = 1 THEN d_lvl END")
     first = lambda x: d.min_by(x, "pos")
 
-    def cnt(tags, kind):
-        return f"CAST(sum(CASE WHEN {in_list('tag', tags)} AND {kind} = 1 AND d_pre = 0 THEN 1 ELSE 0 END) AS BIGINT)"
+    rules = {r.name: r for r in DEFAULT_RULES}
+
+    def cnt(name, kind):
+        return f"CAST(sum(CASE WHEN {emits_sql(rules[name], kind)} THEN 1 ELSE 0 END) AS BIGINT)"
 
     return [
+        Sel(cols=[(f"f_{n}", f"sum({changes_sql(r)}) {W_IN_RUN}") for n, r in rules.items()]),
+        # depth of each inline rule in its block, clamped at 0 before the token
+        Sel(cols=[(f"e_{n}", f"f_{n} - least(0, coalesce(min(f_{n}) {W_IN_PREV}, 0))") for n in rules]),
         Sel(cols=[("frag", fragment_sql(d, opts)), ("markup", markup), ("lang", lang), ("lvl_key0", lvl_key)]),
         Agg(["page_id", "blk"], [
             ("url", "min(url)"),
@@ -55,10 +62,10 @@ def block_stages(d: Dialect, opts: Options = DEFAULT) -> list:
             ("plain", d.listagg("txt", "pos")),
             ("words", "CAST(sum(words) AS BIGINT)"),
             ("link_words", "CAST(sum(CASE WHEN d_a > 0 THEN words ELSE 0 END) AS BIGINT)"),
-            ("n_b_o", cnt(("b", "strong"), "o")), ("n_b_c", cnt(("b", "strong"), "c")),
-            ("n_i_o", cnt(("i", "em"), "o")), ("n_i_c", cnt(("i", "em"), "c")),
-            ("n_s_o", cnt(("del", "s", "strike"), "o")), ("n_s_c", cnt(("del", "s", "strike"), "c")),
-            ("n_k_o", cnt(("code",), "o")), ("n_k_c", cnt(("code",), "c")),
+            ("n_b_o", cnt("strong", "o")), ("n_b_c", cnt("strong", "c")),
+            ("n_i_o", cnt("emphasis", "o")), ("n_i_c", cnt("emphasis", "c")),
+            ("n_s_o", cnt("strikethrough", "o")), ("n_s_c", cnt("strikethrough", "c")),
+            ("n_k_o", cnt("code", "o")), ("n_k_c", cnt("code", "c")),
             ("cells", "CAST(sum(CASE WHEN tag IN ('td', 'th') AND o = 1 THEN 1 ELSE 0 END) AS BIGINT)"),
             ("markup", "max(CASE WHEN markup THEN 1 ELSE 0 END)"),
             ("lang", d.min_by("lang", "CASE WHEN lang IS NOT NULL THEN pos END")),

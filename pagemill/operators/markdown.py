@@ -1,7 +1,8 @@
 """HTML tokens -> Markdown.
 
 Each token maps to a fragment; inline elements emit private control-character
-sentinels that are paired per block with regular expressions (so stray or unclosed
+sentinels, only where their kind's depth in the block goes 0 to 1 or 1 to 0 (so no kind
+nests in itself, at any depth), that are paired per block with regular expressions (so stray or unclosed
 tags never unbalance the output), block-level structure becomes a per-block prefix,
 and the page is one ordered ``listagg`` of blocks.
 """
@@ -60,6 +61,17 @@ def _tags(tags) -> str:
     return "(" + ", ".join(f"'{t}'" for t in tags) + ")"
 
 
+def changes_sql(rule: Rule) -> str:
+    """+1 and -1 at the tags of a rule that count (outside <head> and pre), else 0."""
+    return f"CASE WHEN tag IN {_tags(rule.tags)} AND d_pre = 0 AND NOT in_head THEN o - c ELSE 0 END"
+
+
+def emits_sql(rule: Rule, kind: str) -> str:
+    """Whether a tag opens (o) or closes (c) the outermost element of its rule in the block; ``e_*`` is
+    the depth after the token, -1 at a stray close."""
+    return f"(tag IN {_tags(rule.tags)} AND {kind} = 1 AND d_pre = 0 AND NOT in_head AND e_{rule.name} = {1 if kind == 'o' else 0})"
+
+
 def fragment_sql(d: Dialect, opts: Options = DEFAULT, rules=DEFAULT_RULES) -> str:
     """Markdown fragment of one token (after the nesting stages)."""
     s = d.s
@@ -73,9 +85,8 @@ def fragment_sql(d: Dialect, opts: Options = DEFAULT, rules=DEFAULT_RULES) -> st
         "WHEN d_pre > 0 AND tag <> 'pre' THEN ''",
     ]
     for r in rules:
-        cond = f"tag IN {_tags(r.tags)}" + (" AND d_pre = 0" if r.name == "code" else "")
-        parts.append(f"WHEN {cond} AND o = 1 THEN {s(r.open)}")
-        parts.append(f"WHEN {cond} AND c = 1 THEN {s(r.close)}")
+        parts.append(f"WHEN {emits_sql(r, 'o')} THEN {s(r.open)}")
+        parts.append(f"WHEN {emits_sql(r, 'c')} THEN {s(r.close)}")
     parts.append(f"WHEN tag = 'br' THEN {s(BR)}")
     if True:  # per-page flag ``lnk`` (include_links)
         has = "lnk AND coalesce(cur_href, '') <> ''"
@@ -99,8 +110,7 @@ def finish_inline(d: Dialect, frag: str, open_counts: dict) -> str:
     for o_, c_, delim in PAIRS:
         ro, rc = _rx(o_), _rx(c_)
         x = d.rx_replace(x, f"{ro}([ {br}]*){rc}", "$1")
-        for _ in range(2):
-            x = d.rx_replace(x, f"{ro}([ {br}]*)([^{ro}{rc}]*?)([ {br}]*){rc}", f"$1{delim}$2{delim}$3")
+        x = d.rx_replace(x, f"{ro}([ {br}]*)([^{ro}{rc}]*?)([ {br}]*){rc}", f"$1{delim}$2{delim}$3")
     ko, kc = _rx(K_O), _rx(K_C)
     x = d.rx_replace(x, f"{ko}( *){kc}", "$1")
     x = d.rx_replace(x, f"{ko}([^{ko}{kc}]*`[^{ko}{kc}]*){kc}", "`` $1 ``")

@@ -96,3 +96,24 @@ def test_article_region_wins_over_chrome(spark):
     assert r.source == "article"
     assert r.markdown.startswith("# Head\n\n") and "buy" not in r.markdown and "[A]" not in r.markdown
     assert r.word_count == 32
+
+
+NESTED = {
+    "<p><b>a<b>b<b>c<b>d</p>": "**abcd**",
+    "<p>" + "<strong>" * 9 + "x" + "</strong>" * 9 + " y</p>": "**x** y",
+    "<p><b>a<strong>b<b>c</b>d</strong>e</b> f <b>g</b></p>": "**abcde** f **g**",
+    "<p><i>a<em>b<i>c</i></em></i> <s>d<del>e<s>f</s></del></s></p>": "_abc_ ~def~",
+    "<p><b>a<i>b<b>c<i>d<b>e</b></i></b></i></b> z</p>": "**a_bcde_** z",
+    "<p>a</b></b> <b>b</p>": "a **b**",
+    "<p><code>a<code>b</code>c</code> d</p>": "`abc` d",
+}
+
+
+def test_nested_formatting_of_any_depth(spark):
+    rows = [(i, BASE, f"<body>{html}</body>") for i, html in enumerate(NESTED)]
+    got = {r.page_id: r.markdown for r in clean_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(len(rows))] == list(NESTED.values())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert {r[0]: r[6] for r in con.execute(clean_pages_duck(DUCK)).fetchall()} == got
