@@ -14,7 +14,7 @@ from pagemill.llm.queries import WORD_VOCABULARY
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those of no language that the network is sure of."""
+    """Drops documents without letters and those in which the network is sure of no window's language."""
     return language_id.keep_identified(docs)
 
 

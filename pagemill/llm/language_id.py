@@ -147,6 +147,11 @@ def predict(docs: DataFrame, model: tuple[list[str], dict | None]) -> DataFrame:
     are all if the model saw no language; a repeated row has the same result each time; an empty
     table gives no rows.
     """
+    return scored(docs, model).select("doc_id", "lang_pred", "score")
+
+
+def scored(docs: DataFrame, model: tuple[list[str], dict | None]) -> DataFrame:
+    """predict() with ``lettered`` and ``surest``, the largest probability of a language in any window."""
     small_batches(docs.sparkSession)
     names, weights = model
     key = hash(tuple(a.tobytes() for a in weights.values())) if weights else 0
@@ -160,8 +165,9 @@ def predict(docs: DataFrame, model: tuple[list[str], dict | None]) -> DataFrame:
                 scorer = _scorers[key] = Scorer(weights)
         for batch in batches:
             texts = batch["text"].tolist()
-            lang, sure = [NONE] * len(texts), [0.0] * len(texts)
-            some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if scorer else []
+            lang, sure, surest = [NONE] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+            lettered = [bool(t) and any(map(str.isalpha, t)) for t in texts]
+            some = [i for i, has in enumerate(lettered) if has] if scorer else []
             at = 0
             while at < len(some):  # a bounded number of windows at once
                 group, cuts, total = [], [], 0
@@ -175,11 +181,12 @@ def predict(docs: DataFrame, model: tuple[list[str], dict | None]) -> DataFrame:
                 sizes = np.concatenate([c[1] for c in cuts]).astype(float)
                 starts = np.cumsum([0, *(len(c[1]) for c in cuts[:-1])])
                 mean = np.add.reduceat(p * sizes[:, None], starts) / np.add.reduceat(sizes, starts)[:, None]
-                for i, row in zip(group, mean):
-                    lang[i], sure[i] = names[int(row.argmax())], float(min(1.0, row.max()))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": lang, "score": sure})
+                tops = np.maximum.reduceat(p.max(axis=1), starts)
+                for i, row, top in zip(group, mean, tops):
+                    lang[i], sure[i], surest[i] = names[int(row.argmax())], float(min(1.0, row.max())), float(min(1.0, top))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": lang, "score": sure, "lettered": lettered, "surest": surest})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(score, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(score, "doc_id long, lang_pred string, score double, lettered boolean, surest double")
 
 
 def labelled_fold():
@@ -194,8 +201,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose language is known with at least that score."""
-    kept = predict(docs, fit(docs, labelled_fold())).where((F.col("lang_pred") != NONE) & (F.col("score") >= least))
+    """The rows of ``docs``, with all columns, that have letters and a window whose language is known
+    with at least that probability; all with letters, if no language could be learned."""
+    names, weights = model = fit(docs, labelled_fold())
+    found = scored(docs, model)
+    kept = found.where(F.col("lettered") & (F.col("surest") >= least) if weights else F.col("lettered"))
     return _with_rows(docs, kept)
 
 

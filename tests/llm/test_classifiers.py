@@ -73,3 +73,20 @@ def test_toxicity_held_out_accuracy_and_cases(spark):
         assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     assert toxicity.score(docs(spark, []), model).collect() == []
     assert {r["score"] for r in toxicity.score(docs(spark), None).collect()} == {0.0}
+
+
+def test_documents_without_known_languages_are_kept(spark):
+    """Where no language can be learned, all documents with letters stay."""
+    frame = spark.createDataFrame([(1, "a" * 512 + "b" * 512 + "c" * 512, None, "s", 1), (2, "1 2 3", None, "s", 1), (3, None, None, "s", 1), (4, "u" * 600, None, "s", 1), (5, "abc", None, "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in language_id.keep_identified(frame).collect()} == {1, 4, 5}
+
+
+def test_halves_of_two_languages_are_kept(spark):
+    words = {"xa": "wao kolu mepi", "xb": "thrun skelf dwarp"}
+    rows = [(i, (words[k] + " ") * 40, k, "s", 1) for i in range(1, 121) for k in ["xa" if i % 2 else "xb"]]
+    half = [(words[k] + " ") * 100 for k in words]
+    rows.append((1000, half[0][:1024] + half[1][:1024], None, "s", 1))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: r for r in language_id.scored(frame, language_id.fit(frame, language_id.labelled_fold())).collect()}
+    assert found[1000]["score"] < 0.75 < found[1000]["surest"]
+    assert 1000 in {r["doc_id"] for r in language_id.keep_identified(frame, least=0.75).collect()}
