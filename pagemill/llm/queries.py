@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, near_dedup, oracles_sql, packing, personal_data, token_codes, toxicity, vector_search, wrappers
+from . import collocations, decontamination, exact_dedup, language_id, mixing, near_dedup, oracles_sql, packing, personal_data, token_codes, toxicity, vector_search, whitening, wrappers
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -54,10 +54,22 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.round_trip(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_packing, op2_toxicity, op3_personal_data, op4_wrappers, op5_vector_search, op6_near_dedup, op7_exact_dedup, op8_mixing, op9_language_id, op10_token_codes)
+    every = (op1_packing, op2_toxicity, op3_personal_data, op4_wrappers, op5_vector_search, op6_near_dedup, op7_exact_dedup, op8_mixing, op9_language_id, op10_token_codes, op11_collocations, op12_whitening, op13_decontamination)
     return {f.__name__: f for f in every}
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_vector_search": oracles_sql.VECTOR_SEARCH, "op7_exact_dedup": oracles_sql.EXACT_DEDUP, "op8_mixing": oracles_sql.mixing()}
+    return {"op5_vector_search": oracles_sql.VECTOR_SEARCH, "op7_exact_dedup": oracles_sql.EXACT_DEDUP, "op8_mixing": oracles_sql.mixing(), "op11_collocations": oracles_sql.COLLOCATIONS, "op13_decontamination": oracles_sql.DECONTAMINATION}
