@@ -31,7 +31,7 @@ from .wordarrays import byte_classes, column, segments, split
 
 LEAST, TOP, LONGEST = 100, 2000, 5
 PIECES = byte_classes(breaks=".,;:!?\n\x0b\x0c\r", blanks=" \t")
-SHARD_BYTES, FAN = 16 << 20, 32
+SHARD_BYTES, FAN = 8 << 20, 32
 SHARDS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("tokens", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 

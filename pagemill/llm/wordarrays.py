@@ -55,9 +55,9 @@ def split(texts: pa.Array, classes: np.ndarray) -> Words:
     stop = np.flatnonzero(inside & (np.concatenate([first[1:-1], [True]]) | np.concatenate([~inside[1:], [True]]))) if len(raw) else at
     lengths = stop - at + 1
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[inside]))])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
     text = np.searchsorted(bounds, at, side="right") - 1
-    ends = np.cumsum(kind == 2, dtype=np.int32)[at] if len(at) else np.zeros(0, np.int32)
+    ends = np.searchsorted(np.flatnonzero(kind == 2), at)  # piece ends before each word
     begins = np.ones(len(at), bool)
     begins[1:] = (text[1:] != text[:-1]) | (ends[1:] != ends[:-1])
     return Words(words, text, begins, len(texts))
