@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from pagemill.functions.dialect import Dialect
 from pagemill.functions.text import (
-    LEGACY_RE, MD_ESCAPE_ANYWHERE, MD_ESCAPE_LEADING, MD_ESCAPE_ORDINAL, REF_PIECE_IN_ATTRIBUTE, REF_PIECE_IN_TEXT,
+    COMMON_REFERENCES, LEGACY_RE, MD_ESCAPE_ANYWHERE, MD_ESCAPE_LEADING, MD_ESCAPE_ORDINAL, REF_PIECE_IN_ATTRIBUTE, REF_PIECE_IN_TEXT,
     REF_START, REF_VALUE, REFERENCES, WORD_BLANKS,
 )
-from pagemill.options import JS_WS
+from pagemill.options import JS_BLANKS
 
 
 def js_trim(d: Dialect, x: str) -> str:
-    return d.rx_replace(x, f"^{JS_WS}+|{JS_WS}+\\z", "")
+    return d.trim(x, JS_BLANKS)
 
 
 def word_count(d: Dialect, x: str) -> str:
@@ -47,21 +47,25 @@ def _reference(d: Dialect, name: str) -> str:
 def decode_entities(d: Dialect, x: str, attribute: bool = False) -> str:
     """All HTML 5 names, numbers of any length, and the names that need no semicolon; in an
     attribute those stay as they are before a letter, a digit or '=' (``?a=1&copy=2``)."""
+    # in steps, so that no step repeats the one before it: (piece, digits), (piece, number), text
+    pieces = REF_PIECE_IN_ATTRIBUTE if attribute else REF_PIECE_IN_TEXT
     digits = d.rx_extract("p", "^&#[xX]?0*([0-9a-fA-F]*)", 1)
-    hexadecimal = f"({d.startswith('p', '&#x')} OR {d.startswith('p', '&#X')})"
-    number = (f"(CASE WHEN {digits} = '' THEN 0 WHEN length({digits}) > 7 THEN 1114112 "
-              f"WHEN {hexadecimal} THEN {d.hex2int(digits)} ELSE CAST({digits} AS BIGINT) END)")
-    windows = _reference(d, f"'#' || CAST({number} AS STRING)")
+    first = d.transform(d.rx_extract_all(x, pieces), "p", d.struct([("p", "p"), ("d", digits)]))
+    hexadecimal = f"({d.startswith('q.p', '&#x')} OR {d.startswith('q.p', '&#X')})"
+    number = (f"CASE WHEN NOT {d.startswith('q.p', '&#')} THEN NULL WHEN q.d = '' THEN 0 WHEN length(q.d) > 7 THEN 1114112 "
+              f"WHEN {hexadecimal} THEN {d.hex2int('q.d')} ELSE CAST(q.d AS BIGINT) END")
+    second = d.transform(first, "q", d.struct([("p", "q.p"), ("n", number)]))
+    windows = _reference(d, "'#' || CAST(r.n AS STRING)")
     legacy = f"^&({LEGACY_RE})"
-    prefix = "p" if attribute else f"CASE WHEN {d.rlike('p', legacy)} THEN {_reference(d, d.rx_extract('p', legacy, 1))} || {d.rx_replace('p', legacy, '')} ELSE p END"
+    prefix = "r.p" if attribute else f"CASE WHEN {d.rlike('r.p', legacy)} THEN {_reference(d, d.rx_extract('r.p', legacy, 1))} || {d.rx_replace('r.p', legacy, '')} ELSE r.p END"
+    common = "".join(f"WHEN r.p = '{name}' THEN {d.s(text)} " for name, text in COMMON_REFERENCES.items())  # without a search
     body = (
-        f"CASE WHEN NOT {d.startswith('p', '&')} OR length(p) < 3 THEN p "
-        f"WHEN {d.startswith('p', '&#')} THEN (CASE WHEN {number} BETWEEN 128 AND 159 THEN coalesce({windows}, {_cp(d, number)}) ELSE {_cp(d, number)} END) "
-        + (f"WHEN {d.rlike('p', legacy + '[=A-Za-z0-9]$')} THEN p " if attribute else "")
-        + f"ELSE coalesce({_reference(d, d.rx_replace('p', '^&|;$', ''))}, {prefix}) END"
+        f"CASE WHEN NOT {d.startswith('r.p', '&')} OR length(r.p) < 3 THEN r.p " + common +
+        f"WHEN r.n IS NOT NULL THEN coalesce(CASE WHEN r.n BETWEEN 128 AND 159 THEN {windows} END, {_cp(d, 'r.n')}) "
+        + (f"WHEN {d.rlike('r.p', legacy + '[=A-Za-z0-9]$')} THEN r.p " if attribute else "")
+        + f"ELSE coalesce({_reference(d, d.rx_replace('r.p', '^&|;$', ''))}, {prefix}) END"
     )
-    pieces = REF_PIECE_IN_ATTRIBUTE if attribute else REF_PIECE_IN_TEXT
-    decoded = d.array_join(d.transform(d.rx_extract_all(x, pieces), "p", body), "")
+    decoded = d.array_join(d.transform(second, "r", body), "")
     if x.isidentifier():  # cheap guard: only strings holding '&' go through the lambda
         return f"(CASE WHEN instr({x}, '&') > 0 THEN {decoded} ELSE {x} END)"
     return decoded
@@ -73,11 +77,20 @@ def md_escape(d: Dialect, x: str) -> str:
     return d.rx_replace(x, MD_ESCAPE_ORDINAL, "$1\\\\. ")
 
 
+def md_escape_inside(d: Dialect, x: str) -> str:
+    """The escapes that don't depend on the place in the line."""
+    return d.rx_replace(x, MD_ESCAPE_ANYWHERE, "\\\\$1")
+
+
+def raw_attr(d: Dialect, tok: str, name: str) -> str:
+    """Attribute value of a start-tag token as written ('' when absent)."""
+    v = d.rx_extract(tok, f"(?i)[\\s\"'/]{name}\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)", 1)
+    return d.rx_replace(v, "^\"(.*)\"$|^'(.*)'$", "$1$2")
+
+
 def attr(d: Dialect, tok: str, name: str) -> str:
     """Attribute value of a start-tag token ('' when absent), entities decoded."""
-    v = d.rx_extract(tok, f"(?i)[\\s\"'/]{name}\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)", 1)
-    v = d.rx_replace(v, "^\"(.*)\"$|^'(.*)'$", "$1$2")
-    return decode_entities(d, v, attribute=True)
+    return decode_entities(d, raw_attr(d, tok, name), attribute=True)
 
 
 def has_attr(d: Dialect, tok: str, name: str) -> str:

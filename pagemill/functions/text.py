@@ -11,7 +11,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.options import JS_WS, JS_WS_CODEPOINTS
+from pagemill.options import JS_BLANKS, JS_WS_CODEPOINTS
 
 
 def _c(col) -> Column:
@@ -21,7 +21,7 @@ def _c(col) -> Column:
 # --- I1 -------------------------------------------------------------------
 def js_trim(col) -> Column:
     """JavaScript ``String.prototype.trim``: strips Unicode white space and BOM, not only spaces."""
-    return F.regexp_replace(_c(col), f"^{JS_WS}+|{JS_WS}+\\z", "")
+    return F.btrim(_c(col), F.lit(JS_BLANKS))
 
 
 # --- D1 -------------------------------------------------------------------
@@ -60,6 +60,7 @@ def _references() -> dict[str, str]:
     return table | {name.rstrip(";"): value for name, value in sorted(html5.items())}
 
 
+COMMON_REFERENCES = {f"&{name};": html5[name + ";"] for name in ("amp", "lt", "gt", "quot", "nbsp", "apos", "middot", "copy", "mdash", "ndash", "hellip")}
 REF_START, REF_VALUE = "\x01", "\x02"
 #: One literal, START name VALUE text for each reference: cheap to parse, searched with instr.
 REFERENCES = "".join(f"{REF_START}{name}{REF_VALUE}{value}" for name, value in _references().items()) + REF_START

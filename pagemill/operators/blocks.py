@@ -1,250 +1,189 @@
 """Blocks, article isolation and page assembly.
 
-All per-page work is grouped or windowed by ``page_id`` (plus a block/level key), so it
-reuses the one hash distribution created for the page rows: no further exchange and no
-self-join (page-level choices are window aggregates over the block table).
+A page's blocks are one array of structs on the page's row. Neighbours are array elements, sums
+inside a container are differences of running sums, and the page is its kept blocks joined: no
+window, no sort and no join.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
+
 from pagemill.functions import sqltext as X
-from pagemill.functions.dialect import Agg, Dialect, Sel, all_w, prev_w, run_w
-from pagemill.operators.markdown import B_C, BULLET, DEFAULT_RULES, I_C, K_C, S_C, changes_sql, emits_sql, fenced, finish_inline, fragment_sql, indent_lines
-from pagemill.operators.tokens import LEVEL_TAGS, LIST_TAGS, in_list, nesting_stages, token_stages
+from pagemill.functions.dialect import SPARK as D
+from pagemill.operators.markdown import BULLET, fenced, finish_inline, fragments_sql, indent_lines
+from pagemill.operators.tokens import step, with_texts
+from pagemill.operators.tree import IN_LINK
 from pagemill.options import DEFAULT, Options
 
-CONTAINER_TAGS = ("body", "div", "section")
-BOILER_LD = "(1.0 / 3.0)"
+BLOCK_FIELDS = ("blk", "first", "n", "s_tag", "s_dir", "chrome", "region", "q", "list", "li", "num", "h", "pre", "tbl", "row", "cells", "code")
 
-W_BLK_RUN = run_w("page_id", "blk")
-W_BLK_PREV = prev_w("page_id", "blk")
-W_BLK_NEXT = prev_w("page_id", "blk DESC")
-W_IN_RUN = run_w("page_id, blk", "pos")
-W_IN_PREV = prev_w("page_id, blk", "pos")
-W_LVL_RUN = run_w("page_id, lvl_key", "blk")
-W_PAGE = all_w("page_id")
 
+@F.arrow_udf(ArrayType(LongType()))
+def running_sums(values: pa.Array) -> pa.Array:
+    """Running sums of each array."""
+    flat = np.concatenate([[0], np.cumsum(values.flatten().to_numpy(zero_copy_only=False).astype(np.int64))])
+    offsets = np.concatenate([[0], np.cumsum(np.array([len(v) if v is not None else 0 for v in values], np.int64))])
+    sizes = np.diff(offsets)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[1:] - np.repeat(flat[offsets[:-1]], sizes), pa.int64()))
 
-# --- D7 -------------------------------------------------------------------
-def block_stages(d: Dialect, opts: Options = DEFAULT) -> list:
-    """tokens -> one row per (page_id, blk): fragments, plain text, word and link features,
-    and the context of the block's first token."""
-    body_tok = (f"(NOT in_head AND NOT {in_list('tag', ('html', 'head', 'body'))} AND d_chrome = 0 "
-                f"AND NOT {in_list('tag', opts.chrome_tags)})")
-    markup = f"({body_tok} AND (tag <> '' OR (is_text AND {X.js_trim(d, 'tok')} <> '')))"
-    lang = f"CASE WHEN tag = 'code' AND o = 1 AND d_pre > 0 THEN {d.rx_extract('cls', '(?:^|\\s)(?:language|lang)-(\\S+)', 1)} END"
-    lvl_key = (f"CASE WHEN {in_list('tag', LEVEL_TAGS)} AND o = 1 THEN d_lvl "
-               f"WHEN {in_list('tag', LEVEL_TAGS)} AND c = 1 THEN d_lvl + 1 WHEN tag = 'li' AND o = 1 THEN d_lvl END")
-    first = lambda x: d.min_by(x, "pos")
-
-    rules = {r.name: r for r in DEFAULT_RULES}
-
-    def cnt(name, kind):
-        return f"CAST(sum(CASE WHEN {emits_sql(rules[name], kind)} THEN 1 ELSE 0 END) AS BIGINT)"
 
-    return [
-        Sel(cols=[(f"f_{n}", f"sum({changes_sql(r)}) {W_IN_RUN}") for n, r in rules.items()]),
-        # depth of each inline rule in its block, clamped at 0 before the token
-        Sel(cols=[(f"e_{n}", f"f_{n} - least(0, coalesce(min(f_{n}) {W_IN_PREV}, 0))") for n in rules]),
-        Sel(cols=[("frag", fragment_sql(d, opts)), ("markup", markup), ("lang", lang), ("lvl_key0", lvl_key)]),
-        Agg(["page_id", "blk"], [
-            ("url", "min(url)"),
-            ("pos0", "min(pos)"),
-            ("s_tag", first("tag")), ("s_o", first("o")), ("s_c", first("c")),
-            ("s_start", first("start_attr")),
-            ("lvl_key", first("lvl_key0")),
-            ("d_chrome", first("d_chrome")), ("d_region", first("d_region")), ("region_seq", first("region_seq")),
-            ("d_q", first("d_q")), ("d_list", first("d_list")), ("d_pre", first("d_pre")),
-            ("d_table", first("d_table")), ("table_seq", first("table_seq")), ("row_in_table", first("row_in_table")),
-            ("li_seq", first("li_seq")),
-            ("h_level", first("CASE WHEN d_h > 0 THEN h_level ELSE 0 END")),
-            ("frag", d.listagg("frag", "pos")),
-            ("plain", d.listagg("txt", "pos")),
-            ("words", "CAST(sum(words) AS BIGINT)"),
-            ("link_words", "CAST(sum(CASE WHEN d_a > 0 THEN words ELSE 0 END) AS BIGINT)"),
-            ("n_b_o", cnt("strong", "o")), ("n_b_c", cnt("strong", "c")),
-            ("n_i_o", cnt("emphasis", "o")), ("n_i_c", cnt("emphasis", "c")),
-            ("n_s_o", cnt("strikethrough", "o")), ("n_s_c", cnt("strikethrough", "c")),
-            ("n_k_o", cnt("code", "o")), ("n_k_c", cnt("code", "c")),
-            ("cells", "CAST(sum(CASE WHEN tag IN ('td', 'th') AND o = 1 THEN 1 ELSE 0 END) AS BIGINT)"),
-            ("markup", "max(CASE WHEN markup THEN 1 ELSE 0 END)"),
-            ("lang", d.min_by("lang", "CASE WHEN lang IS NOT NULL THEN pos END")),
-        ]),
-    ]
+def _struct(fields, source: str = "b") -> str:
+    return ", ".join(f"'{f}', {source}.{f}" for f in fields)
+
+
+# --- D7 -------------------------------------------------------------------
+def with_blocks(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
+    """Adds ``bl``: the blocks with their context, Markdown fragment, plain text, word and link features."""
+    p = step(with_texts(pages, opts), words=f"transform(txts, x -> CASE WHEN x IS NULL THEN 0L ELSE {X.word_count(D, 'x')} END)", frags=fragments_sql(opts))
+    p = step(p, lwords=f"zip_with(words, tokens, (w, c) -> CASE WHEN (c.f & {IN_LINK}) > 0 THEN w ELSE 0L END)")
+    part = lambda a: f"slice({a}, b.first + 1, b.n)"
+    total = lambda a: f"aggregate({part(a)}, 0L, (s, v) -> s + v)"
+    lang = D.rx_extract(X.attr(D, "toks[b.code]", "class"), "(?:^|\\s)(?:language|lang)-(\\S+)", 1)
+    bl = (f"transform(blocks, b -> named_struct({_struct(BLOCK_FIELDS)}, 'lang', CASE WHEN b.code >= 0 THEN {lang} ELSE '' END, "
+          f"'frag', array_join({part('frags')}, ''), 'plain', nullif(array_join({part('txts')}, ''), ''), "
+          f"'words', {total('words')}, 'link_words', {total('lwords')}))")
+    title = "CASE WHEN title.n > 0 THEN array_join(slice(toks, title.pos + 2, title.n - 1), '') ELSE '' END"
+    return step(p, bl=bl, title_raw=title, metas="transform(metas, m -> toks[m])").select("page_id", "url", "bl", "spans", "markup", "title_raw", "metas")
 
 
 # --- E5 / E6 / classification -----------------------------------------------
-def neighbour_stages(d: Dialect) -> list:
-    """Link density, previous/next non-empty block features (E5), list ordinals (E6) and
-    open-tag matching for containers, then the shallow-text boilerplate rule."""
-    is_list_open = f"({in_list('s_tag', LIST_TAGS)} AND s_o = 1)"
-    is_li = "(s_tag = 'li' AND s_o = 1)"
-    ol_start = f"CASE WHEN {d.rlike('s_start', '^-?[0-9]{1,9}$')} THEN CAST(s_start AS BIGINT) ELSE 1 END"
+def with_neighbours(p: DataFrame) -> DataFrame:
+    """Link density, previous/next non-empty block features (E5), list markers (E6) and the shallow-text
+    boilerplate rule."""
     content = (
-        "CASE WHEN words = 0 THEN FALSE WHEN ld > (1.0 / 3.0) THEN FALSE "
-        "WHEN prev_ld <= (5.0 / 9.0) THEN (words > 16 OR next_words > 15 OR prev_words > 4) "
-        "ELSE (words > 40 OR next_words > 17) END"
+        "CASE WHEN b.words = 0 THEN FALSE WHEN b.ld > (1.0 / 3.0) THEN FALSE "
+        "WHEN b.prev_ld <= (5.0 / 9.0) THEN (b.words > 16 OR b.next_words > 15 OR b.prev_words > 4) "
+        "ELSE (b.words > 40 OR b.next_words > 17) END"
     )
-    return [
-        Sel(cols=[("ld", "CASE WHEN words > 0 THEN CAST(link_words AS DOUBLE) / words ELSE 0.0 END")]),
-        Sel(cols=[
-            ("prev_words", f"coalesce({d.last_nn('CASE WHEN words > 0 THEN words END')} {W_BLK_PREV}, 0)"),
-            ("prev_ld", f"coalesce({d.last_nn('CASE WHEN words > 0 THEN ld END')} {W_BLK_PREV}, 0.0)"),
-            ("next_words", f"coalesce({d.last_nn('CASE WHEN words > 0 THEN words END')} {W_BLK_NEXT}, 0)"),
-            ("li_run", f"sum(CASE WHEN {is_li} THEN 1 ELSE 0 END) {W_LVL_RUN}"),
-            ("list_tag", f"{d.last_nn(f'CASE WHEN {is_list_open} THEN s_tag END')} {W_LVL_RUN}"),
-            ("list_start", f"{d.last_nn(f'CASE WHEN {is_list_open} THEN {ol_start} END')} {W_LVL_RUN}"),
-            ("match_open", f"{d.last_nn(f'CASE WHEN {in_list(chr(115) + chr(95) + chr(116) + chr(97) + chr(103), LEVEL_TAGS)} AND s_o = 1 THEN blk END')} {W_LVL_RUN}"),
-        ]),
-        Sel(cols=[("li_ord", f"li_run - {d.last_nn(f'CASE WHEN {is_list_open} THEN li_run END')} {W_LVL_RUN}")]),
-        Sel(cols=[
-            ("li_marker_here", f"CASE WHEN {is_li} THEN (CASE WHEN list_tag = 'ol' "
-                               f"THEN CAST(list_start + li_ord - 1 AS STRING) || '.  ' ELSE {d.s(BULLET)} END) END"),
-            ("is_content", content),
-        ]),
-        Sel(cols=[("li_marker", f"{d.last_nn('li_marker_here')} {W_BLK_RUN}")]),
-    ]
+    ld = lambda b: f"CASE WHEN {b}.words > 0 THEN CAST({b}.link_words AS DOUBLE) / {b}.words ELSE 0.0D END"
+    marker = f"CASE WHEN b.num IS NULL THEN NULL WHEN b.num < 0 AND b.list > 0 OR b.list = 0 THEN {D.s(BULLET)} ELSE concat(CAST(b.num AS STRING), '.  ') END"
+    held = (*BLOCK_FIELDS, "lang", "frag", "plain", "words", "link_words")
+    p = step(p, full="filter(bl, b -> b.words > 0)").withColumn("upto", running_sums(F.expr("transform(bl, b -> CASE WHEN b.words > 0 THEN 1L ELSE 0L END)")))
+    before = "CAST(upto[i] - CASE WHEN b.words > 0 THEN 1 ELSE 0 END AS INT)"
+    prev, following = f"get(full, {before} - 1)", "get(full, CAST(upto[i] AS INT))"
+    p = step(p, bl=f"transform(bl, (b, i) -> named_struct({_struct(held)}, 'ld', {ld('b')}, 'prev_words', coalesce({prev}.words, 0L), "
+                   f"'prev_ld', coalesce({ld(prev)}, 0.0D), 'next_words', coalesce({following}.words, 0L), 'marker', {marker}))")
+    return step(p, bl=f"transform(bl, b -> named_struct({_struct((*held, 'ld', 'prev_words', 'next_words', 'marker'))}, 'is_content', {content}))").drop("full", "upto")
 
 
 # --- D8 / F3 / G4 ---------------------------------------------------------
-def choice_stages(d: Dialect) -> list:
-    """Winning article region (rule 1) or section/div/body container (rule 2) per page, as
-    window aggregates; container score = content words inside x (1 - link density inside),
-    from prefix sums at the open and close blocks (no block x container join)."""
-    ctag = in_list("s_tag", CONTAINER_TAGS)
-    in_reg = "(d_region > 0 AND d_chrome = 0)"
-    closed = "c_close_blk IS NOT NULL"
-    cw_in = f"(CASE WHEN {closed} THEN cw1 ELSE cw_total END - cw_before)"
-    w_in = f"(CASE WHEN {closed} THEN w1 ELSE w_total END - w_before)"
-    lw_in = f"(CASE WHEN {closed} THEN lw1 ELSE lw_total END - lw_before)"
-    score = f"({cw_in} * (1.0 - CASE WHEN {w_in} > 0 THEN CAST({lw_in} AS DOUBLE) / {w_in} ELSE 0.0 END))"
-    cand = f"(c_is_open AND {cw_in} > 0)"
-    w_cid = "OVER (PARTITION BY page_id, cid)"
-    w_reg = "OVER (PARTITION BY page_id, region_seq)"
-    return [
-        Sel(cols=[
-            ("cw", "CASE WHEN is_content AND d_chrome = 0 THEN words ELSE 0 END"),
-            ("c_is_open", f"({ctag} AND s_o = 1)"),
-            ("cid", f"CASE WHEN {ctag} AND s_o = 1 THEN blk WHEN {ctag} AND s_c = 1 THEN match_open END"),
-            ("rw", f"sum(CASE WHEN {in_reg} THEN words ELSE 0 END) {w_reg}"),
-        ]),
-        Sel(cols=[
-            ("cw_before", f"sum(cw) {W_BLK_RUN} - cw"),
-            ("w_before", f"sum(words) {W_BLK_RUN} - words"),
-            ("lw_before", f"sum(link_words) {W_BLK_RUN} - link_words"),
-            ("cw_total", f"sum(cw) {W_PAGE}"),
-            ("w_total", f"sum(words) {W_PAGE}"),
-            ("lw_total", f"sum(link_words) {W_PAGE}"),
-            # best region: max of (words, -seq) over candidate rows; one partition-only window
-            ("rwin", f"max(CASE WHEN {in_reg} AND rw > 0 THEN {d.struct([('w', 'rw'), ('neg', '-region_seq'), ('r', 'region_seq')])} END) {W_PAGE}"),
-        ]),
-        Sel(cols=[
-            ("c_close_blk", f"min(CASE WHEN cid IS NOT NULL AND NOT c_is_open THEN blk END) {w_cid}"),
-            ("cw1", f"min(CASE WHEN cid IS NOT NULL AND NOT c_is_open THEN cw_before END) {w_cid}"),
-            ("w1", f"min(CASE WHEN cid IS NOT NULL AND NOT c_is_open THEN w_before END) {w_cid}"),
-            ("lw1", f"min(CASE WHEN cid IS NOT NULL AND NOT c_is_open THEN lw_before END) {w_cid}"),
-        ]),
-        Sel(cols=[("cand_score", f"CASE WHEN {cand} THEN {score} END")]),
-        Sel(cols=[
-            ("cwin", f"max(CASE WHEN cand_score IS NOT NULL THEN {d.struct([('s', 'cand_score'), ('neg', '-blk'), ('b', 'blk'), ('c', 'c_close_blk')])} END) {W_PAGE}"),
-            ("any_markup", f"max(markup) {W_PAGE}"),
-        ]),
-        Sel(cols=[("win_region", "rwin.r"), ("c_open", "cwin.b"), ("c_close", "cwin.c")]),
-        Sel(cols=[("source", "CASE WHEN win_region IS NOT NULL THEN 'article' "
-                             "WHEN c_open IS NOT NULL THEN 'container' ELSE 'fallback' END")]),
-        Sel(cols=[("keep", (
-            f"CASE WHEN source = 'article' THEN (d_region > 0 AND region_seq = win_region AND d_chrome = 0 "
-            f"AND (h_level > 0 OR ld <= {BOILER_LD})) "
-            f"WHEN source = 'container' THEN (blk >= c_open AND (c_close IS NULL OR blk < c_close) AND d_chrome = 0 "
-            f"AND (h_level > 0 OR ld <= {BOILER_LD})) "
-            f"ELSE d_chrome = 0 END"))]),
-    ]
+def with_choice(p: DataFrame) -> DataFrame:
+    """Winning article region (rule 1) or section/div/body container (rule 2) per page; container score =
+    content words inside x (1 - link density inside), from running sums at its first block and its end.
+    Adds ``scored`` (container blocks with their scores), ``region``, ``best``, ``source`` and ``kept``."""
+    sums = {"cw": "CASE WHEN b.is_content AND NOT b.chrome THEN b.words ELSE 0L END", "w": "b.words", "lw": "b.link_words",
+            "rw": "CASE WHEN b.region > 0 AND NOT b.chrome THEN b.words ELSE 0L END"}
+    for name, value in sums.items():
+        p = p.withColumn(f"s_{name}", running_sums(F.expr(f"transform(bl, b -> {value})")))
+    upto = lambda name, at: f"(CASE WHEN {at} <= 0 THEN 0L ELSE s_{name}[{at} - 1] END)"
+    inside = lambda name: f"({upto(name, 's.at_end')} - {upto(name, 's.at')})"
+    p = step(p, placed="transform(spans, s -> named_struct('kind', s.kind, 'o', s.o, 'c', s.c, 'at', s.o - bl[0].blk, 'at_end', coalesce(s.c - bl[0].blk, size(bl))))")
+    p = step(p, weighed="transform(placed, s -> named_struct('kind', s.kind, 'o', s.o, 'c', s.c, 'at', s.at, "
+                        f"'cw', {inside('cw')}, 'w', {inside('w')}, 'lw', {inside('lw')}, 'rw', {inside('rw')}))")
+    p = step(p, scored="transform(filter(weighed, s -> s.kind = 'container' AND s.cw > 0), s -> named_struct("
+                       "'score', s.cw * (1.0D - CASE WHEN s.w > 0 THEN CAST(s.lw AS DOUBLE) / s.w ELSE 0.0D END), 'neg', -s.o, 'o', s.o, 'c', s.c))",
+             region="array_max(transform(filter(weighed, s -> s.kind = 'region' AND s.rw > 0), s -> named_struct('w', s.rw, 'neg', -bl[s.at].region, 'r', bl[s.at].region))).r")
+    p = step(p, best="array_max(scored)")
+    p = step(p, source="CASE WHEN region IS NOT NULL THEN 'article' WHEN best IS NOT NULL THEN 'container' ELSE 'fallback' END")
+    dense = "(b.h > 0 OR b.ld <= (1.0 / 3.0))"
+    return step(p, kept=f"CASE source WHEN 'article' THEN filter(bl, b -> b.region = region AND NOT b.chrome AND {dense}) "
+                        f"WHEN 'container' THEN filter(bl, b -> b.blk >= best.o AND (best.c IS NULL OR b.blk < best.c) AND NOT b.chrome AND {dense}) "
+                        "ELSE filter(bl, b -> NOT b.chrome) END").drop("placed", "weighed", *[f"s_{n}" for n in sums])
 
 
 # --- H1-H16 ---------------------------------------------------------------
-def render_stages(d: Dialect) -> list:
-    """Block Markdown for kept blocks and the separator before it; other rows get NULL."""
-    counts = {B_C: "n_b_o - n_b_c", I_C: "n_i_o - n_i_c", S_C: "n_s_o - n_s_c", K_C: "n_k_o - n_k_c"}
-    in_pre = "(d_pre > 0 OR (s_tag = 'pre' AND s_o = 1))"
-    is_row = "((s_tag = 'tr' AND s_o = 1) OR (d_table > 0 AND cells > 0))"
-    nl = d.s("\n")
-    sep = (f"'| ' || {d.array_join(f'array_repeat({d.s(chr(45) * 3)}, CAST(greatest(cells, 1) AS INTEGER))', ' | ')} || ' |'"
-           if d.name == "spark" else
-           f"'| ' || array_to_string(list_transform(range(greatest(cells, 1)), lambda i: '---'), ' | ') || ' |'")
-    row = f"({d.rx_replace('inline', chr(10), ' ')} || ' |')"
-    row = f"CASE WHEN row_in_table = 1 THEN {row} || {nl} || {sep} ELSE {row} END"
-    has = "md IS NOT NULL"
-    prev = lambda x: f"{d.last_nn(f'CASE WHEN {has} THEN {x} END')} {W_BLK_PREV}"
-    depth = "d_list"
-    item = f"repeat(' ', CAST(({depth} - 1) * 4 AS INTEGER)) || li_marker || {indent_lines(d, 'md', f'{depth} * 4')}"
-    cont = f"repeat(' ', CAST({depth} * 4 AS INTEGER)) || {indent_lines(d, 'md', f'{depth} * 4')}"
-    qp = "repeat('> ', CAST(d_q AS INTEGER))"
-    return [
-        Sel(cols=[("inline", f"CASE WHEN keep THEN {finish_inline(d, 'frag', counts)} END"),
-                  ("is_row", is_row), ("in_pre", in_pre)]),
-        Sel(cols=[("body", (
-            f"CASE WHEN NOT keep THEN NULL "
-            f"WHEN in_pre THEN (CASE WHEN length(frag) > 0 THEN {fenced(d, 'frag', 'lang')} ELSE '' END) "
-            f"WHEN is_row THEN (CASE WHEN cells > 0 THEN {row} ELSE '' END) ELSE inline END"))]),
-        Sel(cols=[("md", "nullif(CASE WHEN h_level > 0 AND body <> '' "
-                         "THEN repeat('#', h_level) || ' ' || body ELSE body END, '')")]),
-        Sel(cols=[
-            ("p_li", prev("li_seq")), ("p_blk", prev("blk")), ("p_row", prev("is_row")),
-            ("p_table", prev("table_seq")), ("p_list", prev("d_list")), ("p_q", prev("d_q")),
-        ]),
-        Sel(cols=[("is_item", "(d_list > 0 AND li_marker IS NOT NULL AND li_seq <> coalesce(p_li, -1))")]),
-        Sel(cols=[("md1", f"CASE WHEN is_item THEN {item} WHEN d_list > 0 THEN {cont} ELSE md END")]),
-        Sel(cols=[
-            ("md2", f"CASE WHEN {has} THEN (CASE WHEN d_q > 0 THEN {qp} || replace(md1, {nl}, {nl} || {qp}) "
-                    f"ELSE md1 END) END"),
-            ("lead", (
-                f"CASE WHEN NOT ({has}) THEN NULL WHEN p_blk IS NULL THEN '' "
-                f"WHEN is_row AND p_row AND p_table = table_seq THEN {nl} "
-                f"WHEN is_item AND p_list > 0 THEN {nl} "
-                f"WHEN d_q > 0 AND p_q > 0 THEN {nl} || rtrim(repeat('> ', CAST(least(d_q, p_q) AS INTEGER))) || {nl} "
-                f"ELSE {d.s(chr(10) * 2)} END")),
-        ]),
-    ]
+def with_markdown(p: DataFrame, opts: Options = DEFAULT) -> DataFrame:
+    """Adds ``md``: (blk, lead, md) of each kept block that renders, lead being the separator before it."""
+    nl = D.s("\n")
+    in_pre, in_row = "(b.pre OR (b.s_tag = 'pre' AND b.s_dir = 1))", "((b.s_tag = 'tr' AND b.s_dir = 1) OR (b.tbl > 0 AND b.cells > 0))"
+    if not opts.has("table"):
+        in_row = "FALSE"
+    held = ("blk", "q", "list", "li", "h", "tbl", "row", "cells", "marker")
+    p = step(p, md=f"transform(kept, b -> named_struct({_struct(held)}, 'is_row', {in_row}, 'text', "
+        f"CASE WHEN {in_pre} THEN (CASE WHEN length(b.frag) > 0 THEN {fenced('b.frag', 'b.lang')} ELSE '' END) ELSE {finish_inline('b.frag')} END))")
+    rule = f"concat('| ', array_join(array_repeat('---', b.cells), ' | '), ' |')"
+    line = f"concat({D.rx_replace('b.text', chr(10), ' ')}, ' |')"
+    body = (f"CASE WHEN b.is_row THEN (CASE WHEN b.cells = 0 THEN '' WHEN b.row = 1 THEN concat({line}, {nl}, {rule}) ELSE {line} END) "
+            "WHEN b.h > 0 AND b.text <> '' THEN concat(repeat('#', b.h), ' ', b.text) ELSE b.text END")
+    held = (*held, "is_row")
+    p = step(p, md=f"filter(transform(md, b -> named_struct({_struct(held)}, 'text', {body})), b -> b.text <> '')")
+    # an item is the first block of its li: ids grow with the page, so a later block of an outer li has a smaller one
+    p = step(p, md=f"transform(md, (b, i) -> named_struct({_struct((*held, 'text'))}, 'p', get(md, i - 1), "
+                   "'is_item', b.list > 0 AND b.marker IS NOT NULL AND b.li > coalesce(get(md, i - 1).li, 0)))")
+    pad = indent_lines("b.text", "b.list * 4")
+    listed = (f"CASE WHEN b.is_item THEN concat(repeat(' ', (b.list - 1) * 4), b.marker, {pad}) "
+              f"WHEN b.list > 0 THEN concat(repeat(' ', b.list * 4), {pad}) ELSE b.text END")
+    lead = (f"CASE WHEN b.p IS NULL THEN '' WHEN b.is_row AND b.p.is_row AND b.p.tbl = b.tbl THEN {nl} "
+            f"WHEN b.is_item AND b.p.list > 0 THEN {nl} "
+            f"WHEN b.q > 0 AND b.p.q > 0 THEN concat({nl}, rtrim(repeat('> ', CAST(least(b.q, b.p.q) AS INT))), {nl}) ELSE {D.s(chr(10) * 2)} END")
+    p = step(p, md=f"transform(md, b -> named_struct('blk', b.blk, 'lead', {lead}, 'q', b.q, 'md', {listed}))")
+    quote = "repeat('> ', CAST(b.q AS INT))"
+    return step(p, md=f"transform(md, b -> named_struct('blk', b.blk, 'lead', b.lead, 'md', CASE WHEN b.q > 0 THEN concat({quote}, replace(b.md, {nl}, concat({nl}, {quote}))) ELSE b.md END))")
 
 
 # --- D9 / H17 / G5-G7 -----------------------------------------------------
-def assemble_stages(d: Dialect) -> list:
-    """One row per page: tidy Markdown, first paragraph text, source and any_markup."""
-    first_p = d.min_by("plain", "CASE WHEN keep AND s_tag = 'p' AND s_o = 1 AND words > 0 THEN blk END")
+def metadata(p: DataFrame) -> list[str]:
+    """doc_title, meta_excerpt and site_name from the title and the metas before the body."""
+    def meta(key_re: str) -> str:
+        hit = D.filter("metas", "m", D.rlike("m", f"(?i)[\\s\"'](name|property)\\s*=\\s*[\"']?({key_re})[\"'\\s/>]"))
+        return f"nullif({X.js_trim(D, X.attr(D, D.elem(hit, 1), 'content'))}, '')"
+
     return [
-        Agg(["page_id"], [
-            ("raw_md", d.listagg("lead || md2", "blk")),
-            ("first_p", first_p),
-            ("source", "max(source)"),
-            ("any_markup", "max(any_markup)"),
-        ]),
-        Sel(keep=["page_id", "first_p", "source", "any_markup"],
-            cols=[("markdown", X.tidy(d, "coalesce(raw_md, '')"))]),
+        f"{X.js_trim(D, X.collapse_ws(D, X.decode_entities(D, 'title_raw')))} AS doc_title",
+        f"coalesce({meta('og:description')}, {meta('description')}, {meta('twitter:description')}) AS meta_excerpt",
+        f"{meta('og:site_name')} AS site_name",
     ]
 
 
-def meta_stages(d: Dialect) -> list:
-    """pages -> (page_id, url, doc_title, meta_excerpt, site_name) from <title> and <meta>."""
-    def meta(key_re: str) -> str:
-        hit = d.filter("metas", "m", d.rlike("m", f"(?i)[\\s\"'](name|property)\\s*=\\s*[\"']?({key_re})[\"'\\s/>]"))
-        return f"nullif({X.js_trim(d, X.attr(d, d.elem(hit, 1), 'content'))}, '')"
+def assembled(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
+    """One row per page: tidy Markdown, first paragraph text, source, any_markup and metadata."""
+    p = with_markdown(with_choice(with_neighbours(with_blocks(pages, opts))), opts)
+    first_p = "get(filter(kept, b -> b.s_tag = 'p' AND b.s_dir = 1 AND b.words > 0), 0).plain"
+    joined = "array_join(transform(md, b -> concat(b.lead, b.md)), '')"
+    p = p.selectExpr("page_id", "url", "source", "coalesce(markup, FALSE) AS any_markup", f"{first_p} AS first_p", f"{joined} AS raw_md", *metadata(p))
+    return step(p, markdown=X.tidy(D, "coalesce(raw_md, '')")).drop("raw_md")
 
-    title = d.rx_extract("html", "(?is)<title\\b[^>]*+>(.*?)</title\\s*>", 1)
-    head = d.rx_extract("html", "(?is)^(.*?)(?:<body\\b|$)", 1)
-    return [
-        Sel(keep=["page_id", "url"], cols=[
-            ("title_raw", title),
-            ("metas", d.rx_extract_all(d.rx_replace(head, "(?s)<!--.*?-->", ""), "(?i)<meta\\b[^>]*+>")),
-        ]),
-        Sel(keep=["page_id", "url"], cols=[
-            ("doc_title", X.js_trim(d, X.collapse_ws(d, X.decode_entities(d, "title_raw")))),
-            ("meta_excerpt", f"coalesce({meta('og:description')}, {meta('description')}, {meta('twitter:description')})"),
-            ("site_name", meta("og:site_name")),
-        ]),
-    ]
+
+# --- query shapes -----------------------------------------------------------
+def block_features(pages: DataFrame) -> DataFrame:
+    return with_blocks(pages).selectExpr("page_id", "inline(bl)").selectExpr(
+        "page_id", "CAST(blk AS BIGINT) AS blk", "s_tag", "words", "link_words", "plain")
+
+
+def neighbour_blocks(pages: DataFrame) -> DataFrame:
+    return with_neighbours(with_blocks(pages)).selectExpr("page_id", "inline(bl)").selectExpr(
+        "page_id", "CAST(blk AS BIGINT) AS blk", "words", "prev_words", "next_words", "is_content", "CASE WHEN s_tag = 'li' AND s_dir = 1 THEN marker END AS li_marker")
+
+
+def container_scores(pages: DataFrame) -> DataFrame:
+    p = with_choice(with_neighbours(with_blocks(pages)))
+    return p.selectExpr(
+        "page_id", "inline(transform(bl, b -> named_struct('blk', CAST(b.blk AS BIGINT), 'cand_score', get(filter(scored, s -> s.o = b.blk), 0).score)))",
+        "CAST(best.o AS BIGINT) AS c_open", "CAST(best.c AS BIGINT) AS c_close", "CAST(region AS BIGINT) AS win_region")
+
+
+def extract_article(pages: DataFrame) -> DataFrame:
+    p = with_choice(with_neighbours(with_blocks(pages)))
+    return p.selectExpr("page_id", "source", "CAST(size(kept) AS BIGINT) AS kept_blocks", "aggregate(kept, 0L, (s, b) -> s + b.words) AS kept_words")
+
+
+def content_or_fallback(pages: DataFrame) -> DataFrame:
+    p = with_choice(with_neighbours(with_blocks(pages)))
+    return p.selectExpr("page_id", "source", "CAST(coalesce(markup, FALSE) AS BIGINT) AS any_markup", "array_join(transform(kept, b -> b.plain), '') AS content_text")
+
+
+def md_blocks(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
+    """Every block; lead and md are NULL where it isn't kept or renders nothing."""
+    p = with_markdown(with_choice(with_neighbours(with_blocks(pages, opts))), opts)
+    rest = "transform(array_except(transform(bl, b -> b.blk), transform(md, b -> b.blk)), x -> named_struct('blk', x, 'lead', CAST(NULL AS STRING), 'md', CAST(NULL AS STRING)))"
+    return p.selectExpr("page_id", f"inline(concat(md, {rest}))").withColumn("blk", F.col("blk").cast("bigint"))
 
 
-def page_stages(d: Dialect, opts: Options = DEFAULT) -> list:
-    """pages -> kept/rendered blocks -> page Markdown (everything but metadata)."""
-    return (token_stages(d, opts) + nesting_stages(d, opts) + block_stages(d, opts) + neighbour_stages(d)
-            + choice_stages(d) + render_stages(d) + assemble_stages(d))
+def page_metadata(pages: DataFrame) -> DataFrame:
+    p = with_blocks(pages)
+    return p.selectExpr("page_id", "url", *metadata(p))

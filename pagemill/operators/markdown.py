@@ -1,140 +1,68 @@
-"""HTML tokens -> Markdown.
+"""Tokens -> Markdown fragments.
 
-Each token maps to a fragment; inline elements emit private control-character
-sentinels, only where their kind's depth in the block goes 0 to 1 or 1 to 0 (so no kind
-nests in itself, at any depth), that are paired per block with regular expressions (so stray or unclosed
-tags never unbalance the output), block-level structure becomes a per-block prefix,
-and the page is one ordered ``listagg`` of blocks.
+Formatting is typed: each text, image and checkbox carries the rules that open before and close
+after it (letters of ``Options.delimiters``), given by the tree, so no text can pass for formatting.
+Links and separators inside table cells are further letters. A block's Markdown is its fragments
+joined; block-level structure becomes a per-block prefix.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pagemill.functions import sqltext as X
-from pagemill.functions.dialect import Dialect
-from pagemill.options import DEFAULT, Options
-
-# Sentinels (never present in text: control characters are stripped from the HTML first).
-B_O, B_C = "\x01", "\x02"      # strong
-I_O, I_C = "\x03", "\x04"      # emphasis
-S_O, S_C = "\x05", "\x06"      # strikethrough
-BR = "\x07"                    # line break
-K_O, K_C = "\x0e", "\x0f"      # inline code
-A_O, A_M, A_E = "\x10", "\x11", "\x12"  # link open / link close + href / end of href
-
-
-@dataclass(frozen=True)
-class Rule:
-    """K1: an inline rule; the tags map to (open, close) fragments."""
-    name: str
-    tags: tuple
-    open: str
-    close: str
-
-
-# CommonMark + GFM conventions used for output.
-#   headings "# " (ATX), bullet "-   ", ordered "N.  ", emphasis "_", strong "**",
-#   strikethrough "~", code fence "```", horizontal rule "* * *", block quote "> ".
-COMMONMARK = (
-    Rule("strong", ("b", "strong"), B_O, B_C),
-    Rule("emphasis", ("i", "em"), I_O, I_C),
-    Rule("code", ("code",), K_O, K_C),
-)
-GFM = (Rule("strikethrough", ("del", "s", "strike"), S_O, S_C),)  # K2: the GFM plugin bundle
-DEFAULT_RULES = COMMONMARK + GFM
+from pagemill.functions.dialect import SPARK as D
+from pagemill.operators import tree as T
+from pagemill.options import Options
 
 BULLET = "-   "
 HR = "* * *"
-PAIRS = (  # sentinel pair -> delimiter, processed in this order
-    (B_O, B_C, "**"),
-    (I_O, I_C, "_"),
-    (S_O, S_C, "~"),
-)
-
-
-def _rx(ch: str) -> str:
-    return "\\x%02x" % ord(ch)
-
-
-def _tags(tags) -> str:
-    return "(" + ", ".join(f"'{t}'" for t in tags) + ")"
-
-
-def changes_sql(rule: Rule) -> str:
-    """+1 and -1 at the tags of a rule that count (outside <head> and pre), else 0."""
-    return f"CASE WHEN tag IN {_tags(rule.tags)} AND d_pre = 0 AND NOT in_head THEN o - c ELSE 0 END"
-
-
-def emits_sql(rule: Rule, kind: str) -> str:
-    """Whether a tag opens (o) or closes (c) the outermost element of its rule in the block; ``e_*`` is
-    the depth after the token, -1 at a stray close."""
-    return f"(tag IN {_tags(rule.tags)} AND {kind} = 1 AND d_pre = 0 AND NOT in_head AND e_{rule.name} = {1 if kind == 'o' else 0})"
-
-
-def fragment_sql(d: Dialect, opts: Options = DEFAULT, rules=DEFAULT_RULES) -> str:
-    """Markdown fragment of one token (after the nesting stages)."""
-    s = d.s
-    link = (lambda u: u) if opts.compat else (lambda u: X.resolve_url(d, "url", u))
-    href = d.rx_replace(link("cur_href"), "([()])", "\\\\$1")
-    alt = d.rx_replace("coalesce(alt, '')", "\\s*\n+\\s*", "\n")
-    parts = [
-        "CASE WHEN in_head THEN ''",
-        f"WHEN is_text THEN (CASE WHEN d_pre > 0 OR d_code > 0 THEN txt ELSE {X.md_escape(d, 'txt')} END)",
-        f"WHEN d_pre > 0 AND tag = 'br' THEN {s(chr(10))}",
-        "WHEN d_pre > 0 AND tag <> 'pre' THEN ''",
-    ]
-    for r in rules:
-        parts.append(f"WHEN {emits_sql(r, 'o')} THEN {s(r.open)}")
-        parts.append(f"WHEN {emits_sql(r, 'c')} THEN {s(r.close)}")
-    parts.append(f"WHEN tag = 'br' THEN {s(BR)}")
-    if True:  # per-page flag ``lnk`` (include_links)
-        has = "lnk AND coalesce(cur_href, '') <> ''"
-        parts.append(f"WHEN tag = 'a' AND o = 1 AND {has} THEN {s(A_O)}")
-        parts.append(f"WHEN tag = 'a' AND c = 1 AND {has} THEN {s(A_M)} || {href} || {s(A_E)}")
-    # H8: with include_links = false an anchor renders as its content only
-    parts.append(f"WHEN tag = 'img' AND o = 1 THEN (CASE WHEN coalesce(src, '') <> '' THEN '![' || {alt} || '](' || {link('src')} || ')' ELSE '' END)")
-    parts.append("WHEN tag = 'input' AND o = 1 AND itype = 'checkbox' THEN (CASE WHEN checked THEN '[x] ' ELSE '[ ] ' END)")
-    parts.append("WHEN tag IN ('td', 'th') AND o = 1 THEN (CASE WHEN coalesce(cell_in_row, 1) <= 1 THEN '| ' ELSE ' | ' END)")
-    parts.append(f"WHEN tag = 'hr' AND o = 1 THEN {s(HR)}")
-    parts.append("ELSE '' END")
-    return " ".join(parts)
-
-
-def finish_inline(d: Dialect, frag: str, open_counts: dict) -> str:
-    """Close formatting left open at the block end, pair sentinels into delimiters, move
-    flanking spaces/breaks outside delimiters, drop strays, collapse spaces, apply breaks."""
-    closers = " || ".join(f"repeat({d.s(c)}, CAST(greatest(0, {n}) AS INTEGER))" for c, n in open_counts.items())
-    x = f"({frag} || {closers})"
-    br = _rx(BR)
-    for o_, c_, delim in PAIRS:
-        ro, rc = _rx(o_), _rx(c_)
-        x = d.rx_replace(x, f"{ro}([ {br}]*){rc}", "$1")
-        x = d.rx_replace(x, f"{ro}([ {br}]*)([^{ro}{rc}]*?)([ {br}]*){rc}", f"$1{delim}$2{delim}$3")
-    ko, kc = _rx(K_O), _rx(K_C)
-    x = d.rx_replace(x, f"{ko}( *){kc}", "$1")
-    x = d.rx_replace(x, f"{ko}([^{ko}{kc}]*`[^{ko}{kc}]*){kc}", "`` $1 ``")
-    x = d.rx_replace(x, f"{ko}([^{ko}{kc}]*){kc}", "`$1`")
-    ao, am, ae = _rx(A_O), _rx(A_M), _rx(A_E)
-    x = d.rx_replace(x, f"{ao}([ {br}]*)([^{ao}{am}{ae}]*?)([ {br}]*){am}([^{ae}]*){ae}", "$1[$2]($4)$3")
-    x = d.rx_replace(x, f"{am}[^{ae}]*{ae}", "")
-    x = d.rx_replace(x, "[\\x01-\\x06\\x0e\\x0f\\x10]", "")
-    x = d.rx_replace(x, " {2,}", " ")
-    x = d.rx_replace(x, f" *{br} *", BR)
-    x = d.rx_replace(x, "^ +| +$", "")
-    x = d.rx_replace(x, f"^{br}+|{br}+$", "")
-    return f"replace({x}, {d.s(BR)}, {d.s(chr(10))})"
 
 
-def fenced(d: Dialect, code: str, lang: str) -> str:
+def delimiters(letters: str, opts: Options, closing: bool, href: str = "''") -> str:
+    """The delimiters of a row of letters, each opening or closing; links only where the page has them."""
+    cases = [f"WHEN '{letter}' THEN {D.s(pair[closing])}" for letter, pair in opts.delimiters().items()]
+    cases.append(f"WHEN '{T.LINK}' THEN (CASE WHEN NOT lnk THEN '' " + (f"ELSE concat('](', {href}, ')') END)" if closing else "ELSE '[' END)"))
+    cases += [f"WHEN '{T.ROW_BREAK}' THEN '<br>'", f"WHEN '{T.CELL_BREAK}' THEN ' \\\\| '"]
+    return f"(CASE WHEN {letters} = '' THEN '' ELSE array_join(transform(split({letters}, ''), l -> CASE l {' '.join(cases)} ELSE '' END), '') END)"
+
+
+def fragments_sql(opts: Options) -> str:
+    """One fragment per token, from ``tokens``, ``txts``, ``toks`` and ``links``."""
+    txt, tok = "txts[i]", "toks[i]"
+    core = f"btrim({txt}, ' ')"
+    lead, trail = f"(CASE WHEN startswith({txt}, ' ') THEN ' ' ELSE '' END)", f"(CASE WHEN endswith({txt}, ' ') THEN ' ' ELSE '' END)"
+    # line-start escapes apply where the text begins the line or its token does
+    escaped = f"(CASE WHEN (c.f & {T.LINE_START}) > 0 OR {lead} = '' THEN {X.md_escape(D, core)} ELSE {X.md_escape_inside(D, core)} END)"
+    href = D.rx_replace("links[c.ref]", "([()])", "\\\\$1")
+    alt = D.rx_replace(X.attr(D, tok, "alt"), "\\s*\n+\\s*", "\n")
+    image = f"concat('![', {alt}, '](', links[c.ref], ')')"
+    checkbox = f"(CASE WHEN {X.has_attr(D, tok, 'checked')} THEN '[x] ' ELSE '[ ] ' END)"
+    opening, closing = delimiters("c.pre", opts, False), delimiters("c.post", opts, True, href)
+    cell = ("'| '", "' | '") if opts.has("table") else ("' '", "' '")
+    around = lambda x: f"concat({opening}, {x}, {closing})"
+    return (
+        f"transform(tokens, (c, i) -> CASE c.k WHEN {T.NOTHING} THEN '' "
+        f"WHEN {T.TEXT} THEN (CASE WHEN {txt} = ' ' THEN ' ' WHEN c.pre = '' AND c.post = '' THEN concat({lead}, {escaped}, {trail}) ELSE concat({lead}, {around(escaped)}, {trail}) END) "
+        f"WHEN {T.RAW} THEN {txt} WHEN {T.CODE_TEXT} THEN concat({lead}, {around(core)}, {trail}) WHEN {T.BREAK} THEN {D.s(chr(10))} "
+        f"WHEN {T.IMAGE} THEN {around(image)} WHEN {T.CHECKBOX} THEN {around(checkbox)} WHEN {T.RULE} THEN {D.s(HR)} "
+        f"WHEN {T.FIRST_CELL} THEN {cell[0]} WHEN {T.CELL} THEN {cell[1]} ELSE '' END)"
+    )
+
+
+def finish_inline(x: str) -> str:
+    """Collapse runs of spaces, drop them around breaks and trim the block."""
+    x = D.rx_replace(x, " {2,}", " ")
+    x = D.rx_replace(x, " *\n *", "\n")
+    return f"btrim({x}, {D.s(chr(10) + ' ')})"
+
+
+def fenced(code: str, lang: str) -> str:
     """H5: fenced code block; the fence is longer than any line-start backtick run of 3+."""
-    body = d.rx_replace(d.rx_replace(code, "^\n", ""), "\n$", "")
-    runs = d.rx_extract_all(body, "(?m)^`{3,}")
-    size = f"greatest(3, coalesce({d.array_max(d.transform(runs, 'r', 'length(r) + 1'))}, 3))"
+    body = D.rx_replace(D.rx_replace(code, "^\n", ""), "\n$", "")
+    size = f"greatest(3, coalesce(array_max(transform({D.rx_extract_all(body, '(?m)^`{3,}')}, r -> length(r) + 1)), 3))"
     fence = f"repeat('`', CAST({size} AS INTEGER))"
-    return f"({fence} || coalesce({lang}, '') || {d.s(chr(10))} || {body} || {d.s(chr(10))} || {fence})"
+    return f"concat({fence}, {lang}, {D.s(chr(10))}, {body}, {D.s(chr(10))}, {fence})"
 
 
-def indent_lines(d: Dialect, x: str, n: str) -> str:
+def indent_lines(x: str, n: str) -> str:
     """Every line after the first gets n more spaces."""
-    return f"replace({x}, {d.s(chr(10))}, {d.s(chr(10))} || repeat(' ', CAST({n} AS INTEGER)))"
+    return f"replace({x}, {D.s(chr(10))}, concat({D.s(chr(10))}, repeat(' ', CAST({n} AS INTEGER))))"

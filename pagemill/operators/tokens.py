@@ -1,160 +1,59 @@
-"""HTML as a token relation.
+"""HTML as token arrays.
 
-A page becomes rows ``(page_id, pos, tok)``. Element nesting is a running sum of
-+1 (open) / -1 (close) over ``pos``; every per-page window here shares ONE spec
-(``PARTITION BY page_id ORDER BY pos``) so the plan has one exchange on page_id and
-one sort. The page rows (one per page) are what crosses the shuffle, not the tokens.
-
-The stages are SQL text (see ``pagemill.functions.dialect``): Spark runs them, and the
-same stages rendered for DuckDB are the oracle.
+A page stays one row: its tokens are an array, and what the fold of ``operators.tree`` says
+about them is another beside it, so the page rows cross one shuffle and nothing is sorted. Texts, attributes and
+links are computed by array functions in the JVM.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagemill.functions import sqltext as X
-from pagemill.functions.dialect import SPARK, Agg, Dialect, Explode, Sel, Where, apply_stages, run_w
+from pagemill.functions.dialect import SPARK as D
+from pagemill.operators import tree as T
 from pagemill.options import DEFAULT, Options
 
 # Token grammar: tags (quoted '>' stays inside), declarations/comments, text runs, stray '<'.
 # Possessive quantifiers keep Java's regex engine from deep backtracking/recursion on long tags.
 TOKEN_RE = "</?[A-Za-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[!?][^>]*+>|[^<]++|<"
-TAG_NAME_RE = "^</?([A-Za-z][A-Za-z0-9:-]*)"
+TAG_NAME_RE = "^<(/?[A-Za-z][A-Za-z0-9:-]*)"
 PLACEHOLDER = "<x-removed>"
 
-VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
-             "param", "source", "track", "wbr", "x-removed")
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-# Tags that start/end a block of text (p, li, td and friends may be left unclosed).
-BLOCK_TAGS = ("address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog",
-              "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2",
-              "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol",
-              "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul")
-TABLE_STRUCT = ("table", "thead", "tbody", "tfoot", "tr")
-CELL_TAGS = ("td", "th")
-# Tags whose nesting level is tracked for open/close matching (containers and lists).
-LEVEL_TAGS = ("body", "div", "section", "article", "main", "ul", "ol")
-LIST_TAGS = ("ul", "ol")
-REGION_TAGS = ("article", "main")
-
-W = run_w("page_id", "pos")
-
 
 def in_list(col: str, values) -> str:
     return f"{col} IN (" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
+def step(df: DataFrame, **columns: str) -> DataFrame:
+    """``df`` with further columns (SQL), each computed once for every row.
+
+    Later columns use earlier ones inside array functions. Merged projections would put a column's expression into
+    those functions, to be computed for every element; a generator between the projections keeps them apart."""
+    keep = [c for c in df.columns if c not in columns]
+    pairs = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
+    return df.selectExpr(*keep, f"inline_outer(array(named_struct({pairs})))")
+
+
 # --- G2 -------------------------------------------------------------------
-def clean_html(d: Dialect, x: str, opts: Options = DEFAULT) -> str:
+def clean_html(x: str, opts: Options = DEFAULT) -> str:
     """Normalise newlines, drop control characters, and replace comments and removed elements
     (script, style, noscript, iframe, form) by an empty placeholder tag.
 
     Done on the string *before* tokenising because raw-text elements may hold tag-like text
-    (``var t="</p>"``). The placeholder keeps "the body had markup" observable for the
+    (``var t="</p>"``); a removed element that is never closed is left to the tree. The placeholder keeps "the body had markup" observable for the
     blank-content rule while rendering nothing. One pass per removed tag, in order."""
-    x = d.rx_replace(x, "\r\n?", "\n")
-    x = d.rx_replace(x, "[\\x00-\\x08\\x0B\\x0E-\\x1F]", "")
-    x = d.rx_replace(x, "(?s)<!--.*?(?:-->|\\z)", PLACEHOLDER)
+    x = D.rx_replace(x, "\r\n?", "\n")
+    x = D.rx_replace(x, "[\\x00-\\x08\\x0B\\x0E-\\x1F]", "")
+    x = D.rx_replace(x, "(?s)<!--.*?(?:-->|\\z)", PLACEHOLDER)
     for t in opts.removed_tags:
         end = f"(?:</{t}\\s*>|\\z)" if t in ("script", "style", "iframe") else f"</{t}\\s*>"  # raw text runs to the end if unclosed
-        x = d.rx_replace(x, f"(?is)<{t}\\b[^>]*+>.*?{end}", PLACEHOLDER)
+        x = D.rx_replace(x, f"(?is)<{t}\\b[^>]*+>.*?{end}", PLACEHOLDER)
     return x
 
 
-# --- G1 -------------------------------------------------------------------
-def token_stages(d: Dialect, opts: Options = DEFAULT) -> list:
-    """pages(page_id, url, html) -> tokens(page_id, url, tok, pos, tag, o, c, void, is_text)."""
-    sw = d.startswith
-    return [
-        Sel(keep=["page_id", "url", "lnk"], cols=[("h", clean_html(d, "html", opts))]),
-        Sel(keep=["page_id", "url", "lnk"], cols=[("toks", d.rx_extract_all("h", TOKEN_RE))]),
-        Explode("toks", "pos0", "tok", keep=["page_id", "url", "lnk"]),
-        Sel(keep=["page_id", "url", "lnk", "tok"], cols=[
-            ("pos", "CAST(pos0 AS BIGINT)"),
-            ("tag", f"lower({d.rx_extract('tok', TAG_NAME_RE, 1)})"),
-        ]),
-        Sel(cols=[
-            ("o", f"CASE WHEN tag <> '' AND NOT {sw('tok', '</')} THEN 1 ELSE 0 END"),
-            ("c", f"CASE WHEN tag <> '' AND {sw('tok', '</')} THEN 1 ELSE 0 END"),
-            ("void", in_list("tag", VOID_TAGS)),
-            ("is_text", f"(tag = '' AND NOT {d.rlike('tok', '^<[!?]')})"),
-        ]),
-    ]
-
-
-def _delta(tags) -> str:
-    return f"CASE WHEN {in_list('tag', tags)} AND NOT void THEN o - c ELSE 0 END"
-
-
-# --- E4 -------------------------------------------------------------------
-RUN_COUNTERS = ("chrome", "region", "a", "pre", "code", "q", "lvl", "list", "table", "h", "title")
-
-
-def nesting_stages(d: Dialect, opts: Options = DEFAULT) -> list:
-    """Depth counters (clamped at 0) and per-token context, all over one window spec."""
-    tags = {
-        "chrome": opts.chrome_tags, "region": REGION_TAGS, "a": ("a",), "pre": ("pre",), "code": ("code",),
-        "q": ("blockquote",), "lvl": LEVEL_TAGS, "list": LIST_TAGS, "table": ("table",), "h": HEADINGS,
-        "title": ("title",),
-    }
-    op, cl = "o = 1", "c = 1"
-    attrs = Sel(cols=[
-        ("href", f"CASE WHEN {op} AND tag = 'a' THEN {X.js_trim(d, X.attr(d, 'tok', 'href'))} END"),
-        ("src", f"CASE WHEN {op} AND tag = 'img' THEN {X.js_trim(d, X.attr(d, 'tok', 'src'))} END"),
-        ("alt", f"CASE WHEN {op} AND tag = 'img' THEN {X.attr(d, 'tok', 'alt')} END"),
-        ("itype", f"CASE WHEN {op} AND tag = 'input' THEN lower({X.attr(d, 'tok', 'type')}) END"),
-        ("checked", f"CASE WHEN {op} AND tag = 'input' THEN {X.has_attr(d, 'tok', 'checked')} END"),
-        ("h_open", f"CASE WHEN {op} AND {in_list('tag', HEADINGS)} THEN CAST(substring(tag, 2, 1) AS INTEGER) END"),
-        ("cls", f"CASE WHEN {op} AND tag = 'code' THEN {X.attr(d, 'tok', 'class')} END"),
-        ("start_attr", f"CASE WHEN {op} AND tag = 'ol' THEN trim({X.attr(d, 'tok', 'start')}) END"),
-    ])
-    cell_state = (f"CASE WHEN {in_list('tag', CELL_TAGS)} AND {op} THEN TRUE "
-                  f"WHEN {in_list('tag', TABLE_STRUCT)} OR ({in_list('tag', CELL_TAGS)} AND {cl}) THEN FALSE END")
-    runs = [(f"r_{k}", f"sum({_delta(tags[k])}) {W}") for k in RUN_COUNTERS]
-    runs += [
-        ("head_open", f"max(CASE WHEN tag = 'head' AND {op} THEN 1 ELSE 0 END) {W}"),
-        ("head_done", f"max(CASE WHEN (tag = 'head' AND {cl}) OR (tag = 'body' AND {op}) THEN 1 ELSE 0 END) {W}"),
-        ("cur_href", f"{d.last_nn('href')} {W}"),
-        ("h_level", f"{d.last_nn('h_open')} {W}"),
-        ("in_cell", f"{d.last_nn(cell_state)} {W}"),
-        ("n_cells", f"sum(CASE WHEN {in_list('tag', CELL_TAGS)} AND {op} THEN 1 ELSE 0 END) {W}"),
-        ("n_rows", f"sum(CASE WHEN tag = 'tr' AND {op} THEN 1 ELSE 0 END) {W}"),
-        ("table_seq", f"sum(CASE WHEN tag = 'table' AND {op} THEN 1 ELSE 0 END) {W}"),
-        ("li_seq", f"sum(CASE WHEN tag = 'li' AND {op} THEN 1 ELSE 0 END) {W}"),
-        ("after_hr", f"coalesce(lag(CASE WHEN tag = 'hr' AND {op} THEN TRUE END, 1) OVER (PARTITION BY page_id ORDER BY pos), FALSE)"),
-    ]
-    depths = [(f"d_{k}", f"r_{k} - least(0, min(r_{k}) {W})") for k in RUN_COUNTERS]
-    depths += [
-        ("cell_in_row", f"n_cells - {d.last_nn(f'CASE WHEN tag = {chr(39)}tr{chr(39)} AND {op} THEN n_cells END')} {W}"),
-        ("row_in_table", f"n_rows - {d.last_nn(f'CASE WHEN tag = {chr(39)}table{chr(39)} AND {op} THEN n_rows END')} {W}"),
-    ]
-    boundary = (
-        f"(({in_list('tag', BLOCK_TAGS)} AND o + c > 0 AND (d_pre = 0 OR tag = 'pre') "
-        f"AND NOT (coalesce(in_cell, FALSE) AND NOT {in_list('tag', TABLE_STRUCT)})) OR after_hr)"
-    )
-    return [
-        attrs,
-        Sel(cols=runs),
-        Sel(cols=depths),
-        Sel(cols=[
-            ("boundary", boundary),
-            ("in_head", "((head_open = 1 AND head_done = 0) OR d_title > 0)"),
-            ("region_start", f"({in_list('tag', REGION_TAGS)} AND {op} AND d_region = 1)"),
-        ]),
-        Sel(cols=[
-            ("blk", f"sum(CASE WHEN boundary THEN 1 ELSE 0 END) {W}"),
-            ("region_seq", f"sum(CASE WHEN region_start THEN 1 ELSE 0 END) {W}"),
-        ]),
-        # decoded text of text tokens outside <head>/<title>; raw inside pre, collapsed elsewhere
-        Sel(cols=[("dec", f"CASE WHEN is_text AND NOT in_head THEN {X.decode_entities(d, 'tok')} END")]),
-        Sel(cols=[("txt", f"CASE WHEN d_pre > 0 THEN dec ELSE {X.collapse_ws(d, 'dec')} END")]),
-        Sel(cols=[("words", f"CASE WHEN txt IS NULL THEN CAST(0 AS BIGINT) ELSE {X.word_count(d, 'txt')} END")]),
-    ]
-
-
-# Target HTML bytes per page partition. Tokens expand the HTML a few times in memory while
-# they stream through sorts/windows (which spill), so partitions stay well under executor memory.
+# Target HTML bytes per page partition. A page's arrays expand its HTML a few times in memory, one page at a time.
 TARGET_PARTITION_BYTES = 64 * 1024 * 1024
 
 
@@ -167,67 +66,94 @@ def page_partition_count(pages: DataFrame, opts: Options = DEFAULT) -> int:
     spark = pages.sparkSession
     floor_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     leaves = pages._jdf.queryExecution().optimizedPlan().collectLeaves()
-    scans = [leaf for leaf in (leaves.apply(i) for i in range(leaves.size())) if leaf.nodeName().startswith("LogicalRelation")]
-    size = sum(int(str(leaf.stats().sizeInBytes())) for leaf in scans)  # of the files: a join's estimate is a product
+    sizes = [int(str(leaf.stats().sizeInBytes())) for leaf in (leaves.apply(i) for i in range(leaves.size()))]
+    size = sum(s for s in sizes if s < 1 << 60)  # an unknown size is given as the largest number
     return max(floor_, -(-size // TARGET_PARTITION_BYTES))
 
 
 def partition_pages(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
-    """Hash-partition the *page rows* on page_id so every later per-page window/aggregate
-    reuses this one distribution (the exploded tokens never cross a shuffle)."""
+    """Hash-partition the *page rows* on page_id: the one exchange of the HTML plans."""
     return pages.repartition(page_partition_count(pages, opts), "page_id")
 
 
 def with_links_flag(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
     """Ensure the per-page ``lnk`` (include links) column; default from the options."""
-    from pyspark.sql import functions as F
     if "lnk" in pages.columns:
         return pages.select("page_id", "url", "html", F.coalesce(F.col("lnk"), F.lit(opts.include_links)).alias("lnk"))
     return pages.select("page_id", "url", "html", F.lit(opts.include_links).alias("lnk"))
 
 
-def pages_source_duck(opts: Options = DEFAULT, source: str = "pages") -> str:
-    return f"(SELECT page_id, url, html, {str(opts.include_links).upper()} AS lnk FROM {source})"
+# --- G1 -------------------------------------------------------------------
+def tokenised(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
+    """pages(page_id, url, html[, lnk]) -> page rows with ``toks`` and ``names`` (lower-case tag name, '/name' for end
+    tags, '' for text and declarations). A page without any token has one empty token."""
+    p = partition_pages(with_links_flag(pages, opts), opts)
+    p = p.selectExpr("page_id", "url", "lnk", f"{clean_html('html', opts)} AS h")
+    p = step(p, toks=f"coalesce({D.rx_extract_all('h', TOKEN_RE)}, array())").drop("h")
+    return step(p, names=f"transform(toks, t -> CASE WHEN startswith(t, '<') THEN lower({D.rx_extract('t', TAG_NAME_RE, 1)}) ELSE '' END)")
+
+
+def marks_sql(opts: Options = DEFAULT) -> str:
+    """What the fold sees of each token: 't' text, 'n' text of other white space, ' ' blank, '!' a declaration,
+    else the tag name; ':1' marks an anchor or image with a target and a checkbox, ':n' a list's start."""
+    has = lambda name: f"{X.js_trim(D, X.raw_attr(D, 't', name))} <> ''"
+    start = f"trim({X.raw_attr(D, 't', 'start')})"
+    checkbox = f"lower({X.raw_attr(D, 't', 'type')}) = 'checkbox'" if opts.has("task") else "FALSE"
+    return (
+        "zip_with(toks, names, (t, m) -> CASE "
+        f"WHEN m = '' THEN (CASE WHEN startswith(t, '<') AND length(t) > 1 THEN '!' WHEN {D.rlike('t', '^[ \t\n\r\f]*$')} THEN ' ' WHEN {X.js_trim(D, 't')} = '' THEN 'n' ELSE 't' END) "
+        f"WHEN m = 'a' AND {has('href')} THEN 'a:1' WHEN m = 'img' AND {has('src')} THEN 'img:1' "
+        f"WHEN m = 'input' AND {checkbox} THEN 'input:1' "
+        f"WHEN m = 'ol' AND {D.rlike(start, '^-?[0-9]{1,9}$')} THEN concat('ol:', {start}) ELSE m END)"
+    )
 
 
-def nested_df(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
-    """Tokens with nesting context on Spark (pages hash-partitioned on page_id first)."""
-    p = partition_pages(with_links_flag(pages, opts), opts)
-    return apply_stages(p, token_stages(SPARK, opts) + nesting_stages(SPARK, opts))
+# --- E4 -------------------------------------------------------------------
+def with_tree(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
+    """Page rows with ``toks``, ``names`` and the arrays of the tree (``tokens``, ``blocks``, ``spans``, ``refs``, ...)."""
+    p = tokenised(pages, opts).withColumn("marks", F.expr(marks_sql(opts)))
+    p = p.withColumn("tree", T.page_trees(opts)(F.col("marks")))
+    return p.selectExpr("page_id", "url", "lnk", "toks", "names", "tree.*")
+
+
+def with_texts(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
+    """Adds ``txts`` (decoded text of text tokens outside the head; raw inside pre, collapsed elsewhere) and
+    ``hrefs`` (the target of each of ``refs``, trimmed, as written) and ``links`` (resolved)."""
+    attr = f"CASE WHEN r.n = 0 THEN {X.raw_attr(D, 'toks[r.pos]', 'src')} ELSE {X.raw_attr(D, 'toks[r.pos]', 'href')} END"
+    p = step(with_tree(pages, opts),
+             txts=f"zip_with(toks, tokens, (x, c) -> CASE WHEN c.k IN ({T.TEXT}, {T.CODE_TEXT}, {T.RAW}) THEN {X.decode_entities(D, 'x')} END)",
+             hrefs=f"transform(refs, r -> {attr})")
+    p = step(p, txts=f"zip_with(txts, tokens, (x, c) -> CASE WHEN c.k = {T.RAW} THEN x ELSE {X.collapse_ws(D, 'x')} END)",
+             hrefs=f"transform(hrefs, h -> {X.js_trim(D, X.decode_entities(D, 'h', attribute=True))})")
+    return step(p, links="hrefs" if opts.compat else f"transform(hrefs, h -> {X.resolve_url(D, 'url', 'h')})")
 
 
 # --- query shapes: G1 / G3 / G10 ------------------------------------------------
-def html_tokens_stages(d: Dialect, opts: Options = DEFAULT) -> list:
+def html_tokens(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
     """G1: one row per token with tag and direction."""
-    return token_stages(d, opts) + [
-        Sel(keep=["page_id", "pos", "tok", "tag"],
-            cols=[("kind", "CASE WHEN o = 1 THEN 'open' WHEN c = 1 THEN 'close' WHEN is_text THEN 'text' ELSE 'decl' END")]),
-    ]
+    rows = tokenised(pages, opts).selectExpr("page_id", "posexplode(arrays_zip(toks, names)) AS (pos, t)")
+    return rows.selectExpr(
+        "page_id", "CAST(pos AS BIGINT) AS pos", "t.toks AS tok", "ltrim('/', t.names) AS tag",
+        "CASE WHEN startswith(t.names, '/') THEN 'close' WHEN t.names <> '' THEN 'open' WHEN t.toks RLIKE '^<[!?]' THEN 'decl' ELSE 'text' END AS kind")
 
 
-def strip_chrome_stages(d: Dialect, opts: Options = DEFAULT) -> list:
+def strip_chrome(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
     """Body tokens outside nav/header/footer/aside subtrees, with depth context."""
-    return token_stages(d, opts) + nesting_stages(d, opts) + [
-        Where(f"d_chrome = 0 AND NOT {in_list('tag', opts.chrome_tags)} AND NOT in_head"),
-        Sel(keep=["page_id", "pos", "tok", "tag"], cols=[("depth", "CAST(d_lvl AS BIGINT)"), ("in_link", "d_a > 0")]),
-    ]
-
-
-def link_table_stages(d: Dialect, opts: Options = DEFAULT) -> list:
-    """G10 + G8: every <a href> outside <head>: (page_id, pos, href, abs_href, text)."""
-    return token_stages(d, opts) + nesting_stages(d, opts) + [
-        Where("NOT in_head"),
-        Sel(cols=[("link_pos", f"max(CASE WHEN tag = 'a' AND o = 1 THEN pos END) {W}")]),
-        Where("(d_a > 0 OR (tag = 'a' AND o = 1)) AND cur_href IS NOT NULL"),
-        Agg(["page_id", "link_pos"], [
-            ("url", "min(url)"),
-            ("href", "min_by(cur_href, pos)"),
-            ("raw_text", d.listagg("coalesce(txt, '')", "pos")),
-        ]),
-        Sel(keep=["page_id"], cols=[
-            ("pos", "CAST(link_pos AS BIGINT)"),
-            ("href", "href"),
-            ("abs_href", X.resolve_url(d, "url", "href")),
-            ("text", X.js_trim(d, d.rx_replace("raw_text", " +", " "))),
-        ]),
-    ]
+    rows = with_tree(pages, opts).selectExpr("page_id", "posexplode(arrays_zip(toks, names, tokens)) AS (pos, t)")
+    rows = rows.selectExpr("page_id", "CAST(pos AS BIGINT) AS pos", "t.toks AS tok", "ltrim('/', t.names) AS tag", "t.tokens AS c")
+    return rows.where(f"(c.f & {T.EXCLUDED | T.CHROME}) = 0 AND NOT {in_list('tag', opts.chrome_tags)}").selectExpr(
+        "page_id", "pos", "tok", "tag", "CAST(c.lvl AS BIGINT) AS depth", f"(c.f & {T.IN_LINK}) > 0 AS in_link")
+
+
+def link_table(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
+    """G10 + G8: every <a> outside <head>: (page_id, pos, href, abs_href, text)."""
+    p = with_texts(pages, opts).selectExpr("page_id", "inline(transform(refs, (r, i) -> named_struct('n', r.n, 'pos', CAST(r.pos AS BIGINT), 'href', hrefs[i], "
+                                           "'abs_href', links[i], 'text', array_join(slice(txts, r.pos + 1, r.n), ''))))")
+    return p.where("n > 0").selectExpr("page_id", "pos", "href", "abs_href", f"{X.js_trim(D, D.rx_replace('text', ' +', ' '))} AS text")
+
+
+def element_tree(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
+    """The containers and regions of each page: their token, the container around them and the blocks they span."""
+    p = with_tree(pages, opts).selectExpr("page_id", "inline(transform(spans, s -> named_struct('kind', s.kind, 'pos', CAST(s.pos AS BIGINT), "
+                                          "'parent_pos', CASE WHEN s.parent >= 0 THEN CAST(spans[s.parent].pos AS BIGINT) END, 'first_blk', CAST(s.o AS BIGINT), 'end_blk', CAST(s.c AS BIGINT))))")
+    return p

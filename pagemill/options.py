@@ -48,6 +48,9 @@ JS_WS_CODEPOINTS = (
 )
 
 
+JS_BLANKS = "".join(map(chr, JS_WS_CODEPOINTS))
+
+
 def _java_class(cps) -> str:
     return "".join(f"\\x{{{cp:04x}}}" for cp in cps)
 
@@ -57,6 +60,30 @@ JS_WS = "[" + _java_class(JS_WS_CODEPOINTS) + "]"
 JS_NON_WS = "[^" + _java_class(JS_WS_CODEPOINTS) + "]"
 
 
+@dataclass(frozen=True)
+class Rule:
+    """K1: how elements of the given tags render: between ``open`` and ``close`` (both empty: as their content),
+    or, with ``remove``, not at all. A rule without tags switches a block form on: ``table`` or ``task``."""
+    name: str
+    tags: tuple = ()
+    open: str = ""
+    close: str = ""
+    remove: bool = False
+
+
+# CommonMark + GFM conventions used for output.
+#   headings "# " (ATX), bullet "-   ", ordered "N.  ", emphasis "_", strong "**",
+#   strikethrough "~", code fence "```", horizontal rule "* * *", block quote "> ".
+COMMONMARK = (
+    Rule("strong", ("b", "strong"), "**", "**"),
+    Rule("emphasis", ("i", "em"), "_", "_"),
+    Rule("code", ("code",), "`", "`"),
+)
+GFM = (Rule("strikethrough", ("del", "s", "strike"), "~", "~"), Rule("table"), Rule("task"))  # K2: the GFM bundle
+#: Letters that stand for rules in the arrays of a page.
+RULE_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZbcdefghijklmnopqrstuvwxyz"
+
+
 @dataclass(frozen=True)
 class Options:
     """Per-run options; every field maps to a literal in the plan (constant-folded by Catalyst)."""
@@ -73,8 +100,29 @@ class Options:
     compat: bool = False
     # Number of hash partitions for the page -> token stage; None = spark.sql.shuffle.partitions.
     page_partitions: int | None = None
+    # K1/K2: rendering rules; where two name a tag, the later one holds.
+    rules: tuple = COMMONMARK + GFM
     extra: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        if len(self.rules) > len(RULE_LETTERS):
+            raise ValueError(f"at most {len(RULE_LETTERS)} rules")
+
+    def letters(self) -> dict[str, str]:
+        """The letter of each formatting tag's rule."""
+        out = {}
+        for letter, rule in zip(RULE_LETTERS, self.rules, strict=False):
+            for tag in rule.tags:
+                out[tag] = letter if rule.open or rule.close else ""
+        return {tag: letter for tag, letter in out.items() if letter}
+
+    def delimiters(self) -> dict[str, tuple[str, str]]:
+        """Opening and closing delimiter by letter."""
+        return {letter: (rule.open, rule.close) for letter, rule in zip(RULE_LETTERS, self.rules, strict=False) if rule.open or rule.close}
+
+    def has(self, name: str) -> bool:
+        return any(r.name == name and not r.tags for r in self.rules)
+
     def with_(self, **kw) -> "Options":
         return replace(self, **kw)
 

@@ -1,54 +1,39 @@
-"""Whole-table page cleaning plans."""
+"""Whole-table page cleaning."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 from pagemill.functions import sqltext as X
-from pagemill.functions.dialect import SPARK, Dialect, apply_stages, duck_ctes
-from pagemill.operators.blocks import meta_stages, page_stages
-from pagemill.operators.tokens import pages_source_duck, partition_pages, with_links_flag
+from pagemill.functions.dialect import SPARK as D
+from pagemill.operators.blocks import assembled
 from pagemill.options import DEFAULT, MSG_NO_CONTENT, Options
 
 RESULT_COLUMNS = ["page_id", "url", "title", "excerpt", "site_name", "word_count", "markdown", "source", "error"]
 
 
-def result_cols(d: Dialect) -> list:
-    """Final projection over meta LEFT JOIN page markdown."""
-    blank = "(coalesce(source, 'fallback') = 'fallback' AND coalesce(any_markup, 0) = 0)"
-    article = "(coalesce(source, 'fallback') <> 'fallback')"
-    excerpt = f"coalesce(meta_excerpt, nullif({X.js_trim(d, d.rx_replace('first_p', ' +', ' '))}, ''))"
+def result_cols() -> list[str]:
+    """Final projection of a page."""
+    blank, article = "(source = 'fallback' AND NOT any_markup)", "(source <> 'fallback')"
+    excerpt = f"coalesce(meta_excerpt, nullif({X.js_trim(D, D.rx_replace('first_p', ' +', ' '))}, ''))"
     return [
-        ("title", f"CASE WHEN NOT {blank} THEN doc_title END"),
-        ("excerpt", f"CASE WHEN NOT {blank} AND {article} THEN {excerpt} END"),
-        ("site_name", f"CASE WHEN NOT {blank} AND {article} THEN site_name END"),
-        ("word_count", f"CASE WHEN NOT {blank} THEN {X.word_count(d, 'coalesce(markdown, ' + chr(39) * 2 + ')')} END"),
-        ("markdown", f"CASE WHEN NOT {blank} THEN coalesce(markdown, '') END"),
-        ("source", "coalesce(source, 'fallback')"),
-        ("error", f"CASE WHEN {blank} THEN {d.s(MSG_NO_CONTENT)} END"),
+        f"CASE WHEN NOT {blank} THEN doc_title END AS title",
+        f"CASE WHEN NOT {blank} AND {article} THEN {excerpt} END AS excerpt",
+        f"CASE WHEN NOT {blank} AND {article} THEN site_name END AS site_name",
+        f"CASE WHEN NOT {blank} THEN {X.word_count(D, 'markdown')} END AS word_count",
+        f"CASE WHEN NOT {blank} THEN markdown END AS markdown",
+        "source",
+        f"CASE WHEN {blank} THEN {D.s(MSG_NO_CONTENT)} END AS error",
     ]
 
 
 def clean_pages(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
     """pages(page_id, url, html) -> one result row per page (success, or the no-content error).
 
-    Plan shape: one hash exchange of the *page rows* on page_id; tokens, blocks, windows,
-    per-page aggregates and the final meta join all reuse that distribution.
+    Plan shape: one scan, one hash exchange of the page rows on page_id, then projections over the
+    arrays of each page; no sort, window, aggregate or join.
     """
-    p = partition_pages(with_links_flag(pages, opts), opts)
-    md = apply_stages(p, page_stages(SPARK, opts))
-    meta = apply_stages(p, meta_stages(SPARK))
-    r = meta.join(md, "page_id", "left")
-    return r.selectExpr("page_id", "url", *[f"{sql} AS {a}" for a, sql in result_cols(SPARK)])
-
-
-def clean_pages_duck(d: Dialect, opts: Options = DEFAULT, source: str = "pages") -> str:
-    """The same plan as DuckDB SQL (oracle)."""
-    ctes1, last1 = duck_ctes(page_stages(d, opts), pages_source_duck(opts, source), "pg")
-    ctes2, last2 = duck_ctes(meta_stages(d), source, "mt")
-    cols = ", ".join(f"{sql} AS {a}" for a, sql in result_cols(d))
-    return ("WITH " + ",\n".join(ctes1 + ctes2) +
-            f"\nSELECT m.page_id, m.url, {cols} FROM {last2} m LEFT JOIN {last1} g ON m.page_id = g.page_id")
+    return assembled(pages, opts).selectExpr("page_id", "url", *result_cols())
 
 
 def page_markdown(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:

@@ -1,11 +1,13 @@
 """HTML -> Markdown goldens (G rows) and Spark/DuckDB parity on the same inputs."""
 
+import time
+
 import duckdb
 import pytest
 
-from pagemill.functions.dialect import DUCK
-from pagemill.options import DEFAULT
-from pagemill.plans.clean import clean_pages, clean_pages_duck
+from oracles.html import clean_pages_duck
+from pagemill.options import COMMONMARK, DEFAULT, Rule
+from pagemill.plans.clean import clean_pages
 
 BASE = "https://ex.com/dir/page"
 
@@ -63,7 +65,7 @@ def test_duckdb_parity_on_goldens(results):
     con = duckdb.connect()
     con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
-    duck = {r[0]: r for r in con.execute(clean_pages_duck(DUCK)).fetchall()}
+    duck = {r[0]: r for r in con.execute(clean_pages_duck()).fetchall()}
     for i, r in got.items():
         assert duck[i][6] == r.markdown, (i, duck[i][6], r.markdown)
 
@@ -116,4 +118,62 @@ def test_nested_formatting_of_any_depth(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
-    assert {r[0]: r[6] for r in con.execute(clean_pages_duck(DUCK)).fetchall()} == got
+    assert {r[0]: r[6] for r in con.execute(clean_pages_duck()).fetchall()} == got
+
+
+WORDS = "word " * 30
+
+TREES = {
+    # a parent's end tag closes all it holds; chrome that is never closed doesn't hide the article in it
+    f"<div><nav>menu<article><p>{WORDS}</p></article></div><p>after</p>": WORDS.strip(),
+    f"<body><aside>note<main><h1>H</h1><p>{WORDS}</p></main>": f"# H\n\n{WORDS.strip()}",
+    "<div><nav>menu</div><p>after</p>": "after",
+    f"<nav><article><p>{WORDS}</p></article></nav><p>after</p>": "after",
+    "<table><tr><td>x</div></td><td>y</table><p>z": "| x | y |\n| --- | --- |\n\nz",
+    "<svg><title>no</title></svg><form>gone<div>x</div><p>y": "",
+    "<ul><li>a<ul><li>b</ul>c<li>d</ul>": "-   a\n    -   b\n\n    c\n-   d",
+    # nested tables are rendered into their cell
+    "<table><tr><td>a<table><tr><td>1<td>2<tr><td>3</table><td>b</table>": "| a<br>1 \\| 2<br>3 | b |\n| --- | --- |",
+    "<table><tr><td><table><tr><td>x<table><tr><td>deep</table>y</table><td>b<tr><td>c<td></table>": "| x<br>deep<br>y | b |\n| --- | --- |\n| c | |",
+    "<table><tr><td><p>a</p><p>b<br>c</p></td><td><ul><li>x<li>y</ul></td></tr></table>": "| a<br>b<br>c | x<br>y |\n| --- | --- |",
+    # no character passes for formatting
+    "<p>x &#1;y&#2; z &#7;&#16;w&#17;/&#18;</p>": "x \x01y\x02 z \x07\x10w\x11/\x12",
+    "<p><b>bold </b>x<i> em</i></p>": "**bold** x _em_",
+    "<p><a href='/x'>one <b>two</b></a></p><a href=/y><p>blk</p></a>": "[one **two**](https://ex.com/x)\n\n[blk](https://ex.com/y)",
+    "<p><i><b>x</b> y</i> <code>a*<b>b</b></code></p>": "_**x** y_ `a*b`",
+    "<p><b>a</p><p>b</b></p>": "**a**\n\nb",
+}
+
+
+def test_trees_tables_and_typed_formatting(spark):
+    rows = [(i, BASE, html) for i, html in enumerate(TREES)]
+    got = {r.page_id: r.markdown for r in clean_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(len(rows))] == list(TREES.values())
+
+
+def test_plan_of_clean_pages(spark, sf001, capsys):
+    """One scan, one exchange; no sort, window, join or aggregate."""
+    plan = clean_pages(spark.read.parquet(f"{sf001}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
+    counts = {k: plan.count(k) for k in ("FileScan", "Exchange", "Sort", "Window", "Join", "Aggregate")}
+    print(counts)
+    assert counts == {"FileScan": 1, "Exchange": 1, "Sort": 0, "Window": 0, "Join": 0, "Aggregate": 0}
+
+
+def test_hostile_nesting_takes_time_in_proportion():
+    from pagemill.operators.tree import Fold
+
+    fold = Fold()
+    for marks in (["div"] * 60_000, ["b", "t"] * 30_000 + ["/b"] * 30_000, ["li", "span", "/td"] * 20_000, ["table", "tr", "td"] * 20_000 + ["/div"] * 20_000,
+                  ["nav", "article", "p", "t"] * 15_000, ["ol", "li", "a:1", "t"] * 15_000):
+        began = time.process_time()
+        fold.page(marks)
+        assert time.process_time() - began < 20
+
+
+def test_rules_of_options(spark):
+    html = "<p><mark>m</mark> <b>b</b> <s>s</s> <u>u</u></p><ul><li><input type=checkbox checked>t</ul><table><tr><td>a<td>b</table>"
+    frame = spark.createDataFrame([(1, BASE, html)], "page_id bigint, url string, html string")
+    more = (Rule("mark", ("mark",), "==", "=="), Rule("bold", ("b",), "<b>", "</b>"), Rule("gone", ("u",), remove=True))
+    assert clean_pages(frame, DEFAULT.with_(rules=DEFAULT.rules + more)).first().markdown == "==m== <b>b</b> ~s~\n\n-   [x] t\n\n| a | b |\n| --- | --- |"
+    assert clean_pages(frame, DEFAULT.with_(rules=COMMONMARK)).first().markdown == "m **b** s u\n\n-   t\n\na b"
+    assert clean_pages(frame, DEFAULT.with_(rules=COMMONMARK + (Rule("plain", ("b",)),))).first().markdown == "m b s u\n\n-   t\n\na b"

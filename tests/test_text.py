@@ -6,7 +6,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from pagemill.functions import sqltext as X
-from pagemill.functions.dialect import DUCK, SPARK
+from oracles.dialect import DUCK
+from pagemill.functions.dialect import SPARK
 from pagemill.functions.text import js_trim, tidy_markdown, word_count
 
 NBSP, BOM = " ", "﻿"
