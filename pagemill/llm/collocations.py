@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, shared_path
+from .common import bounded_batches, checkpointed, shared_path, short_lived_shuffles
 from .transducer import Transducer, summed
 from .wordarrays import byte_classes, column, segments, split
 
@@ -147,7 +147,9 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     known = each.join(words.select("lang", "word", "id"), ["lang", "word"])
     held = checkpointed(known.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("id", "i"))).alias("m")).select("shard", F.col("m.id").alias("ids"), F.col("m.i").alias("at")))
     side = math.ceil(math.sqrt(max(16, 2 * spark.sparkContext.defaultParallelism)))
-    quantiles = held.select(F.explode("ids").alias("id")).agg(F.percentile_approx("id", [k / side for k in range(1, side)], 1000).alias("q")).first()["q"]
+    # ranges of about equal numbers of words, frequent words counting a few times
+    weight = (F.floor(F.log2(F.col("count") / least)) + 1).cast("int")
+    quantiles = words.select(F.explode(F.array_repeat("id", weight)).alias("id")).agg(F.percentile_approx("id", [k / side for k in range(1, side)], 1000).alias("q")).first()["q"]
     bounds = np.unique(np.array(quantiles or [], np.int64))
     total = held.count()
 
@@ -266,8 +268,9 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     occurrences, gives no rows. Only ``text`` and ``lang`` are read; other columns are ignored. A
     text is cut by one task, at about thirty bytes of memory per byte.
     """
-    words, cells, totals, bounds = phrases(docs, least)
-    found = checkpointed(compose(cells, bounds))
+    with short_lived_shuffles(docs.sparkSession):
+        words, cells, totals, bounds = phrases(docs, least)
+        found = checkpointed(compose(cells, bounds))
     hidden = found.select(F.explode("hides").alias("ids")).distinct()
     kept = found.join(hidden, "ids", "left_anti").select(F.monotonically_increasing_id().alias("row"), "ids", "a", "cuts")
     spelled = kept.select("row", F.posexplode("ids").alias("at", "id")).join(words.select("id", "lang", "word"), "id")
