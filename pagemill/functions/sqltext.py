@@ -30,7 +30,7 @@ def tidy(d: Dialect, x: str) -> str:
 
 
 def collapse_ws(d: Dialect, x: str) -> str:
-    return d.rx_replace(x, "[ \t\n\r\f]+", " ")
+    return d.rx_replace(x, "[ \t\n\r\f]{2,}|[\t\n\r\f]", " ")  # a single space is no match
 
 
 def _cp(d: Dialect, v: str) -> str:
@@ -72,9 +72,9 @@ def decode_entities(d: Dialect, x: str, attribute: bool = False) -> str:
 
 
 def md_escape(d: Dialect, x: str) -> str:
-    x = d.rx_replace(x, MD_ESCAPE_ANYWHERE, "\\\\$1")
-    x = d.rx_replace(x, MD_ESCAPE_LEADING, "\\\\$1")
-    return d.rx_replace(x, MD_ESCAPE_ORDINAL, "$1\\\\. ")
+    """Escapes of a text; those that stand for its beginning are looked for only where its first character can begin one."""
+    led = d.rx_replace(d.rx_replace(md_escape_inside(d, x), MD_ESCAPE_LEADING, "\\\\$1"), MD_ESCAPE_ORDINAL, "$1\\\\. ")
+    return f"(CASE WHEN instr('-+=#~>0123456789', substring({x}, 1, 1)) > 0 THEN {led} ELSE {md_escape_inside(d, x)} END)"
 
 
 def md_escape_inside(d: Dialect, x: str) -> str:

@@ -1,43 +1,27 @@
 """URL and address expressions as Column expression chains.
 
-Everything is JVM-side; the only Python step is IDNA for non-ASCII host names, which
-``normalise_urls`` routes through a pandas UDF on just those rows.
+Everything is JVM-side; host names that aren't ASCII go through ``java.net.IDN``.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from pagemill.functions import sqltext as X
+from pagemill.functions.dialect import SPARK
+from pagemill.functions.steps import step
 from pagemill.functions.text import js_trim
 
 SPECIAL_PORTS = {"http": 80, "https": 443, "ftp": 21, "ws": 80, "wss": 443}
 SPECIAL_SCHEMES = ("http", "https", "ftp", "ws", "wss", "file")
 FORBIDDEN_HOST = "[\\x00-\\x20#%/:<>?@\\[\\\\\\]^|\\x7f]"
-PATH_SAFE = "[\\x21-\\x7e&&[^\"<>`{}#?]]"
-QUERY_SAFE = "[\\x21-\\x7e&&[^\"<>#']]"
-FRAGMENT_SAFE = "[\\x21-\\x7e&&[^\"<>`]]"
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def percent_encode(col: Column, safe_class: str) -> Column:
-    """UTF-8 percent-encode every character outside ``safe_class`` (existing %XX kept)."""
-    chars = F.regexp_extract_all(col, F.lit("(?s)."), 0)
-    enc = F.transform(
-        chars,
-        lambda ch: F.when(ch.rlike("^" + safe_class + "$"), ch).otherwise(
-            F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", "%$1")
-        ),
-    )
-    needs = col.rlike(safe_class.replace("[\\x21", "[^\\x21", 1)) | col.rlike("[^\\x21-\\x7e]")
-    return F.when(needs, F.array_join(enc, "")).otherwise(col)
-
-
 def remove_dot_segments(path: Column) -> Column:
     """WHATWG path normalisation of '.', '..' (and %2e forms); input starts with '/'."""
     segs = F.split(F.substring(path, 2, 1 << 30), "/", -1)
@@ -212,8 +196,8 @@ def is_private_ipv4(ip) -> Column:
 
 
 # --- B6 -------------------------------------------------------------------
-def is_private_ipv6(ip, compat: bool = True) -> Column:
-    """compat=True: the reference's textual rule (Q3). compat=False: numeric classification."""
+def is_private_ipv6(ip, compat: bool = False) -> Column:
+    """By number, whatever the spelling; ``compat``: by the text of the address (Q3)."""
     a = F.lower(_c(ip))
     if compat:
         mapped = F.regexp_extract(a, "^::ffff:([0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+)$", 1)
@@ -222,114 +206,89 @@ def is_private_ipv6(ip, compat: bool = True) -> Column:
             .when(mapped != "", is_private_ipv4(mapped))
             .otherwise(a.startswith("fe80") | a.startswith("fc") | a.startswith("fd"))
         )
-    g = ipv6_groups(a)
-    g0 = F.element_at(g, 1)
-    first6_zero = F.forall(F.slice(g, 1, 5), lambda x: x == 0)
-    is_mapped = first6_zero & (F.element_at(g, 6) == 65535)
-    v4 = F.element_at(g, 7).cast("bigint") * 65536 + F.element_at(g, 8)
-    loop_or_any = first6_zero & (F.element_at(g, 6) == 0) & (F.element_at(g, 7) == 0) & (F.element_at(g, 8) <= 1)
-    return (
-        F.when(g.isNull(), F.lit(True))
-        .when(loop_or_any, F.lit(True))
-        .when(is_mapped, is_private_ipv4_number(v4))
-        .otherwise(((g0 >= 0xFE80) & (g0 <= 0xFEBF)) | ((g0 >= 0xFC00) & (g0 <= 0xFDFF)))
-    )
+
+    def refused(g: Column) -> Column:
+        at = lambda i: F.element_at(g, i)
+        zeros = F.forall(F.slice(g, 1, 5), lambda x: x == 0)
+        return (
+            F.when(g.isNull(), F.lit(True))
+            .when(zeros & (at(6) == 0) & (at(7) == 0) & (at(8) <= 1), F.lit(True))
+            .when(zeros & (at(6) == 65535), is_private_ipv4_number(at(7).cast("bigint") * 65536 + at(8)))
+            .otherwise(at(1).between(0xFE80, 0xFEBF) | at(1).between(0xFC00, 0xFDFF))
+        )
+
+    return F.element_at(F.transform(F.array(ipv6_groups(a)), refused), 1)  # the groups are computed once
 
 
 # --- B7 -------------------------------------------------------------------
-def is_private_address(ip, compat: bool = True) -> Column:
+def is_private_address(ip, compat: bool = False) -> Column:
     ip = _c(ip)
     k = ip_kind(ip)
     return F.when(k == 4, is_private_ipv4(ip)).when(k == 6, is_private_ipv6(ip, compat)).otherwise(F.lit(True))
 
 
 # --- B1/B2/B3 -------------------------------------------------------------
-def _stage(df: DataFrame, **cols) -> DataFrame:
-    return df.select("*", *[c.alias(k) for k, c in cols.items()])
-
-
 def normalise_urls(df: DataFrame, col: str = "raw_url", out: str = "nu") -> DataFrame:
     """B1 over a DataFrame: adds struct ``out`` = (href, protocol, host, port, path, valid).
 
     WHATWG-style parse + serialise of an absolute URL: trim, drop tab/newline, lower-case
-    scheme and host, special-scheme slashes, numeric IPv4 hosts canonicalised, IPv6 hosts
-    serialised, default ports dropped, dot segments removed, path/query/fragment
-    percent-encoded; href NULL when invalid. Each step is a column of its own (no expression
-    is inlined twice). Non-ASCII host names go through one pandas UDF (IDNA), on those rows only.
+    scheme and host, special-scheme slashes, percent-encoded hosts decoded, numeric IPv4 hosts canonicalised, IPv6 hosts
+    serialised, empty credentials and default ports dropped, dot segments removed, path/query/fragment
+    percent-encoded; href NULL when invalid. Every step's columns are computed once.
     """
-    base = df.columns
     c = F.col
-    d = _stage(df, _s=F.regexp_replace(F.regexp_replace(js_trim(c(col)), "^[\\x00-\\x20]+|[\\x00-\\x20]+$", ""), "[\\t\\n\\r]", ""))
-    d = _stage(d, _scheme=F.lower(F.regexp_extract(c("_s"), "^([A-Za-z][A-Za-z0-9+.\\-]*):", 1)))
-    d = _stage(d, _special=c("_scheme").isin(*SPECIAL_SCHEMES), _rest=F.expr("substring(_s, length(_scheme) + 2)"))
-    d = _stage(d, _after=F.when(c("_special"), F.regexp_replace(c("_rest"), "^[/\\\\]*", "")).otherwise(c("_rest")))
-    d = _stage(d, _auth=F.regexp_extract(c("_after"), "^([^/\\\\?#]*)", 1))
-    d = _stage(d, _remainder=F.expr("substring(_after, length(_auth) + 1)"),
-               _userinfo=F.when(F.instr(c("_auth"), "@") > 0, F.regexp_extract(c("_auth"), "^(.*)@", 1)),
-               _hostport=F.regexp_replace(c("_auth"), "^.*@", ""))
-    d = _stage(d, _is_v6=c("_hostport").startswith("["))
-    d = _stage(d, _v6=F.regexp_extract(c("_hostport"), "^\\[([^\\]]*)\\]", 1),
-               _port_raw=F.when(c("_is_v6"), F.regexp_extract(c("_hostport"), "^\\[[^\\]]*\\](?::(.*))?$", 1))
-               .otherwise(F.regexp_extract(c("_hostport"), "^[^:]*(?::(.*))?$", 1)),
-               _host_raw=F.when(c("_is_v6"), F.regexp_extract(c("_hostport"), "^\\[([^\\]]*)\\]", 1))
-               .otherwise(F.regexp_extract(c("_hostport"), "^([^:]*)", 1)))
-    # IPv6 literals: lower-cased and syntax-checked only (no numeric re-serialisation)
-    d = _stage(d, _host_l=F.lower(c("_host_raw")), _g6=F.when(c("_v6").rlike(IPV6_RE), F.lit(True)))
-    d = _stage(d, _num=ends_in_number(c("_host_l")), _v4n=ipv4_number(c("_host_l")))
-    d = _stage(d, _host=F.when(c("_is_v6"), F.concat(F.lit("["), c("_host_l"), F.lit("]")))
-               .when(c("_num"), long_to_ipv4(c("_v4n"))).otherwise(c("_host_l")))
+    d = step(df, _s=F.regexp_replace(F.regexp_replace(js_trim(c(col)), "^[\\x00-\\x20]+|[\\x00-\\x20]+$", ""), "[\\t\\n\\r]", ""))
+    d = step(d, _scheme=F.lower(F.regexp_extract(c("_s"), "^([A-Za-z][A-Za-z0-9+.\\-]*):", 1)))
+    rest = F.expr("substring(_s, length(_scheme) + 2)")
+    special = c("_scheme").isin(*SPECIAL_SCHEMES)
+    d = step(d, _special=special, _after=F.when(c("_scheme") == "file", F.regexp_replace(rest, "^[/\\\\]{2}", ""))
+             .when(special, F.regexp_replace(rest, "^[/\\\\]*", "")).otherwise(rest))
+    d = step(d, _auth=F.regexp_extract(c("_after"), "^([^/\\\\?#]*)", 1))
+    d = step(d, _remainder=F.expr("substring(_after, length(_auth) + 1)"),
+             _userinfo=F.regexp_replace(F.regexp_extract(c("_auth"), "^(.*)@", 1), ":$", ""),
+             _hostport=F.regexp_replace(c("_auth"), "^.*@", ""))
+    v6 = c("_hostport").startswith("[")
+    d = step(d, _is_v6=v6,
+             _port_raw=F.regexp_extract(c("_hostport"), "^(?:\\[[^\\]]*\\]|[^:\\[]*)(?::(.*))?$", 1),
+             _host_raw=F.when(v6, F.regexp_extract(c("_hostport"), "^\\[([^\\]]*)\\](?::.*)?$", 1)).otherwise(F.regexp_extract(c("_hostport"), "^([^:]*)", 1)))
+    decoded = F.when(F.instr(c("_host_raw"), "%") > 0, F.expr("try_url_decode(replace(_host_raw, '+', '%2B'))")).otherwise(c("_host_raw"))
+    path = F.regexp_extract(c("_remainder"), "^([^?#]*)", 1)
+    path = F.when(c("_special"), F.translate(path, "\\", "/")).otherwise(path)
+    d = step(d, _host_l=F.lower(decoded), _g6=F.when(c("_is_v6"), ipv6_groups(c("_host_raw"))),
+             _port_num=F.expr("try_cast(nullif(_port_raw, '') AS INT)"),
+             _port_ok=(c("_port_raw") == "") | (c("_port_raw").rlike("^[0-9]+$") & F.coalesce(F.expr("try_cast(_port_raw AS INT)") <= 65535, F.lit(False))),
+             _path0=F.when(path == "", F.lit("/")).when(c("_special") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path),
+             _q=F.when(c("_remainder").rlike("^[^?#]*\\?"), F.regexp_extract(c("_remainder"), "^[^?#]*\\?([^#]*)", 1)),
+             _frag=F.when(F.instr(c("_remainder"), "#") > 0, F.regexp_extract(c("_remainder"), "^[^#]*#(.*)$", 1)))
+    d = step(d, _host_a=F.when(c("_host_l").rlike("[^\\x00-\\x7f]"), F.lower(F.expr("try_reflect('java.net.IDN', 'toASCII', _host_l)"))).otherwise(c("_host_l")),
+             _path1=remove_dot_segments(c("_path0")), _v6s=ipv6_serialize(c("_g6")))
+    d = step(d, _num=ends_in_number(c("_host_a")), _v4n=F.when(ends_in_number(c("_host_a")), ipv4_number(c("_host_a"))))
     default_port = F.create_map(*[x for k, v in SPECIAL_PORTS.items() for x in (F.lit(k), F.lit(v))])
-    d = _stage(d, _port_ok=(c("_port_raw") == "") | (c("_port_raw").rlike("^[0-9]+$") & F.coalesce(F.expr("try_cast(_port_raw AS INT)") <= 65535, F.lit(False))),
-               _port_num=F.expr("try_cast(nullif(_port_raw, '') AS INT)"))
-    d = _stage(d, _port=F.when(c("_port_num").isNull() | (c("_port_num") == F.try_element_at(default_port, c("_scheme"))),
-                               F.lit(None).cast("string")).otherwise(c("_port_num").cast("string")),
-               _path_raw=F.regexp_extract(c("_remainder"), "^([^?#]*)", 1),
-               _q=F.regexp_extract(c("_remainder"), "^[^?#]*\\?([^#]*)", 1),
-               _has_q=c("_remainder").rlike("^[^?#]*\\?"),
-               _frag=F.regexp_extract(c("_remainder"), "^[^#]*#(.*)$", 1),
-               _has_f=F.instr(c("_remainder"), "#") > 0)
-    d = _stage(d, _path0=F.when(c("_special"), F.regexp_replace(c("_path_raw"), "\\\\", "/")).otherwise(c("_path_raw")))
-    from pagemill.functions import sqltext as X
-    from pagemill.functions.dialect import SPARK
-    d = _stage(d, _path00=F.when(c("_path0") == "", F.lit("/")).otherwise(c("_path0")))
-    d = _stage(d, _path1=remove_dot_segments(c("_path00")))
-    d = _stage(d, _path=F.expr(X.pct_encode(SPARK, "_path1", X.PATH_SAFE_CLASS)),
-               _qe=F.expr(X.pct_encode(SPARK, "_q", X.QUERY_SAFE_CLASS)),
-               _fe=F.expr(X.pct_encode(SPARK, "_frag", X.FRAGMENT_SAFE_CLASS)))
-    host_ok = (c("_host_raw") != "") & F.when(c("_is_v6"), c("_g6").isNotNull()).when(c("_num"), c("_v4n").isNotNull()) \
-        .otherwise(~c("_host_raw").rlike(FORBIDDEN_HOST))
-    d = _stage(d, _valid_special=c("_special") & host_ok & c("_port_ok"))
-    d = _stage(d, _valid=(c("_scheme") != "") & (~c("_special") | c("_valid_special")))
-    href = F.concat(
-        c("_scheme"), F.lit("://"),
-        F.when(c("_userinfo").isNotNull(), F.concat(c("_userinfo"), F.lit("@"))).otherwise(F.lit("")),
-        c("_host"), F.when(c("_port").isNotNull(), F.concat(F.lit(":"), c("_port"))).otherwise(F.lit("")),
-        c("_path"), F.when(c("_has_q"), F.concat(F.lit("?"), c("_qe"))).otherwise(F.lit("")),
-        F.when(c("_has_f"), F.concat(F.lit("#"), c("_fe"))).otherwise(F.lit("")),
-    )
-    needs_idna = c("_valid") & c("_special") & ~c("_is_v6") & c("_host_raw").rlike("[^\\x00-\\x7f]")
-    d = d.select(*base, F.struct(
-        F.when(c("_valid") & c("_special"), href).alias("href"),
-        F.when(c("_scheme") != "", F.concat(c("_scheme"), F.lit(":"))).alias("protocol"),
-        F.when(c("_valid") & c("_special"), c("_host")).alias("host"),
-        c("_port").alias("port"), c("_path").alias("path"), c("_valid").alias("valid"),
-        needs_idna.alias("needs_idna"),
-    ).alias(out))
-    # IDNA: the pandas UDF sees a host only where one needs converting (NULL elsewhere, so
-    # ASCII rows cost a null pass-through); one projection, no split/union of the plan.
-    d = d.withColumn("_ascii_host", _idna_host(F.when(F.col(f"{out}.needs_idna"), F.col(f"{out}.host"))))
-    idn = F.col(f"{out}.needs_idna")
-    fixed = (
-        F.when(idn & F.col("_ascii_host").isNull(),
-               F.col(out).withField("href", F.lit(None).cast("string")).withField("valid", F.lit(False))
-               .withField("host", F.lit(None).cast("string")))
-        .when(idn, F.col(out).withField("href", F.concat(
-            F.regexp_extract(F.col(f"{out}.href"), "^([a-z][a-z0-9+.\\-]*://(?:[^@/]*@)?)", 1), F.col("_ascii_host"),
-            F.regexp_replace(F.col(f"{out}.href"), "^[a-z][a-z0-9+.\\-]*://(?:[^@/]*@)?[^:/?#]*", "")))
-            .withField("host", F.col("_ascii_host")))
-        .otherwise(F.col(out))
-    )
-    return d.withColumn(out, fixed).drop("_ascii_host")
+    host_ok = F.when(c("_is_v6"), c("_v6s").isNotNull()).when(c("_host_a").isNull(), F.lit(False)) \
+        .when(c("_num"), c("_v4n").isNotNull()).otherwise(((c("_host_a") != "") | (c("_scheme") == "file")) & ~c("_host_a").rlike(FORBIDDEN_HOST))
+    d = step(d, _host=F.when(c("_is_v6"), F.concat(F.lit("["), c("_v6s"), F.lit("]"))).when(c("_num"), long_to_ipv4(c("_v4n"))).otherwise(c("_host_a")),
+             _port=F.when(c("_port_num").isNotNull() & ~F.coalesce(c("_port_num") == F.try_element_at(default_port, c("_scheme")), F.lit(False)), c("_port_num").cast("string")),
+             _path=F.expr(X.pct_encode(SPARK, "_path1", X.PATH_SAFE_CLASS)),
+             _qe=F.expr(X.pct_encode(SPARK, "_q", X.QUERY_SAFE_CLASS)),
+             _fe=F.expr(X.pct_encode(SPARK, "_frag", X.FRAGMENT_SAFE_CLASS)),
+             _valid=(c("_scheme") != "") & (~c("_special") | (host_ok & c("_port_ok"))))
+    part = lambda lead, x: F.coalesce(F.concat(F.lit(lead), x), F.lit(""))
+    href = F.concat(c("_scheme"), F.lit("://"), F.when(c("_userinfo") != "", F.concat(c("_userinfo"), F.lit("@"))).otherwise(F.lit("")),
+                    c("_host"), part(":", c("_port")), c("_path"), part("?", c("_qe")), part("#", c("_fe")))
+    known = c("_valid") & c("_special")
+    d = step(d, **{out: F.struct(
+        F.when(known, href).alias("href"), F.when(c("_scheme") != "", F.concat(c("_scheme"), F.lit(":"))).alias("protocol"),
+        F.when(known, c("_host")).alias("host"), c("_port").alias("port"), c("_path").alias("path"), c("_valid").alias("valid"))})
+    return d.select(*[x for x in df.columns if x != out], out)
+
+
+def url_dictionary(urls: DataFrame, col: str) -> DataFrame:
+    """Each distinct raw URL parsed once: raw, href, protocol, host (IPv6 without brackets), kind (4, 6 or 0 for a
+    name) and private (of an address; NULL for a name), as flat columns to join on ``raw``."""
+    d = normalise_urls(urls.select(F.col(col).alias("raw")).where(F.col("raw").isNotNull()).distinct(), "raw", "u")
+    d = d.select("raw", "u.href", "u.protocol", F.regexp_replace("u.host", "^\\[|\\]$", "").alias("host"), "u.valid")
+    d = step(d, kind=F.when(F.col("host").isNotNull(), ip_kind(F.col("host"))))
+    return step(d, private=F.when(F.col("kind") > 0, is_private_address("host")))
 
 
 def host_of(url) -> Column:
@@ -338,44 +297,7 @@ def host_of(url) -> Column:
     return F.regexp_replace(h, "^\\[|\\]$", "")
 
 
-@F.pandas_udf(StringType())
-def _idna_host(hosts: pd.Series) -> pd.Series:
-    def conv(h):
-        if h is None:
-            return None
-        try:
-            return h.encode("idna").decode("ascii").lower()
-        except Exception:
-            return None
-    return hosts.map(conv)
-
-
 # --- G8 -------------------------------------------------------------------
-def resolve_url(base, ref) -> Column:
-    """Resolve ``ref`` against absolute ``base`` (RFC 3986 forms used in HTML attributes)."""
-    base, ref = _c(base), js_trim(_c(ref))
-    origin = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.\\-]*:)", 1)
-    bpath = F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)", 1)
-    bpath = F.when(bpath == "", F.lit("/")).otherwise(bpath)
-    no_frag = F.regexp_replace(base, "#.*$", "")
-    no_query = F.regexp_replace(no_frag, "\\?.*$", "")
-    bdir = F.regexp_replace(bpath, "[^/]*$", "")
-
-    def split_pq(r: Column):
-        p = F.regexp_extract(r, "^([^?#]*)", 1)
-        return p, F.substring(r, F.length(p) + 1, 1 << 30)
-
-    rp, rtail = split_pq(ref)
-    abs_path = F.concat(remove_dot_segments(percent_encode(rp, PATH_SAFE)), rtail)
-    rel_path = F.concat(remove_dot_segments(percent_encode(F.concat(bdir, rp), PATH_SAFE)), rtail)
-    return (
-        F.when(ref.isNull(), F.lit(None))
-        .when(ref.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*:"), ref)
-        .when(ref.startswith("//"), F.concat(scheme, ref))
-        .when(ref == "", no_frag)
-        .when(ref.startswith("#"), F.concat(no_frag, ref))
-        .when(ref.startswith("?"), F.concat(no_query, ref))
-        .when(ref.startswith("/"), F.concat(origin, abs_path))
-        .otherwise(F.concat(origin, rel_path))
-    )
+def resolve_url(base: str, ref: str) -> Column:
+    """Column ``ref`` resolved against the absolute URL in column ``base`` (RFC 3986 forms used in HTML attributes)."""
+    return F.expr(X.resolve_url(SPARK, base, f"btrim({ref}, {SPARK.s(X.JS_BLANKS)})"))

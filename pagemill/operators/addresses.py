@@ -22,7 +22,7 @@ def flag_private(addresses: DataFrame, ranges: DataFrame, n_col: str = "n") -> D
     return j.select("a.*", F.col("r.cidr").alias("cidr"), F.col("r.cidr").isNotNull().alias("refused"))
 
 
-def host_verdicts(hosts: DataFrame, dns: DataFrame, compat: bool = True) -> DataFrame:
+def host_verdicts(hosts: DataFrame, dns: DataFrame, compat: bool = False) -> DataFrame:
     """C1 + D2: one verdict per host: NULL (public) or the refusal/resolution error text.
 
     IP-literal hosts are judged directly; names are left-joined to their DNS answers; a host is

@@ -15,12 +15,17 @@ from pyspark.sql.types import ArrayType, LongType
 
 from pagemill.functions import sqltext as X
 from pagemill.functions.dialect import SPARK as D
+from pagemill.functions.steps import step
 from pagemill.operators.markdown import BULLET, fenced, finish_inline, fragments_sql, indent_lines
-from pagemill.operators.tokens import step, with_texts
-from pagemill.operators.tree import IN_LINK
+from pagemill.operators.tokens import with_texts
+from pagemill.operators.tree import IN_LINK, RAW
 from pagemill.options import DEFAULT, Options
 
 BLOCK_FIELDS = ("blk", "first", "n", "s_tag", "s_dir", "chrome", "region", "q", "list", "li", "num", "h", "pre", "tbl", "row", "cells", "code")
+#: Words of each text: a collapsed ASCII text has one more than its inner spaces.
+WORDS = ("zip_with(txts, tokens, (x, c) -> CASE WHEN x IS NULL OR x = ' ' THEN 0L "
+         f"WHEN c.k <> {RAW} AND octet_length(x) = length(x) AND instr(x, {D.s(chr(11))}) = 0 "
+         f"THEN CAST(1 + length(btrim(x)) - length(replace(btrim(x), ' ', '')) AS BIGINT) ELSE {X.word_count(D, 'x')} END)")
 
 
 @F.arrow_udf(ArrayType(LongType()))
@@ -39,7 +44,7 @@ def _struct(fields, source: str = "b") -> str:
 # --- D7 -------------------------------------------------------------------
 def with_blocks(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
     """Adds ``bl``: the blocks with their context, Markdown fragment, plain text, word and link features."""
-    p = step(with_texts(pages, opts), words=f"transform(txts, x -> CASE WHEN x IS NULL THEN 0L ELSE {X.word_count(D, 'x')} END)", frags=fragments_sql(opts))
+    p = step(with_texts(pages, opts), words=WORDS, frags=fragments_sql(opts))
     p = step(p, lwords=f"zip_with(words, tokens, (w, c) -> CASE WHEN (c.f & {IN_LINK}) > 0 THEN w ELSE 0L END)")
     part = lambda a: f"slice({a}, b.first + 1, b.n)"
     total = lambda a: f"aggregate({part(a)}, 0L, (s, v) -> s + v)"

@@ -30,24 +30,31 @@ def dataset_union(ok: DataFrame, errors: DataFrame) -> DataFrame:
     return u.select(*[c for c in DATASET_COLUMNS if c in u.columns])
 
 
+def budget_cuts(outcomes: DataFrame, runs: DataFrame, bucket: int = BUDGET_BUCKET) -> DataFrame:
+    """(run_id, cut_ord) of the runs that reach their limit: the ord of the success that does.
+
+    Only the ords of successes of limited runs move. They are counted by (run, ord bucket), running totals
+    of the buckets show the one in which the limit falls, and that bucket's ords are sorted: no task sees
+    more than a bucket's ords, or a run's buckets."""
+    limited = runs.where(F.col("event_limit").isNotNull()).select("run_id", F.greatest("event_limit", F.lit(1)).alias("_limit"))
+    ok = outcomes.where(F.col("error").isNull()).select("run_id", "ord", F.floor(F.col("ord") / bucket).alias("_bucket"))
+    ok = ok.join(limited, "run_id").repartition("run_id", "_bucket")  # one exchange for both uses
+    earlier = Window.partitionBy("run_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ok.groupBy("run_id", "_bucket", "_limit").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_need", F.col("_limit") - F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    last = counts.where(F.col("_need").between(1, F.col("_n"))).select("run_id", "_bucket", "_need")
+    place = F.row_number().over(Window.partitionBy("run_id", "_bucket").orderBy("ord"))
+    return ok.join(last, ["run_id", "_bucket"]).select("run_id", "ord", "_need", place.alias("_place")) \
+        .where(F.col("_place") == F.col("_need")).select("run_id", F.col("ord").alias("cut_ord"))
+
+
 def budget_cutoff(outcomes: DataFrame, runs: DataFrame, bucket: int = BUDGET_BUCKET) -> DataFrame:
     """In ``ord`` order per run, keep rows until (and including) the success that reaches
     the limit; failures are free; limit 0 still delivers one page; NULL = unlimited.
 
-    Two-level prefix sum so a huge run is never one task: successes per (run, ord bucket),
-    a window over the small bucket table for the offsets, then a window inside each bucket
-    (at most ``bucket`` rows)."""
-    o = outcomes.select("*", F.floor(F.col("ord") / bucket).alias("_bkt"),
-                        F.col("error").isNull().cast("int").alias("_ok"))
-    per = o.groupBy("run_id", "_bkt").agg(F.sum("_ok").alias("_n"))
-    wb = Window.partitionBy("run_id").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("run_id", "_bkt", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_off"))
-    wi = Window.partitionBy("run_id", "_bkt").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    j = o.join(per, ["run_id", "_bkt"]).join(runs.select("run_id", "event_limit"), "run_id", "left")
-    j = j.select("*", (F.col("_off") + F.coalesce(F.sum("_ok").over(wi), F.lit(0))).alias("_before"))
-    limit = F.greatest(F.col("event_limit"), F.lit(1))
-    keep = F.col("event_limit").isNull() | (F.col("_before") < limit)
-    return j.where(keep).drop("_bkt", "_ok", "_off", "_before", "event_limit")
+    Rows meet their run's cut ord (one narrow row for each limited run) and move no further."""
+    cuts = budget_cuts(outcomes, runs, bucket)
+    return outcomes.join(cuts, "run_id", "left").where(F.col("cut_ord").isNull() | (F.col("ord") <= F.col("cut_ord"))).drop("cut_ord")
 
 
 def unprocessed(requests: DataFrame, delivered: DataFrame) -> DataFrame:
@@ -108,6 +115,16 @@ def iso_utc(ts) -> F.Column:
     return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def write_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """A4: append the dataset, partitioned by run (idempotent per batch when overwritten)."""
-    df.write.mode("append").partitionBy("run_id").format(fmt).save(path)
+def write_dataset(df: DataFrame, path: str, batch_id: int, scraped_at, fmt: str = "parquet") -> None:
+    """A4/F1: the dataset's rows of one batch, with the time they were scraped, in input order within each run.
+
+    Rows lie in folders by run and batch, and writing a batch again replaces its folders and no others, so a
+    replay changes nothing. Files of a folder follow ``ord``: ranges of (run, ord), sorted."""
+    out = df.withColumn("batch_id", F.lit(batch_id)).withColumn("scraped_at", iso_utc(F.lit(scraped_at).cast("timestamp")))
+    out.repartitionByRange("run_id", "ord").sortWithinPartitions("run_id", "ord").write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch_id").format(fmt).save(path)
+
+
+def read_dataset(spark, path: str, fmt: str = "parquet") -> DataFrame:
+    """the dataset in input order."""
+    return spark.read.format(fmt).load(path).orderBy("run_id", "ord")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import sqltext as X
 from pagemill.functions.dialect import SPARK
-from pagemill.functions.text import js_trim
+from pagemill.functions.steps import step
 from pagemill.functions.urls import host_of
 from pagemill.options import (MAX_REDIRECTS, MSG_HTTP_STATUS, MSG_NOT_HTML, MSG_REDIRECT_NO_LOCATION, MSG_TIMEOUT,
                               MSG_TOO_LARGE, MSG_TOO_MANY_REDIRECTS, MSG_UNRESOLVED)
@@ -92,60 +92,66 @@ def assemble_body(chunks: DataFrame, max_bytes: int) -> DataFrame:
 
 
 # --- C3 / E7 / F2 / B13 ---------------------------------------------------
+def redirect_nodes(responses: DataFrame) -> DataFrame:
+    """One narrow row per captured response, without its body: url, where its Location leads (``target``, as
+    ``responses`` has it or else resolved against the URL) and what the guards need."""
+    text = F.lit(None).cast("string")
+    loc = F.when(is_redirect(F.col("status")) & (F.coalesce("location", F.lit("")) != ""), F.expr(X.resolve_url(SPARK, "req_url", X.js_trim(SPARK, "location"))))
+    known = "target" in responses.columns
+    return responses.select(
+        F.col("req_url").alias("_url"), "status", "content_type", "page_id", F.coalesce("elapsed_ms", F.lit(0)).cast("bigint").alias("_ms"),
+        (is_redirect(F.col("status")) & (F.coalesce("location", F.lit("")) == "")).alias("_nowhere"),
+        (F.col("target") if known else loc).alias("_target"), (F.col("target_error") if known else text).alias("_target_error"))
+
+
+def judged_nodes(starts: DataFrame, nodes: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The nodes of every URL that a chain can meet, captured or not, with its host's verdict; a host
+    without any verdict was never checked, which refuses it like one that doesn't resolve."""
+    urls = starts.select(F.col("src").alias("_url")).union(nodes.where(F.col("_target").isNotNull()).select("_target")).distinct()
+    urls = urls.withColumn("_host", host_of(F.col("_url")))
+    judged = verdicts.select(F.col("host").alias("_host"), F.lit(True).alias("_known"), F.col("verdict").alias("_v"))
+    unchecked = F.format_string(MSG_UNRESOLVED.replace("{}", "%s"), F.col("_host"))
+    return urls.join(judged, "_host", "left").withColumn("_verdict", F.when(F.col("_known").isNull(), unchecked).otherwise(F.col("_v"))) \
+        .drop("_host", "_known", "_v").join(nodes, "_url", "left")
+
+
 def resolve_redirects(starts: DataFrame, responses: DataFrame, verdicts: DataFrame | None = None,
-                      timeout_ms: int | None = None, max_hops: int = MAX_REDIRECTS, check_hops: bool = True,
-                      src_col: str = "src", cut_lineage: bool = False) -> DataFrame:
+                      timeout_ms: int | None = None, max_hops: int = MAX_REDIRECTS, src_col: str = "src") -> DataFrame:
     """Follow captured redirects for each distinct start URL, re-checking every hop's host.
 
-    A linear fold of ``max_hops + 1`` fetches: one row per chain, finished chains are carried along
-    under a key of their own that meets no response, so no hop is computed twice and no key is
-    shared by the finished ones. The responses side has no bodies, so no join moves HTML. ``responses``
-    may carry each redirect's normalised ``target`` and ``target_error``; with ``verdicts`` a host that has none is refused.
+    A linear fold of ``max_hops + 1`` fetches over one table of nodes: one row per chain, finished chains are carried along
+    under a key of their own that meets no node, so no hop is computed twice and no key is
+    shared by the finished ones. Every hop reads the same columns of the nodes, so their exchange is made once; no join
+    moves bodies. ``responses`` may carry each redirect's normalised ``target`` and ``target_error``.
     Output: (src, final_url, hops, status, content_type, page_id, elapsed, chain_error)."""
     text = F.lit(None).cast("string")
-    known = "target" in responses.columns
     fetched = ["status", "content_type", "page_id"]
     kinds = dict(responses.dtypes)
-    chains = starts.select(F.col(src_col).alias("src")).distinct().select(
-        "src", F.col("src").alias("cur"), F.lit(0).alias("hop"), F.lit(0).cast("bigint").alias("elapsed"), F.lit(True).alias("going"),
-        *[F.lit(None).cast(kinds[c]).alias(c) for c in fetched], text.alias("chain_error"))
-    going, own = F.col("going"), F.concat(F.lit("\x00"), F.col("src"))
+    starts = starts.select(F.col(src_col).alias("src")).distinct()
+    nodes = redirect_nodes(responses)
+    nodes = nodes.withColumn("_verdict", text) if verdicts is None else judged_nodes(starts, nodes, verdicts)
+    nodes = nodes.select(*[F.col(c).alias(f"_{c}") if c in fetched else c for c in nodes.columns])
+    chains = starts.select("src", F.col("src").alias("cur"), F.lit(0).alias("hop"), F.lit(0).cast("bigint").alias("elapsed"), F.lit(True).alias("going"),
+                           *[F.lit(None).cast(kinds[c]).alias(c) for c in fetched], text.alias("chain_error"))
+    going = F.col("going")
     for hop in range(max_hops + 1):
-        x = chains
-        if verdicts is not None and (check_hops or hop == 0):
-            # a host without any verdict was never checked, which refuses it like one that doesn't resolve
-            judged = verdicts.select(F.col("host").alias("_h"), F.col("verdict").alias("_v"))
-            x = x.withColumn("_host", F.when(going, host_of(F.col("cur"))).otherwise(own))
-            unchecked = F.format_string(MSG_UNRESOLVED.replace("{}", "%s"), F.col("_host"))
-            x = x.join(judged, F.col("_host") == F.col("_h"), "left").withColumn("_verdict", F.when(F.col("_h").isNull(), unchecked).otherwise(F.col("_v")))
-        else:
-            x = x.withColumn("_verdict", text)
-        resp = responses.select(
-            F.col("req_url").alias("_req"), js_trim(F.col("location")).alias("_loc"), F.col("location").alias("_location"),
-            F.col("elapsed_ms").alias("_ms"), *[F.col(c).alias(f"_{c}") for c in fetched],
-            (F.col("target") if known else text).alias("_target"), (F.col("target_error") if known else text).alias("_target_error"))
-        x = x.withColumn("_key", F.when(going, F.col("cur")).otherwise(own)).join(resp, F.col("_key") == F.col("_req"), "left")
-        spent = (F.col("elapsed") + F.when(going, F.coalesce(F.col("_ms"), F.lit(0))).otherwise(F.lit(0))).cast("bigint")
-        x = x.withColumn("_spent", spent)
+        x = chains.withColumn("_key", F.when(going, F.col("cur")).otherwise(F.concat(F.lit("\x00"), F.col("src"))))
+        x = x.join(nodes, F.col("_key") == F.col("_url"), "left")
         redirect = is_redirect(F.col("_status"))
+        spent = F.col("elapsed") + F.coalesce("_ms", F.lit(0))
         err = (
             F.when(F.col("_verdict").isNotNull(), F.col("_verdict"))
             .when(F.col("_status").isNull(), F.lit("Could not reach the page: no captured response."))
-            .when(F.lit(timeout_ms is not None) & (F.col("_spent") > F.lit(timeout_ms or 0)),
-                  F.lit(MSG_TIMEOUT.format(timeout_ms)))
-            .when(redirect & (F.coalesce(F.col("_location"), F.lit("")) == ""),
-                  F.format_string(MSG_REDIRECT_NO_LOCATION.replace("{}", "%s"), F.col("_status")))
+            .when(F.lit(timeout_ms is not None) & (spent > F.lit(timeout_ms or 0)), F.lit(MSG_TIMEOUT.format(timeout_ms)))
+            .when(F.col("_nowhere"), F.format_string(MSG_REDIRECT_NO_LOCATION.replace("{}", "%s"), F.col("_status")))
             .when(redirect & F.col("_target_error").isNotNull(), F.col("_target_error"))
             .when(redirect & F.lit(hop >= max_hops), F.lit(MSG_TOO_MANY_REDIRECTS.format(max_hops)))
         )
-        x = x.withColumn("_error", F.when(going, err))
-        x = x.withColumn("_on", going & F.col("_error").isNull() & F.coalesce(redirect, F.lit(False)))
-        target = F.col("_target") if known else F.expr(X.resolve_url(SPARK, "cur", "_loc"))
+        x = step(x, _error=F.when(going, err), _spent=spent.cast("bigint"))
+        on = going & F.col("_error").isNull() & F.coalesce(redirect, F.lit(False))
         chains = x.select(
-            "src", F.when(F.col("_on"), target).otherwise(F.col("cur")).alias("cur"),
-            (F.col("hop") + F.col("_on").cast("int")).alias("hop"), F.col("_spent").alias("elapsed"), F.col("_on").alias("going"),
+            "src", F.when(on, F.col("_target")).otherwise(F.col("cur")).alias("cur"), (F.col("hop") + on.cast("int")).alias("hop"),
+            F.when(going, F.col("_spent")).otherwise(F.col("elapsed")).alias("elapsed"), on.alias("going"),
             *[F.when(going, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in fetched],
             F.when(going, F.col("_error")).otherwise(F.col("chain_error")).alias("chain_error"))
-        if cut_lineage:  # one narrow row per chain
-            chains = chains.checkpoint()
     return chains.select("src", F.col("cur").alias("final_url"), F.col("hop").cast("bigint").alias("hops"), *fetched, "elapsed", "chain_error")

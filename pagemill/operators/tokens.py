@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import sqltext as X
 from pagemill.functions.dialect import SPARK as D
+from pagemill.functions.steps import step
 from pagemill.operators import tree as T
 from pagemill.options import DEFAULT, Options
 
@@ -26,31 +27,23 @@ def in_list(col: str, values) -> str:
     return f"{col} IN (" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def step(df: DataFrame, **columns: str) -> DataFrame:
-    """``df`` with further columns (SQL), each computed once for every row.
-
-    Later columns use earlier ones inside array functions. Merged projections would put a column's expression into
-    those functions, to be computed for every element; a generator between the projections keeps them apart."""
-    keep = [c for c in df.columns if c not in columns]
-    pairs = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
-    return df.selectExpr(*keep, f"inline_outer(array(named_struct({pairs})))")
+# --- G2 -------------------------------------------------------------------
+RAW_TEXT_TAGS = ("script", "style", "iframe")
 
 
-# --- G2 -------------------------------------------------------------------
 def clean_html(x: str, opts: Options = DEFAULT) -> str:
-    """Normalise newlines, drop control characters, and replace comments and removed elements
-    (script, style, noscript, iframe, form) by an empty placeholder tag.
+    """Normalise newlines and replace comments and removed elements (script, style, noscript, iframe, form) by an
+    empty placeholder tag.
 
     Done on the string *before* tokenising because raw-text elements may hold tag-like text
-    (``var t="</p>"``); a removed element that is never closed is left to the tree. The placeholder keeps "the body had markup" observable for the
-    blank-content rule while rendering nothing. One pass per removed tag, in order."""
-    x = D.rx_replace(x, "\r\n?", "\n")
-    x = D.rx_replace(x, "[\\x00-\\x08\\x0B\\x0E-\\x1F]", "")
-    x = D.rx_replace(x, "(?s)<!--.*?(?:-->|\\z)", PLACEHOLDER)
-    for t in opts.removed_tags:
-        end = f"(?:</{t}\\s*>|\\z)" if t in ("script", "style", "iframe") else f"</{t}\\s*>"  # raw text runs to the end if unclosed
-        x = D.rx_replace(x, f"(?is)<{t}\\b[^>]*+>.*?{end}", PLACEHOLDER)
-    return x
+    (``var t="</p>"``). Comments and raw text go in one pass from the left, so that neither hides in the other, and
+    run to the end if unclosed; then the other removed elements go, and one that is never closed is left to the
+    tree. The placeholder keeps "the body had markup" observable for the blank-content rule while rendering nothing."""
+    raw = "|".join(t for t in RAW_TEXT_TAGS if t in opts.removed_tags)
+    other = "|".join(t for t in opts.removed_tags if t not in RAW_TEXT_TAGS)
+    x = f"(CASE WHEN instr({x}, {D.s(chr(13))}) > 0 THEN {D.rx_replace(x, chr(13) + chr(10) + '?', chr(10))} ELSE {x} END)"
+    x = D.rx_replace(x, "(?s)<(?:!--.*?(?:-->|\\z)" + (f"|(?i:({raw}))\\b[^>]*+>.*?(?:</(?i:\\1)\\s*>|\\z)" if raw else "") + ")", PLACEHOLDER)
+    return D.rx_replace(x, f"(?is)<({other})\\b[^>]*+>.*?</\\1\\s*>", PLACEHOLDER) if other else x
 
 
 # Target HTML bytes per page partition. A page's arrays expand its HTML a few times in memory, one page at a time.
@@ -101,7 +94,7 @@ def marks_sql(opts: Options = DEFAULT) -> str:
     checkbox = f"lower({X.raw_attr(D, 't', 'type')}) = 'checkbox'" if opts.has("task") else "FALSE"
     return (
         "zip_with(toks, names, (t, m) -> CASE "
-        f"WHEN m = '' THEN (CASE WHEN startswith(t, '<') AND length(t) > 1 THEN '!' WHEN {D.rlike('t', '^[ \t\n\r\f]*$')} THEN ' ' WHEN {X.js_trim(D, 't')} = '' THEN 'n' ELSE 't' END) "
+        f"WHEN m = '' THEN (CASE WHEN startswith(t, '<') AND length(t) > 1 THEN '!' WHEN btrim(t, {D.s(' ' + chr(9) + chr(10) + chr(13) + chr(12))}) = '' THEN ' ' WHEN {X.js_trim(D, 't')} = '' THEN 'n' ELSE 't' END) "
         f"WHEN m = 'a' AND {has('href')} THEN 'a:1' WHEN m = 'img' AND {has('src')} THEN 'img:1' "
         f"WHEN m = 'input' AND {checkbox} THEN 'input:1' "
         f"WHEN m = 'ol' AND {D.rlike(start, '^-?[0-9]{1,9}$')} THEN concat('ol:', {start}) ELSE m END)"

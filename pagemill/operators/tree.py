@@ -120,7 +120,9 @@ class Fold:
         after_hr = line_start = seen = body = False
         pending = ""                  # separator due before the next core of a cell
         title = None
-        markup = False
+        markup = in_cell = excluded = False
+        state = level = 0
+        link = -1
         closing: list[Element] = []   # elements closed by the current token
         hiding: set[int] = set()      # open chrome elements that hold a region
         lost: set[int] = set()
@@ -247,51 +249,54 @@ class Fold:
                         stack[at], at = None, -1
                 if at >= 0:
                     pop_to(at, at)
-            in_cell = depth["cell"] > 0
-            boundary = after_hr or (tag in BLOCK_TAGS and (not depth["pre"] or tag == "pre") and not in_cell)
-            after_hr = is_open and tag == "hr"
-            outer_cell = tag in CELL_TAGS and depth["table"] <= 1 and (not in_cell or (is_open and depth["cell"] == 1))
-            if boundary or outer_cell:
-                close_formats(0)
-                path, last_core, line_start, seen, pending = [], -1, True, False, ""
-                seg += 1
-            elif in_cell and seen and (is_open or is_close):
-                if tag in CELL_TAGS and is_open:
-                    pending = pending or CELL_BREAK
-                elif tag in BLOCK_TAGS or tag == "br":
-                    pending = ROW_BREAK
-            if boundary:
-                blk += 1
-                cells = 0
-            if is_open and tag == "tr" and depth["table"] == 1 and not in_cell:
-                row += 1
-            excluded = depth["head"] or depth["title"] or depth["removed"]
-            if boundary or not blocks:
-                li = stack[where["li"][-1]] if where.get("li") else None
-                h = int(stack[last(HEADINGS)].tag[1]) if depth["h"] else 0
-                blocks.append([blk, i, 0, tag, is_open - is_close, depth["chrome"] > 0, region if depth["region"] else 0, depth["q"], depth["list"],
-                               li.li if li else 0, li.num if li else None, h, depth["pre"] > 0, table_seq if depth["table"] else 0, row, 0, -1])
+            outer_cell = False
+            if tag or after_hr or not blocks:
+                in_cell = depth["cell"] > 0
+                boundary = after_hr or (tag in BLOCK_TAGS and (not depth["pre"] or tag == "pre") and not in_cell)
+                after_hr = is_open and tag == "hr"
+                outer_cell = tag in CELL_TAGS and depth["table"] <= 1 and (not in_cell or (is_open and depth["cell"] == 1))
+                if boundary or outer_cell:
+                    close_formats(0)
+                    path, last_core, line_start, seen, pending = [], -1, True, False, ""
+                    seg += 1
+                elif in_cell and seen and (is_open or is_close):
+                    if tag in CELL_TAGS and is_open:
+                        pending = pending or CELL_BREAK
+                    elif tag in BLOCK_TAGS or tag == "br":
+                        pending = ROW_BREAK
+                if boundary:
+                    blk += 1
+                    cells = 0
+                if is_open and tag == "tr" and depth["table"] == 1 and not in_cell:
+                    row += 1
+                excluded = depth["head"] or depth["title"] or depth["removed"]
+                if boundary or not blocks:
+                    li = stack[where["li"][-1]] if where.get("li") else None
+                    h = int(stack[last(HEADINGS)].tag[1]) if depth["h"] else 0
+                    blocks.append([blk, i, 0, tag, is_open - is_close, depth["chrome"] > 0, region if depth["region"] else 0, depth["q"], depth["list"],
+                                   li.li if li else 0, li.num if li else None, h, depth["pre"] > 0, table_seq if depth["table"] else 0, row, 0, -1])
             block = blocks[-1]
             block[2] += 1
-            if is_open and tag in CONTAINER_TAGS + REGION_TAGS and (tag in CONTAINER_TAGS or depth["region"] == 1) and stack and stack[-1].pos == i:
-                stack[-1].span = len(spans)
-                while spanned and spanned[-1].span < 0:
-                    spanned.pop()
-                spans.append(["region" if tag in REGION_TAGS else "container", i, spanned[-1].span if spanned else -1, blk, None])
-                spanned.append(stack[-1])
-            for e in closing:
-                if e.span >= 0:
-                    spans[e.span][4], e.span = blk, -1
-                if e.ref >= 0:
-                    refs[e.ref][1] = i - refs[e.ref][0]
-                if e.tag == "title" and title is not None and title[0] == e.pos:
-                    title[1] = i - e.pos
-            closing.clear()
-            if is_open and tag == "title" and title is None and not depth["svg"]:
-                title = [i, -1]
-            if tag == "meta" and is_open and not body:
-                metas.append(i)
-            if not excluded and not depth["chrome"] and ((tag and tag not in ("html", "head", "body") and tag not in self.chrome) or mark == "t"):
+            if tag:
+                if is_open and tag in CONTAINER_TAGS + REGION_TAGS and (tag in CONTAINER_TAGS or depth["region"] == 1) and stack and stack[-1].pos == i:
+                    stack[-1].span = len(spans)
+                    while spanned and spanned[-1].span < 0:
+                        spanned.pop()
+                    spans.append(["region" if tag in REGION_TAGS else "container", i, spanned[-1].span if spanned else -1, blk, None])
+                    spanned.append(stack[-1])
+                for e in closing:
+                    if e.span >= 0:
+                        spans[e.span][4], e.span = blk, -1
+                    if e.ref >= 0:
+                        refs[e.ref][1] = i - refs[e.ref][0]
+                    if e.tag == "title" and title is not None and title[0] == e.pos:
+                        title[1] = i - e.pos
+                closing.clear()
+                if is_open and tag == "title" and title is None and not depth["svg"]:
+                    title = [i, -1]
+                if tag == "meta" and is_open and not body:
+                    metas.append(i)
+            if not markup and not excluded and not depth["chrome"] and ((tag and tag not in ("html", "head", "body") and tag not in self.chrome) or mark == "t"):
                 markup = True
             kind, pre, ref = NOTHING, "", -1
             core = False
@@ -330,10 +335,11 @@ class Fold:
                 if not extra:  # without a target: no formatting
                     formats[stack[-1].letter].pop()
                     stack[-1].letter = ""
-            flags = (EXCLUDED if excluded else 0) | (CHROME if depth["chrome"] else 0) | (IN_LINK if depth["a"] else 0)
-            link = -1
-            if depth["a"]:
-                link = stack[where["a"][-1]].ref
+            if tag:
+                state = (EXCLUDED if excluded else 0) | (CHROME if depth["chrome"] else 0) | (IN_LINK if depth["a"] else 0)
+                link = stack[where["a"][-1]].ref if depth["a"] else -1
+                level = depth["lvl"]
+            flags = state
             if core:
                 held = [(x.pos, x) for letter, es in formats.items() if (x := first_here(letter, es, seg)) is not None]
                 now = []
@@ -351,7 +357,7 @@ class Fold:
                 path, last_core, pending, seen = now, i, "", True
                 flags |= LINE_START if line_start else 0
                 line_start = False
-            tokens.append([blk, kind, flags, depth["lvl"], link, ref, pre, ""])
+            tokens.append([blk, kind, flags, level, link, ref, pre, ""])
         close_formats(0)
         for e in filter(None, stack):
             if e.ref >= 0:

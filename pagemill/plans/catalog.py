@@ -118,7 +118,7 @@ def q_private_ipv6(spark, sf):
     from pagemill.functions.urls import is_private_ipv6
     a = FX.addresses(spark, sf).select("id", "n", long_to_ipv4(F.col("n")).alias("ip4"))
     v6 = a.select("id", F.expr(IPV6_FORMS).alias("ip6"))
-    return v6.select("id", "ip6", is_private_ipv6(F.col("ip6")).alias("private"))
+    return v6.select("id", "ip6", is_private_ipv6(F.col("ip6"), compat=True).alias("private"))
 
 
 def q_distinct_urls(spark, sf):

@@ -9,7 +9,7 @@ from pagemill.functions.urls import host_of, normalise_urls, resolve_url
 from pagemill.operators.addresses import host_verdicts
 from pagemill.operators.dataset import budget_cutoff, dataset_union, first_error
 from pagemill.operators.requests import clean_requests, first_seen, request_options
-from pagemill.operators.responses import content_type_ok, reason_phrase, resolve_redirects, status_ok, too_large
+from pagemill.operators.responses import content_type_ok, is_redirect, reason_phrase, resolve_redirects, status_ok
 from pagemill.options import DEFAULT, MSG_BAD_SCHEME, MSG_HTTP_STATUS, MSG_INVALID_URL, MSG_NOT_HTML, MSG_TOO_LARGE, Options
 from pagemill.plans.clean import clean_pages
 from pagemill.session import ensure_checkpoint_dir
@@ -21,16 +21,15 @@ def _fmt(msg: str, *cols) -> F.Column:
 
 def redirect_targets(responses: DataFrame) -> DataFrame:
     """Adds ``target``, where each response's Location leads as a normalised URL, and ``target_error``
-    for a Location that is no web URL. A hop's current URL is its response's, so this holds for every chain."""
-    raw = F.when(F.coalesce(F.col("location"), F.lit("")) != "", resolve_url("req_url", "location"))
-    d = normalise_urls(responses.withColumn("_raw", raw), "_raw", "_t")
+    for a Location that is no web URL; bodies stay behind. A hop's current URL is its response's, so this holds for every chain."""
+    raw = F.when(is_redirect(F.col("status")) & (F.coalesce(F.col("location"), F.lit("")) != ""), resolve_url("req_url", "location"))
+    narrow = responses.select("req_url", "page_id", "status", "location", "content_type", "elapsed_ms", raw.alias("_raw"))
+    d = normalise_urls(narrow, "_raw", "_t")
     web = F.col("_t.href").isNotNull() & F.col("_t.protocol").isin("http:", "https:")
     error = F.when(F.col("_raw").isNull() | web, F.lit(None).cast("string")) \
         .when(~F.coalesce(F.col("_t.valid"), F.lit(False)), _fmt(MSG_INVALID_URL, F.col("_raw"))) \
         .otherwise(_fmt(MSG_BAD_SCHEME, F.col("_t.protocol")))
-    out = d.withColumn("target", F.when(web, F.col("_t.href"))).withColumn("target_error", error).drop("_raw", "_t")
-    ensure_checkpoint_dir(responses.sparkSession)
-    return out.checkpoint()
+    return d.withColumn("target", F.when(web, F.col("_t.href"))).withColumn("target_error", error).drop("_raw", "_t")
 
 
 def scrape(requests: DataFrame, responses: DataFrame, dns: DataFrame, runs: DataFrame,
@@ -43,16 +42,14 @@ def scrape(requests: DataFrame, responses: DataFrame, dns: DataFrame, runs: Data
     if "mode" not in reqs.columns:
         reqs = reqs.withColumn("mode", F.lit(None).cast("string"))
     reqs = reqs.withColumn("mode", F.coalesce(F.col("mode"), F.when(F.col("render_js"), F.lit("render")).otherwise(F.lit("fetch"))))
-    # lineage cuts (reliable checkpoints in spark.checkpoint.dir): the small per-request
-    # tables are reused several times below and would otherwise be re-planned each time
-    n = normalise_urls(reqs, "url", "nu").checkpoint()
+    n = normalise_urls(reqs, "url", "nu")
     web = F.col("nu.protocol").isin("http:", "https:") & F.col("nu.href").isNotNull()
     starts = n.where(web).select(F.col("nu.href").alias("src"))
-    responses = redirect_targets(responses)
+    edges = redirect_targets(responses)
     hosts = starts.select(host_of(F.col("src")).alias("host")).unionByName(
-        responses.where(F.col("target").isNotNull()).select(host_of(F.col("target")).alias("host")))
-    verdicts = host_verdicts(hosts, dns, compat=opts.extra.get("textual_ipv6", False)).checkpoint()
-    chains = resolve_redirects(starts, responses, verdicts, timeout_ms=opts.timeout_ms, cut_lineage=True).checkpoint()
+        edges.where(F.col("target").isNotNull()).select(host_of(F.col("target")).alias("host")))
+    verdicts = host_verdicts(hosts, dns, compat=opts.extra.get("textual_ipv6", False))
+    chains = resolve_redirects(starts, edges, verdicts, timeout_ms=opts.timeout_ms)
     sizes = responses.select("page_id", F.octet_length("body").alias("nbytes"))
     r = n.join(chains, F.col("nu.href") == chains.src, "left").join(sizes, "page_id", "left")
     fetch = F.col("mode") == "fetch"
@@ -67,7 +64,8 @@ def scrape(requests: DataFrame, responses: DataFrame, dns: DataFrame, runs: Data
         (fetch & (F.col("nbytes") > opts.max_bytes), F.lit(MSG_TOO_LARGE.format(opts.max_bytes))),
     )
     r = r.select("run_id", "ord", "url", F.col("nu.href").alias("href"), "page_id", "include_links",
-                 err.alias("pre_error")).checkpoint()
+                 err.alias("pre_error"))
+    r = r.checkpoint()  # one narrow row per request: its uses below would follow the redirects again
     ok = r.where(F.col("pre_error").isNull())
     # one cleaning per (requested URL, final page, link option); the requested URL is the link base (Q4)
     key = F.concat_ws("|", F.col("href"), F.col("page_id").cast("string"), F.col("include_links").cast("string"))
