@@ -97,6 +97,58 @@ SELECT h.src, h.cur AS final_url, CAST(h.hop AS BIGINT) AS hops, h.status, CAST(
 FROM h JOIN f ON h.src = f.src AND h.hop = f.mh"""
 
 
+def dotted(n: str) -> str:
+    return " || '.' || ".join(f"CAST({n} // {256 ** k} % 256 AS VARCHAR)" for k in (3, 2, 1, 0))
+
+
+def number(ip: str) -> str:
+    """A dotted quad as a number, NULL for other text."""
+    return "(" + " + ".join(f"TRY_CAST(split_part({ip}, '.', {4 - k}) AS BIGINT) * {256 ** k}" for k in (3, 2, 1, 0)) + ")"
+
+
+VERDICTS = (
+    "WITH hs AS (SELECT DISTINCT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1) AS host FROM pages), "
+    f"j AS (SELECT hs.host, d.seq, d.address, {number('d.address')} AS n FROM hs LEFT JOIN {DNS} d ON hs.host = d.host), "
+    f"g AS (SELECT j.host, count(j.seq) AS n_rows, arg_min(j.address, CASE WHEN r.cidr IS NOT NULL THEN j.seq END) AS bad FROM j LEFT JOIN {RANGES} r ON j.n BETWEEN r.lo AND r.hi GROUP BY j.host) "
+    "SELECT host, CASE WHEN n_rows = 0 THEN 'Could not resolve the host \"' || host || '\".' "
+    "WHEN bad IS NOT NULL THEN 'Refusing to fetch \"' || host || '\" because it resolves to a private or internal address (' || bad || ').' END AS verdict FROM g")
+
+# Each hop is judged before it is fetched: a chain ends at the first URL whose host is refused.
+CHECKED_CHAIN = f"""WITH RECURSIVE resp AS (SELECT req_url, status, location FROM {RESP} r), v AS ({VERDICTS}),
+node AS (SELECT u.url, r.status, r.location, v.verdict FROM (SELECT url FROM pages UNION SELECT location FROM resp WHERE coalesce(location, '') <> '') u
+  LEFT JOIN resp r ON r.req_url = u.url LEFT JOIN v ON v.host = regexp_extract(u.url, '^[a-z]+://([^:/?#]*)', 1)),
+h(src, cur, hop, status, location, verdict) AS (
+  SELECT url, url, 0, status, location, verdict FROM node WHERE url IN (SELECT url FROM pages)
+  UNION ALL
+  SELECT h.src, n.url, h.hop + 1, n.status, n.location, n.verdict FROM h JOIN node n ON n.url = h.location
+  WHERE h.verdict IS NULL AND h.status BETWEEN 300 AND 399 AND h.hop < 5)
+SELECT src, cur AS final_url, CAST(hop AS BIGINT) AS hops,
+  CASE WHEN verdict IS NOT NULL THEN verdict WHEN status IS NULL THEN 'Could not reach the page: no captured response.'
+       WHEN status BETWEEN 300 AND 399 AND coalesce(location, '') = '' THEN {_fmt_duck(MSG_REDIRECT_NO_LOCATION, 'CAST(status AS VARCHAR)')}
+       WHEN status BETWEEN 300 AND 399 AND hop >= 5 THEN {_d(MSG_TOO_MANY_REDIRECTS.format(5))} END AS chain_error
+FROM h QUALIFY row_number() OVER (PARTITION BY src ORDER BY hop DESC) = 1"""
+
+# One token a step: the open containers are a list; an end tag takes its element and all after it off the list.
+ELEMENT_TREE = f"""WITH RECURSIVE t AS (
+  SELECT page_id, pos, tag, kind, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k
+  FROM ({H.stages_sql(H.html_tokens_stages, source=f'({FX.duck(FX.UNCLOSED_SQL)})')}) x
+  WHERE tag IN ('body', 'div', 'section', 'article', 'main', 'nav', 'ul', 'footer') AND kind IN ('open', 'close')),
+w(page_id, k, pos, tag, opened, places, tags, gone) AS (
+  SELECT page_id, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), '', FALSE, CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[]) FROM (SELECT DISTINCT page_id FROM t)
+  UNION ALL
+  SELECT page_id, k, pos, tag, o, CASE WHEN o THEN list_append(places, pos) WHEN spot > 0 THEN places[1 : spot - 1] ELSE places END,
+         CASE WHEN o THEN list_append(tags, tag) WHEN spot > 0 THEN tags[1 : spot - 1] ELSE tags END, CASE WHEN spot > 0 AND NOT o THEN places[spot:] ELSE [] END
+  FROM (SELECT t.page_id, t.k, t.pos, t.tag, t.kind = 'open' AS o, w.places, w.tags,
+               coalesce(len(w.tags) + 1 - list_position(list_reverse(w.tags), t.tag), 0) * CASE WHEN list_contains(w.tags, t.tag) THEN 1 ELSE 0 END AS spot
+        FROM w JOIN t ON t.page_id = w.page_id AND t.k = w.k + 1) s),
+held AS (SELECT page_id, pos, tag, places[1 : len(places) - 1] AS around, tags[1 : len(tags) - 1] AS around_tags FROM w WHERE opened AND tag NOT IN ('nav', 'ul', 'footer')),
+outer_ AS (SELECT * FROM held WHERE NOT (tag IN ('article', 'main') AND (list_contains(around_tags, 'article') OR list_contains(around_tags, 'main')))),
+ends AS (SELECT page_id, unnest(gone) AS began, pos AS end_pos FROM w)
+SELECT o.page_id, CASE WHEN o.tag IN ('article', 'main') THEN 'region' ELSE 'container' END AS kind, o.pos, e.end_pos,
+       (SELECT max(p.pos) FROM outer_ p WHERE p.page_id = o.page_id AND list_contains(o.around, p.pos)) AS parent_pos
+FROM outer_ o LEFT JOIN ends e ON e.page_id = o.page_id AND e.began = o.pos"""
+
+
 def oracles() -> dict:
     trim = X.js_trim(DUCK, "text")
     o = {
@@ -124,22 +176,13 @@ def oracles() -> dict:
         "md_blocks": H.stages_sql(H._md_blocks),
         "page_metadata": H.stages_sql(H._meta),
         "host_of": "SELECT page_id, regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^@/?#]*@)?(\\[[^\\]]*\\]|[^:/?#]*)', 1), '^\\[|\\]$', '', 'g') AS host FROM pages",
-        "private_ipv4": (
-            "SELECT id, ip, (n BETWEEN 0 AND 16777215 OR n BETWEEN 167772160 AND 184549375 OR n BETWEEN 1681915904 AND 1686110207 "
-            "OR n BETWEEN 2130706432 AND 2147483647 OR n BETWEEN 2851995648 AND 2852061183 OR n BETWEEN 2886729728 AND 2887778303 "
-            "OR n BETWEEN 3232235520 AND 3232301055) AS private FROM (SELECT id, n, CAST(n // 16777216 AS VARCHAR) || '.' || "
-            f"CAST(n // 65536 % 256 AS VARCHAR) || '.' || CAST(n // 256 % 256 AS VARCHAR) || '.' || CAST(n % 256 AS VARCHAR) AS ip FROM {ADDR} a) t"),
+        "private_ipv4": (f"SELECT a.id, {dotted('n')} AS ip, r.cidr IS NOT NULL AS private FROM {ADDR} a LEFT JOIN {RANGES} r ON a.n BETWEEN r.lo AND r.hi"),
         "private_ipv6": (
-            "WITH a AS (SELECT id, n, CAST(n // 16777216 AS VARCHAR) || '.' || CAST(n // 65536 % 256 AS VARCHAR) || '.' || "
-            f"CAST(n // 256 % 256 AS VARCHAR) || '.' || CAST(n % 256 AS VARCHAR) AS ip4 FROM {ADDR} x), "
+            f"WITH a AS (SELECT id, n, {dotted('n')} AS ip4 FROM {ADDR} x), "
             f"v AS (SELECT id, {IPV6_FORMS.replace('AS STRING', 'AS VARCHAR')} AS ip6 FROM a), "
-            "m AS (SELECT id, ip6, lower(ip6) AS l, regexp_extract(lower(ip6), '^::ffff:([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+)$', 1) AS mp FROM v) "
-            "SELECT id, ip6, CASE WHEN l IN ('::1', '::') THEN TRUE WHEN mp <> '' THEN "
-            "(split_part(mp, '.', 1) IN ('0', '10', '127') OR (split_part(mp, '.', 1) = '169' AND split_part(mp, '.', 2) = '254') "
-            "OR (split_part(mp, '.', 1) = '172' AND CAST(split_part(mp, '.', 2) AS INT) BETWEEN 16 AND 31) "
-            "OR (split_part(mp, '.', 1) = '192' AND split_part(mp, '.', 2) = '168') "
-            "OR (split_part(mp, '.', 1) = '100' AND CAST(split_part(mp, '.', 2) AS INT) BETWEEN 64 AND 127)) "
-            "ELSE starts_with(l, 'fe80') OR starts_with(l, 'fc') OR starts_with(l, 'fd') END AS private FROM m"),
+            f"m AS (SELECT id, ip6, lower(ip6) AS l, {number("regexp_extract(lower(ip6), '^::ffff:([0-9.]+)$', 1)")} AS n FROM v) "
+            f"SELECT id, ip6, (l IN ('::1', '::') OR r.cidr IS NOT NULL OR starts_with(l, 'fe80') OR starts_with(l, 'fc') OR starts_with(l, 'fd')) AS private "
+            f"FROM m LEFT JOIN {RANGES} r ON m.n BETWEEN r.lo AND r.hi"),
         "distinct_urls": f"SELECT DISTINCT url FROM {CLEAN_F} c",
         "refused_ranges": f"SELECT a.id, a.n, r.cidr FROM {ADDR} a LEFT JOIN {RANGES} r ON a.n BETWEEN r.lo AND r.hi",
         "normalise_url": f"SELECT run_id, ord, href, protocol, valid FROM {_duck_norm(REQ)} q",
@@ -173,15 +216,8 @@ def oracles() -> dict:
         "meter_events": (f"SELECT d.run_id, CASE WHEN coalesce(ru.render_js, FALSE) THEN 'page-rendered' ELSE 'page-scraped' END AS event_name, "
                          f"count(*) AS n FROM {DELIVERED} d JOIN {RUNS} ru ON d.run_id = ru.run_id WHERE d.error IS NULL GROUP BY 1, 2"),
         "meter_hourly": "SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-        "host_verdicts": (
-            f"WITH hs AS (SELECT DISTINCT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1) AS host FROM pages), "
-            f"j AS (SELECT hs.host, d.seq, d.address FROM hs LEFT JOIN {DNS} d ON hs.host = d.host), "
-            "g AS (SELECT host, count(seq) AS n_rows, arg_min(address, CASE WHEN (CAST(split_part(address, '.', 1) AS INT) IN (0, 10, 127) "
-            "OR (split_part(address, '.', 1) = '169' AND split_part(address, '.', 2) = '254') "
-            "OR (split_part(address, '.', 1) = '172' AND CAST(split_part(address, '.', 2) AS INT) BETWEEN 16 AND 31) "
-            "OR (split_part(address, '.', 1) = '192' AND split_part(address, '.', 2) = '168') "
-            "OR (split_part(address, '.', 1) = '100' AND CAST(split_part(address, '.', 2) AS INT) BETWEEN 64 AND 127)) THEN seq END) AS bad FROM j GROUP BY host) "
-            "SELECT host, CASE WHEN n_rows = 0 THEN 'Could not resolve the host \"' || host || '\".' "
-            "WHEN bad IS NOT NULL THEN 'Refusing to fetch \"' || host || '\" because it resolves to a private or internal address (' || bad || ').' END AS verdict FROM g"),
+        "host_verdicts": VERDICTS,
+        "checked_redirects": CHECKED_CHAIN,
+        "element_tree": ELEMENT_TREE,
     }
     return o

@@ -630,6 +630,6 @@ def _meta(d):
     return meta_stages(d)
 
 
-def stages_sql(stage_fn, final_cols: str = "*") -> str:
-    ctes, last = duck_ctes(stage_fn(DUCK), pages_source_duck(), "s")
+def stages_sql(stage_fn, final_cols: str = "*", source: str = "pages") -> str:
+    ctes, last = duck_ctes(stage_fn(DUCK), pages_source_duck(source=source), "s")
     return "WITH " + ",\n".join(ctes) + f"\nSELECT {final_cols} FROM {last}"

@@ -115,21 +115,24 @@ def judged_nodes(starts: DataFrame, nodes: DataFrame, verdicts: DataFrame) -> Da
         .drop("_host", "_known", "_v").join(nodes, "_url", "left")
 
 
-def resolve_redirects(starts: DataFrame, responses: DataFrame, verdicts: DataFrame | None = None,
-                      timeout_ms: int | None = None, max_hops: int = MAX_REDIRECTS, src_col: str = "src") -> DataFrame:
+def resolve_redirects(starts: DataFrame, responses: DataFrame | None, verdicts: DataFrame | None = None,
+                      timeout_ms: int | None = None, max_hops: int = MAX_REDIRECTS, src_col: str = "src",
+                      nodes: DataFrame | None = None) -> DataFrame:
     """Follow captured redirects for each distinct start URL, re-checking every hop's host.
 
     A linear fold of ``max_hops + 1`` fetches over one table of nodes: one row per chain, finished chains are carried along
     under a key of their own that meets no node, so no hop is computed twice and no key is
     shared by the finished ones. Every hop reads the same columns of the nodes, so their exchange is made once; no join
-    moves bodies. ``responses`` may carry each redirect's normalised ``target`` and ``target_error``.
+    moves bodies. ``responses`` may carry each redirect's normalised ``target`` and ``target_error``; ``nodes`` may be
+    given ready made (``judged_nodes``).
     Output: (src, final_url, hops, status, content_type, page_id, elapsed, chain_error)."""
     text = F.lit(None).cast("string")
     fetched = ["status", "content_type", "page_id"]
-    kinds = dict(responses.dtypes)
     starts = starts.select(F.col(src_col).alias("src")).distinct()
-    nodes = redirect_nodes(responses)
-    nodes = nodes.withColumn("_verdict", text) if verdicts is None else judged_nodes(starts, nodes, verdicts)
+    if nodes is None:
+        nodes = redirect_nodes(responses)
+        nodes = nodes.withColumn("_verdict", text) if verdicts is None else judged_nodes(starts, nodes, verdicts)
+    kinds = dict(nodes.dtypes)
     nodes = nodes.select(*[F.col(c).alias(f"_{c}") if c in fetched else c for c in nodes.columns])
     chains = starts.select("src", F.col("src").alias("cur"), F.lit(0).alias("hop"), F.lit(0).cast("bigint").alias("elapsed"), F.lit(True).alias("going"),
                            *[F.lit(None).cast(kinds[c]).alias(c) for c in fetched], text.alias("chain_error"))

@@ -146,7 +146,6 @@ def link_table(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
 
 
 def element_tree(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
-    """The containers and regions of each page: their token, the container around them and the blocks they span."""
-    p = with_tree(pages, opts).selectExpr("page_id", "inline(transform(spans, s -> named_struct('kind', s.kind, 'pos', CAST(s.pos AS BIGINT), "
-                                          "'parent_pos', CASE WHEN s.parent >= 0 THEN CAST(spans[s.parent].pos AS BIGINT) END, 'first_blk', CAST(s.o AS BIGINT), 'end_blk', CAST(s.c AS BIGINT))))")
-    return p
+    """The containers and outermost regions of each page: the tokens where they begin and end (NULL: with the page), and the one around them."""
+    return with_tree(pages, opts).selectExpr("page_id", "inline(transform(spans, s -> named_struct('kind', s.kind, 'pos', CAST(s.pos AS BIGINT), "
+                                             "'end_pos', CAST(s.`end` AS BIGINT), 'parent_pos', CASE WHEN s.parent >= 0 THEN CAST(spans[s.parent].pos AS BIGINT) END)))")

@@ -46,14 +46,14 @@ TOKEN = pa.struct([("b", pa.int32()), ("k", pa.int8()), ("f", pa.int8()), ("lvl"
 BLOCK = pa.struct([("blk", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("s_tag", pa.string()), ("s_dir", pa.int8()), ("chrome", pa.bool_()), ("region", pa.int32()),
                    ("q", pa.int16()), ("list", pa.int16()), ("li", pa.int32()), ("num", pa.int64()), ("h", pa.int8()), ("pre", pa.bool_()), ("tbl", pa.int32()), ("row", pa.int32()),
                    ("cells", pa.int32()), ("code", pa.int32())])
-SPAN = pa.struct([("kind", pa.string()), ("pos", pa.int32()), ("parent", pa.int32()), ("o", pa.int32()), ("c", pa.int32())])
+SPAN = pa.struct([("kind", pa.string()), ("pos", pa.int32()), ("parent", pa.int32()), ("o", pa.int32()), ("c", pa.int32()), ("end", pa.int32())])
 REF = pa.struct([("pos", pa.int32()), ("n", pa.int32())])
 PAGE = pa.struct([("tokens", pa.list_(TOKEN)), ("blocks", pa.list_(BLOCK)), ("spans", pa.list_(SPAN)), ("refs", pa.list_(REF)),
                   ("metas", pa.list_(pa.int32())), ("title", REF), ("markup", pa.bool_())])
 PAGE_SQL = ("struct<tokens: array<struct<b: int, k: tinyint, f: tinyint, lvl: smallint, a: int, ref: int, pre: string, post: string>>, "
             "blocks: array<struct<blk: int, first: int, n: int, s_tag: string, s_dir: tinyint, chrome: boolean, region: int, q: smallint, list: smallint, li: int, num: bigint, "
             "h: tinyint, pre: boolean, tbl: int, row: int, cells: int, code: int>>, "
-            "spans: array<struct<kind: string, pos: int, parent: int, o: int, c: int>>, refs: array<struct<pos: int, n: int>>, "
+            "spans: array<struct<kind: string, pos: int, parent: int, o: int, c: int, `end`: int>>, refs: array<struct<pos: int, n: int>>, "
             "metas: array<int>, title: struct<pos: int, n: int>, markup: boolean>")
 
 
@@ -282,11 +282,11 @@ class Fold:
                     stack[-1].span = len(spans)
                     while spanned and spanned[-1].span < 0:
                         spanned.pop()
-                    spans.append(["region" if tag in REGION_TAGS else "container", i, spanned[-1].span if spanned else -1, blk, None])
+                    spans.append(["region" if tag in REGION_TAGS else "container", i, spanned[-1].span if spanned else -1, blk, None, None])
                     spanned.append(stack[-1])
                 for e in closing:
                     if e.span >= 0:
-                        spans[e.span][4], e.span = blk, -1
+                        spans[e.span][4:], e.span = [blk, i], -1
                     if e.ref >= 0:
                         refs[e.ref][1] = i - refs[e.ref][0]
                     if e.tag == "title" and title is not None and title[0] == e.pos:

@@ -35,10 +35,11 @@ def _pages(spark, sf):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows when the scan yields fewer partitions than the cluster has cores
-    (e.g. one large row group); with many input splits (the large-scale case) it is a no-op."""
+    """Round-robin the rows of a table that has fewer files than the cluster has cores (e.g. one large row
+    group); tables of many files (the large-scale case) are read as they lie."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    files = len(df.inputFiles())
+    return df.repartition(par) if files < par else df
 
 
 def _on_pages(fn):
@@ -189,6 +190,19 @@ def q_resolve_redirects(spark, sf):
     return resolve_redirects(starts, r).select("src", "final_url", "hops", "status", "chain_error")
 
 
+def q_checked_redirects(spark, sf):
+    """C3 with the verdict of every hop's host."""
+    r = FX.responses(spark, sf)
+    starts = _pages(spark, sf).select(F.col("url").alias("src"))
+    verdicts = host_verdicts(starts.select(host_of(F.col("src")).alias("host")), FX.dns_answers(spark, sf))
+    return resolve_redirects(starts, r, verdicts).select("src", "final_url", "hops", "chain_error")
+
+
+def q_element_tree(spark, sf):
+    """E4 on pages some of whose end tags are missing."""
+    return T.element_tree(FX.unclosed_pages(spark, sf))
+
+
 def q_timeout_filter(spark, sf):
     r = FX.responses(spark, sf)
     starts = _pages(spark, sf).select(F.col("url").alias("src"))
@@ -294,6 +308,6 @@ def queries() -> dict:
         "first_error": q_first_error, "dataset_union": q_dataset_union, "budget_cutoff": q_budget_cutoff,
         "unprocessed": q_unprocessed, "run_summary": q_run_summary, "run_status": q_run_status,
         "meter_events": q_meter_events, "meter_hourly": q_meter_hourly,
-        "scrape": q_scrape,
+        "checked_redirects": q_checked_redirects, "element_tree": q_element_tree, "scrape": q_scrape,
     }
     return q

@@ -9,7 +9,7 @@ from pagemill.functions.urls import host_of, normalise_urls, resolve_url
 from pagemill.operators.addresses import host_verdicts
 from pagemill.operators.dataset import budget_cutoff, dataset_union, first_error
 from pagemill.operators.requests import clean_requests, first_seen, request_options
-from pagemill.operators.responses import content_type_ok, is_redirect, reason_phrase, resolve_redirects, status_ok
+from pagemill.operators.responses import content_type_ok, is_redirect, judged_nodes, reason_phrase, redirect_nodes, resolve_redirects, status_ok
 from pagemill.options import DEFAULT, MSG_BAD_SCHEME, MSG_HTTP_STATUS, MSG_INVALID_URL, MSG_NOT_HTML, MSG_TOO_LARGE, Options
 from pagemill.plans.clean import clean_pages
 from pagemill.session import ensure_checkpoint_dir
@@ -42,14 +42,17 @@ def scrape(requests: DataFrame, responses: DataFrame, dns: DataFrame, runs: Data
     if "mode" not in reqs.columns:
         reqs = reqs.withColumn("mode", F.lit(None).cast("string"))
     reqs = reqs.withColumn("mode", F.coalesce(F.col("mode"), F.when(F.col("render_js"), F.lit("render")).otherwise(F.lit("fetch"))))
-    n = normalise_urls(reqs, "url", "nu")
+    # lineage cuts (reliable checkpoints in spark.checkpoint.dir) of three narrow tables, the requests, the
+    # redirect nodes and the outcomes before cleaning, which are used several times below; no body is among them
+    n = normalise_urls(reqs, "url", "nu").checkpoint()
     web = F.col("nu.protocol").isin("http:", "https:") & F.col("nu.href").isNotNull()
     starts = n.where(web).select(F.col("nu.href").alias("src"))
     edges = redirect_targets(responses)
     hosts = starts.select(host_of(F.col("src")).alias("host")).unionByName(
         edges.where(F.col("target").isNotNull()).select(host_of(F.col("target")).alias("host")))
     verdicts = host_verdicts(hosts, dns, compat=opts.extra.get("textual_ipv6", False))
-    chains = resolve_redirects(starts, edges, verdicts, timeout_ms=opts.timeout_ms)
+    nodes = judged_nodes(starts, redirect_nodes(edges), verdicts).checkpoint()
+    chains = resolve_redirects(starts, None, timeout_ms=opts.timeout_ms, nodes=nodes)
     sizes = responses.select("page_id", F.octet_length("body").alias("nbytes"))
     r = n.join(chains, F.col("nu.href") == chains.src, "left").join(sizes, "page_id", "left")
     fetch = F.col("mode") == "fetch"
@@ -65,7 +68,7 @@ def scrape(requests: DataFrame, responses: DataFrame, dns: DataFrame, runs: Data
     )
     r = r.select("run_id", "ord", "url", F.col("nu.href").alias("href"), "page_id", "include_links",
                  err.alias("pre_error"))
-    r = r.checkpoint()  # one narrow row per request: its uses below would follow the redirects again
+    r = r.checkpoint()
     ok = r.where(F.col("pre_error").isNull())
     # one cleaning per (requested URL, final page, link option); the requested URL is the link base (Q4)
     key = F.concat_ws("|", F.col("href"), F.col("page_id").cast("string"), F.col("include_links").cast("string"))

@@ -63,6 +63,12 @@ ADDRESSES_SQL = """
 SELECT CAST(event_id AS BIGINT) AS id, CAST(event_id * 429496 % 4294967296 AS BIGINT) AS n FROM {events}
 """
 
+# Pages some of whose end tags are missing: every div's, article's or list's.
+UNCLOSED_SQL = """
+SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN replace(html, '</div>', '') WHEN 1 THEN replace(html, '</article>', '')
+  WHEN 2 THEN replace(html, '</ul>', '') ELSE replace(html, '<p>', '</div><p><section>') END AS html FROM {pages}
+"""
+
 # Body cut into 1,000-character chunks; seq from a generated series per page (no page x page join).
 CHUNKS_SPARK_SQL = """
 SELECT url AS req_url, CAST(seq AS BIGINT) AS seq, substring(html, CAST(seq * 1000 + 1 AS INT), 1000) AS chunk
@@ -101,6 +107,10 @@ def responses(spark, sf_dir):
     return derived(spark, sf_dir, RESPONSES_SQL)
 
 
+def unclosed_pages(spark, sf_dir):
+    return derived(spark, sf_dir, UNCLOSED_SQL)
+
+
 def dns_answers(spark, sf_dir):
     return derived(spark, sf_dir, DNS_SQL)
 

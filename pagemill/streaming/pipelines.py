@@ -6,8 +6,12 @@ id and overwritten on replay, and metering is derived from what was delivered (J
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pagemill.options import DEFAULT, Options
 from pagemill.plans.clean import clean_pages
@@ -15,8 +19,10 @@ from pagemill.plans.clean import clean_pages
 PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
 
-def read_pages_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(PAGES_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_pages_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Pages as their files land; ``max_files`` bounds a micro-batch, which else takes all that has landed."""
+    reader = spark.readStream.schema(PAGES_SCHEMA)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
 def deliver_batch(out_dir: str, opts: Options = DEFAULT):
@@ -46,22 +52,41 @@ def meter_hourly_stream(events: DataFrame, ts: str = "ts", name: str = "event_ty
         .select(F.col("w.start").alias("hour"), name, "n")
 
 
-def budget_state_update(key, pdfs, state):
-    """Running success count per run kept in state (applyInPandasWithState); emits rows
-    in ``ord`` order until the limit is reached, never more."""
-    import pandas as pd
-    (run_id,) = key
-    done = state.get[0] if state.exists else 0
-    limit = None
-    out = []
-    for pdf in pdfs:
-        for r in pdf.sort_values("ord").itertuples(index=False):
-            limit = r.event_limit
-            cap = None if pd.isna(limit) else max(int(limit), 1)
-            if cap is not None and done >= cap:
-                continue
-            out.append((run_id, r.ord, r.error))
-            if pd.isna(r.error):
-                done += 1
-    state.update((done,))
-    yield pd.DataFrame(out, columns=["run_id", "ord", "error"])
+class RunBudget(StatefulProcessor):
+    """Each run's budget over rows that come in any order, in any number of batches.
+
+    Rows wait in a map by ``seq`` (their place in the run's input, 0, 1, ...) until all earlier ones have come; then they
+    leave in that order until the success that reaches the limit. The value holds the next place and the
+    successes so far. A row that comes again is ignored; after the limit rows are dropped as they come, so
+    the state of a finished run is two numbers."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getMapState("waiting", "seq bigint", "ord bigint, error string")
+        self.progress = handle.getValueState("progress", "next bigint, done bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        place, done = self.progress.get() if self.progress.exists() else (0, 0)
+        out, limit = [], None
+        for frame in rows:
+            for seq, ord_, error, event_limit in zip(frame["seq"].tolist(), frame["ord"].tolist(), frame["error"].tolist(), frame["event_limit"].tolist()):
+                limit = None if pd.isna(event_limit) else max(int(event_limit), 1)
+                if seq < place or (limit is not None and done >= limit):
+                    continue
+                self.waiting.updateValue((seq,), (ord_, None if pd.isna(error) else error))
+        while (limit is None or done < limit) and self.waiting.containsKey((place,)):
+            ord_, error = self.waiting.getValue((place,))
+            self.waiting.removeKey((place,))
+            out.append((key[0], ord_, error))
+            place, done = place + 1, done + (error is None)
+        if limit is not None and done >= limit:
+            self.waiting.clear()
+        self.progress.update((place, done))
+        yield pd.DataFrame(out, columns=["run_id", "ord", "error"])
+
+    def close(self) -> None:
+        pass
+
+
+def budget_stream(outcomes: DataFrame) -> DataFrame:
+    """Outcomes (run_id, seq, ord, error, event_limit) -> the delivered (run_id, ord, error), the same rows as the batch cut-off."""
+    return outcomes.groupBy("run_id").transformWithStateInPandas(RunBudget(), "run_id bigint, ord bigint, error string", "append", "none")

@@ -52,3 +52,30 @@ def test_iso_utc_in_any_time_zone(spark):
             assert row.t == "2023-11-14T22:13:20.123Z"
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_written_dataset_is_ordered_and_a_replay_changes_nothing(spark, tmp_path):
+    import datetime
+
+    from pagemill.operators.dataset import read_dataset, write_dataset
+
+    path = str(tmp_path / "dataset")
+    rows = [(o % 3, 7 * o % 101, f"http://a/{o}", None if o % 4 else "err") for o in range(100)]
+    df = spark.createDataFrame(rows, "run_id bigint, ord bigint, url string, error string").repartition(6)
+    when = datetime.datetime(2024, 5, 1, 12, 30, 0, 125000)
+    for batch, part in ((0, df.where("ord < 50")), (1, df.where("ord >= 50")), (0, df.where("ord < 50"))):
+        write_dataset(part, path, batch, when)
+    got = read_dataset(spark, path).collect()
+    assert [(r["run_id"], r["ord"], r["url"], r["error"]) for r in got] == sorted(rows)
+    assert {r["scraped_at"] for r in got} == {"2024-05-01T12:30:00.125Z"}
+    for run in range(3):  # files follow each other in input order
+        files = sorted((tmp_path / "dataset" / f"run_id={run}" / "batch_id=0").glob("*.parquet"))
+        read = [r["ord"] for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert read == sorted(read)
+
+
+def test_budget_with_sparse_ords(spark):
+    rows = [(0, o * 10**12, None) for o in range(50)] + [(1, 5, "err")]
+    outcomes = spark.createDataFrame(rows, "run_id bigint, ord bigint, error string")
+    runs = spark.createDataFrame([(0, 7), (1, 3)], "run_id bigint, event_limit bigint")
+    assert sorted(r["ord"] for r in budget_cutoff(outcomes, runs).collect()) == [0, 5, *(o * 10**12 for o in range(1, 7))]

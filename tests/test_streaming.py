@@ -45,25 +45,48 @@ def test_hourly_metering_stream(spark, sf001):
 
 
 def test_stateful_budget_equals_batch(spark):
-    """Running success count kept in state; one micro-batch gives the batch answer."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    """Runs over several Arrow batches and micro-batches, with late and repeated rows, equal the batch answer."""
+    import random
 
     from pagemill.operators.dataset import budget_cutoff
-    from pagemill.streaming.pipelines import budget_state_update
+    from pagemill.streaming.pipelines import budget_stream
 
-    rows = [(r, o, None if (o * 7 + r) % 3 else "err", lim) for r, lim in ((0, 5), (1, 0), (2, None)) for o in range(40)]
-    schema = "run_id bigint, ord bigint, error string, event_limit bigint"
+    rows = [(r, o, 3 * o + r, None if (o * 7 + r) % 3 else "err", lim) for r, lim in ((0, 25), (1, 0), (2, None), (3, 1000)) for o in range(60)]
+    schema = "run_id bigint, seq bigint, ord bigint, error string, event_limit bigint"
     src = tempfile.mkdtemp(prefix="pm-src-", dir="/tmp")
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(src + "/o")
-    stream = spark.readStream.schema(schema).parquet(src + "/o")
-    out = stream.groupBy("run_id").applyInPandasWithState(
-        budget_state_update, "run_id bigint, ord bigint, error string", "done bigint", "append", GroupStateTimeout.NoTimeout)
-    q = (out.writeStream.outputMode("append").format("memory").queryName("pm_budget")
+    late = random.Random(3).sample(rows, len(rows))
+    for k in range(4):
+        spark.createDataFrame(late[k * 60:(k + 1) * 60] + late[:k], schema).coalesce(1).write.mode("append").parquet(src)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = (budget_stream(stream).writeStream.outputMode("append").format("memory").queryName("pm_budget")
+             .option("checkpointLocation", tempfile.mkdtemp(prefix="pm-ck-", dir="/tmp")).start())
+        q.processAllAvailable()
+        assert len([p for p in q.recentProgress if p["numInputRows"]]) == 4
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = [(r.run_id, r.ord) for r in spark.sql("SELECT run_id, ord FROM pm_budget").collect()]
+    df = spark.createDataFrame(rows, schema)
+    want = sorted((r.run_id, r.ord) for r in budget_cutoff(df.select("run_id", "ord", "error"), df.select("run_id", "event_limit").distinct()).collect())
+    assert sorted(got) == want
+    for run in range(4):
+        assert [o for r, o in got if r == run] == sorted(o for r, o in got if r == run)
+
+
+def test_repeated_urls_are_dropped_across_batches(spark):
+    """A URL that comes again within the watermark is dropped, in the same micro-batch or a later one."""
+    from pagemill.streaming.pipelines import dedupe_urls_stream
+
+    src = tempfile.mkdtemp(prefix="pm-src-", dir="/tmp")
+    for k in range(3):
+        spark.createDataFrame([(f"http://a/{i % 5}", f"2024-01-01 00:0{k}:0{i % 10}") for i in range(10)], "url string, ts string") \
+            .selectExpr("url", "CAST(ts AS timestamp) AS ts").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("url string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    q = (dedupe_urls_stream(stream).writeStream.outputMode("append").format("memory").queryName("pm_urls")
          .option("checkpointLocation", tempfile.mkdtemp(prefix="pm-ck-", dir="/tmp")).start())
     q.processAllAvailable()
     q.stop()
-    got = sorted((r.run_id, r.ord) for r in spark.sql("SELECT run_id, ord FROM pm_budget").collect())
-    df = spark.createDataFrame(rows, schema)
-    runs = df.select("run_id", "event_limit").distinct()
-    want = sorted((r.run_id, r.ord) for r in budget_cutoff(df.drop("event_limit"), runs).collect())
-    assert got == want
+    assert sorted(r.url for r in spark.sql("SELECT url FROM pm_urls").collect()) == [f"http://a/{i}" for i in range(5)]
