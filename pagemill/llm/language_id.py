@@ -20,6 +20,8 @@ WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 #: Bounds of the training sample: documents of a language, languages.
 PER_LANGUAGE, LANGUAGES = 600, 200
 EPOCHS, BATCH, RATE = 14, 64, 4e-3
+#: Steps at least: a sample of few batches is gone through more often.
+STEPS = 250
 #: Windows that are scored at once.
 CHUNK = 96
 NONE = "und"
@@ -51,8 +53,9 @@ def train(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 0) -> dict[str
     p["bias"] = np.zeros(classes, np.float32)
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
     weight = len(y) / (classes * np.maximum(1, np.bincount(y, minlength=classes)))
-    for _ in range(EPOCHS):
-        for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
+    batches = max(1, len(y) // BATCH)
+    for _ in range(max(EPOCHS, -(-STEPS // batches))):
+        for at in np.array_split(rng.permutation(len(y)), batches):
             bytes_, target = x[at], y[at]
             e = p["embed"][bytes_]
             pooled, kept = [], []
