@@ -1,7 +1,9 @@
 """Exact deduplication against a persistent digest index, with DataFrame operations only.
 
-The index is a table bucketed and sorted by the SHA-256 of the text. A batch is reduced to its
-distinct digests, the ones the index lacks are found by a sort-merge anti-join and appended. Rows of
+The index is a table bucketed and sorted by the SHA-256 of the text; it names the batch that brought each
+digest. A batch is reduced to its distinct digests, the ones the index lacks are found by a sort-merge anti-join and
+appended; a digest that the same batch brought before counts as its own, so a batch that is run again after
+a failure has the same result and appends nothing twice. Rows of
 equal text then look their digest up; digests that hold over a thousandth of the batch (so at most a
 thousand of them) are looked up by broadcast, because one task could not take all their rows.
 """
@@ -25,31 +27,33 @@ def digest(text: str = "text"):
 
 
 def create_index(spark: SparkSession, name: str, buckets: int) -> str:
-    """An empty index table: digest, keep_id (the row that stays), bucketed and sorted by digest."""
-    spark.createDataFrame([], "digest binary, keep_id long").write.bucketBy(buckets, "digest").sortBy("digest").format("parquet").saveAsTable(name)
+    """An empty index table: digest, keep_id (the row that stays), batch (that brought it), bucketed and sorted by digest."""
+    spark.createDataFrame([], "digest binary, keep_id long, batch string").write.bucketBy(buckets, "digest").sortBy("digest").format("parquet").saveAsTable(name)
     return name
 
 
-def deduplicate(docs: DataFrame, index: str, buckets: int) -> DataFrame:
+def deduplicate(docs: DataFrame, index: str, buckets: int, batch: str | None = None) -> DataFrame:
     """Marks the rows of ``docs`` that stay, and appends the new digests to the index.
 
     Of equal texts that the index lacks, the row with the largest doc_id stays (of rows that repeat
     both doc_id and text, one); texts the index holds are dropped in favour of the row it names.
     Null text counts as empty; null doc_ids rank lowest; an empty table gives no rows; other columns
-    are ignored. Returns doc_id, keep_id, group_size (rows of this batch with the text), kept,
+    are ignored. ``batch`` names these rows: running them again under the same name gives the same
+    result (without a name every call is a batch of its own). Returns doc_id, keep_id, group_size (rows of this batch with the text), kept,
     text_sha256.
     """
     spark = docs.sparkSession
     rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), F.monotonically_increasing_id().alias("uid")))
     groups = checkpointed(rows.groupBy("digest").agg(F.max(F.struct("doc_id", "uid")).alias("top"), F.count(F.lit(1)).alias("n")))
     total = groups.agg(F.sum("n")).first()[0] or 0
-    fresh = groups.join(spark.table(index).hint("merge"), "digest", "left_anti").select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.uid").alias("keep_uid"))
+    fresh = groups.join(spark.table(index).hint("merge"), "digest", "left_anti").select("digest", F.col("top.doc_id").alias("keep_id"))
     fresh = checkpointed(fresh)
-    fresh.select("digest", "keep_id").repartition(buckets, "digest").write.mode("append").bucketBy(buckets, "digest").sortBy("digest").format("parquet").saveAsTable(index)
-    known = spark.table(index).select("digest", F.col("keep_id").alias("held_id"))
+    batch = batch or uuid.uuid4().hex
+    fresh.select("digest", "keep_id", F.lit(batch).alias("batch")).repartition(buckets, "digest").write.mode("append").bucketBy(buckets, "digest").sortBy("digest").format("parquet").saveAsTable(index)
+    known = spark.table(index).select("digest", F.col("keep_id").alias("held_id"), (F.col("batch") == batch).alias("own"))
     found = checkpointed(
-        groups.select("digest", "n").join(known, "digest").join(fresh.select("digest", "keep_uid"), "digest", "left")
-        .select("digest", F.col("held_id").alias("keep_id"), "keep_uid", F.col("n").alias("group_size"))
+        groups.join(known, "digest")
+        .select("digest", F.col("held_id").alias("keep_id"), F.when(F.col("own"), F.col("top.uid")).alias("keep_uid"), F.col("n").alias("group_size"))
     )
     hot = found.where(F.col("group_size") * HOT_SHARE > total).select("digest", *(F.col(c).alias(f"hot_{c}") for c in ("keep_id", "keep_uid", "group_size")))
     # A hot row's own join key is a hash of its place, which no text has: it spreads and finds nothing.

@@ -87,3 +87,14 @@ def test_given_targets_and_topic_column(spark):
     kept = [r for r in mixing.mix(frame, goals=goals).collect() if r["kept"]]
     english = sum(r["lang"] == "en" for r in kept)
     assert english == 1000 and 270 <= len(kept) - english <= 400
+
+
+def test_a_batch_run_again_keeps_its_rows(spark):
+    """A retry after the index was written has the same result; another batch finds the texts taken."""
+    rows = [(1, "a", "", "", 1), (2, "a", "", "", 1), (3, "b", "", "", 1), (None, None, "", "", 1), (4, "", "", "", 1)]
+    index, buckets = exact_dedup.new_index(spark)
+    first = key(exact_dedup.deduplicate(docs(spark, rows), index, buckets, "monday").collect())
+    assert key(exact_dedup.deduplicate(docs(spark, rows), index, buckets, "monday").collect()) == first
+    assert sorted(r["doc_id"] for r in exact_dedup.deduplicate(docs(spark, rows), index, buckets, "monday").where("kept").collect()) == [2, 3, 4]
+    assert spark.table(index).count() == 3
+    assert exact_dedup.deduplicate(docs(spark, rows), index, buckets, "tuesday").where("kept").collect() == []
