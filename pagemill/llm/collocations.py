@@ -25,16 +25,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.steps import step
+
 from .common import bounded_batches, checkpointed, shared_path, short_lived_shuffles
 from .transducer import Transducer, summed
 from .wordarrays import byte_classes, column, segments, split
 
 LEAST, TOP, LONGEST = 100, 2000, 5
 PIECES = byte_classes(breaks=".,;:!?\n\x0b\x0c\r", blanks=" \t")
-SHARD_BYTES, FAN = 8 << 20, 32
+SHARD_BYTES, FAN = 6 << 20, 32
 SHARDS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("tokens", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers in two or four bytes each, after one byte that says which."""
+    size = 2 if numbers.max(initial=0) < 1 << 16 else 4
+    return bytes([size]) + numbers.astype(f"u{size}").tobytes()
+
+
+def _large(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int32)
+
+
 def _shards(table: pa.Table) -> Iterator[dict]:
     """A shard for each language of the table: its words in order, 0 where a piece begins, else the word's number from 1 on."""
     found = split(column(table, "text"), PIECES)
@@ -50,7 +62,7 @@ def _shards(table: pa.Table) -> Iterator[dict]:
         begins = found.begins[mine]
         tokens = np.zeros(len(mine) + int(begins.sum()), np.int32)
         tokens[np.arange(len(mine)) + np.cumsum(begins)] = local + 1
-        yield {"lang": lang, "tokens": tokens.tobytes(), "words": coded.dictionary.take(pa.array(used)).cast(pa.large_string()).to_pylist(), "counts": counts.tolist()}
+        yield {"lang": lang, "tokens": _small(tokens), "words": coded.dictionary.take(pa.array(used)).cast(pa.large_string()).to_pylist(), "counts": counts.tolist()}
 
 
 def read_shards(docs: DataFrame) -> DataFrame:
@@ -144,7 +156,8 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     totals = each.groupBy("lang").agg(F.sum("count").alias("n"))
     words = each.groupBy("lang", "word").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
     words = checkpointed(words.orderBy("lang", "word").withColumn("id", F.monotonically_increasing_id()))
-    known = each.join(words.select("lang", "word", "id"), ["lang", "word"])
+    # every word of a shard gets its answer; the frequent ones go back to the shard
+    known = step(each.join(words.select("lang", "word", "id"), ["lang", "word"], "left"), rank=F.coalesce("id", F.lit(-1))).where("rank >= 0")
     held = checkpointed(known.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("id", "i"))).alias("m")).select("shard", F.col("m.id").alias("ids"), F.col("m.i").alias("at")))
     side = math.ceil(math.sqrt(max(16, 2 * spark.sparkContext.defaultParallelism)))
     # ranges of about equal numbers of words, frequent words counting a few times
@@ -156,12 +169,12 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     def recode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                tokens, at = np.frombuffer(row.tokens, np.int32), np.asarray(row.at, np.int64)
+                tokens, at = _large(row.tokens), np.asarray(row.at, np.int64)
                 rank = np.zeros(int(tokens.max(initial=0)) + 1, np.int32)
                 rank[at + 1] = np.arange(1, len(at) + 1)
                 ranks, alphabet = rank[tokens], np.asarray(row.ids, np.int64)
                 cells, packed = _cut(*_bigrams(ranks, alphabet), bounds)
-                yield pd.DataFrame({"shard": [row.shard], "ranks": [ranks.tobytes()], "alphabet": [alphabet.tobytes()], "cells": [cells], "packed": [packed]})
+                yield pd.DataFrame({"shard": [row.shard], "ranks": [_small(ranks)], "alphabet": [alphabet.tobytes()], "cells": [cells], "packed": [packed]})
 
     path = shared_path(spark, "phrase-bigrams")
     shards.select("shard", "tokens").join(held, "shard").mapInPandas(recode, "shard long, ranks binary, alphabet binary, cells array<long>, packed array<binary>").write.option("compression", "zstd").parquet(path)
@@ -183,7 +196,7 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
         for frame in frames:
             for row in frame.itertuples():
                 pairs = np.frombuffer(b"".join(row.pairs), np.int64).reshape(-1, 2)
-                cells, packed = _cut(*_longer(np.frombuffer(row.ranks, np.int32), np.frombuffer(row.alphabet, np.int64), pairs), bounds)
+                cells, packed = _cut(*_longer(_large(row.ranks), np.frombuffer(row.alphabet, np.int64), pairs), bounds)
                 yield pd.DataFrame({"cell": cells, "shard": row.shard, "packed": packed}, columns=["cell", "shard", "packed"])
 
     longer = unite(coded.select("shard", "ranks", "alphabet").join(told, "shard").mapInPandas(lengthen, "cell long, shard long, packed binary"), total, least)
