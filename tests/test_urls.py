@@ -25,7 +25,7 @@ NORMALISE = [
     ("http://u:@a.com/", "http://u@a.com/"),
     ("http://u:p@a.com/", "http://u:p@a.com/"),
     ("http://%61.com/", "http://a.com/"),
-    ("http://a.com\\\\b/../c", "http://a.com/c"),
+    ("http://a.com\\b/../c", "http://a.com/c"),
     ("file:///x", "file:///x"),
 ]
 INVALID = ["example.com", "not a url", "", "http://a b.com/", "http://[1:2]/", "http://[::1", "http://a%zz/", "http://a%00b/", "http:///"]
