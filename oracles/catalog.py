@@ -219,5 +219,8 @@ def oracles() -> dict:
         "host_verdicts": VERDICTS,
         "checked_redirects": CHECKED_CHAIN,
         "element_tree": ELEMENT_TREE,
+        "rich_markdown": f"SELECT page_id, markdown, word_count FROM ({H.clean_pages_duck(source='(' + FX.duck(FX.RICH_SQL) + ')')}) q",
+        "tripping_chunk": (f"SELECT req_url, CAST(max(received) AS BIGINT) AS total_bytes, min(CASE WHEN received > {TEST_MAX_BYTES} THEN seq END) AS trip_seq FROM "
+                           f"(SELECT req_url, seq, sum(octet_length(encode(chunk))) OVER (PARTITION BY req_url ORDER BY seq) AS received FROM ({FX.CHUNKS_DUCK_SQL}) c) x GROUP BY req_url"),
     }
     return o

@@ -16,7 +16,7 @@ from pagemill.operators.addresses import flag_private, host_verdicts, refused_ra
 from pagemill.operators.dataset import (budget_cutoff, dataset_union, first_error, meter_events, render_document,
                                         run_status, run_summary, unprocessed)
 from pagemill.operators.requests import clean_requests, first_seen, request_options, validate_runs
-from pagemill.operators.responses import assemble_body, content_type_ok, reason_phrase, resolve_redirects, status_ok
+from pagemill.operators.responses import assemble_body, body_bytes, content_type_ok, reason_phrase, resolve_redirects, status_ok
 from pagemill.options import DEFAULT, MSG_BAD_SCHEME, MSG_HTTP_STATUS, MSG_INVALID_URL, MSG_NOT_HTML, MSG_TOO_LARGE
 from pagemill.plans.clean import clean_pages
 from pagemill.plans.scrape import scrape
@@ -203,6 +203,16 @@ def q_element_tree(spark, sf):
     return T.element_tree(FX.unclosed_pages(spark, sf))
 
 
+def q_rich_markdown(spark, sf):
+    """Pages with lists, quotes, code, tables, images, rules, strikethrough and tasks."""
+    return clean_pages(FX.rich_pages(spark, sf)).select("page_id", "markdown", "word_count")
+
+
+def q_tripping_chunk(spark, sf):
+    """E3 + D6: bytes of each body and the chunk that passes the cap."""
+    return body_bytes(FX.chunks(spark, sf), TEST_MAX_BYTES)
+
+
 def q_timeout_filter(spark, sf):
     r = FX.responses(spark, sf)
     starts = _pages(spark, sf).select(F.col("url").alias("src"))
@@ -308,6 +318,6 @@ def queries() -> dict:
         "first_error": q_first_error, "dataset_union": q_dataset_union, "budget_cutoff": q_budget_cutoff,
         "unprocessed": q_unprocessed, "run_summary": q_run_summary, "run_status": q_run_status,
         "meter_events": q_meter_events, "meter_hourly": q_meter_hourly,
-        "checked_redirects": q_checked_redirects, "element_tree": q_element_tree, "scrape": q_scrape,
+        "checked_redirects": q_checked_redirects, "element_tree": q_element_tree, "rich_markdown": q_rich_markdown, "tripping_chunk": q_tripping_chunk, "scrape": q_scrape,
     }
     return q

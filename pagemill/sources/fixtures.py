@@ -69,6 +69,13 @@ SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN replace(html, '</div>', '') WH
   WHEN 2 THEN replace(html, '</ul>', '') ELSE replace(html, '<p>', '</div><p><section>') END AS html FROM {pages}
 """
 
+# Pages whose article begins with lists, quotes, code, a table, an image, a rule and tasks.
+RICH_SQL = """
+SELECT page_id, url, regexp_replace(html, '<article[^>]*>', concat('<article><h2>Part ', CAST(page_id AS STRING), '</h2><ul><li>a <b>b</b></li><li>c<ol start="4"><li>d</li><li>e</li></ol></li></ul>',
+  '<blockquote><p>q1</p><p>q2 <i>i</i></p></blockquote><pre><code class="language-py">x = 1', chr(10), '  y * 2</code></pre><table><tr><th>h1</th><th>h2</th></tr><tr><td>', CAST(page_id AS STRING),
+  '</td><td>v</td></tr></table><hr><p><img src="/i.png" alt="pic"> <del>old</del> <code>k_1</code><br>next *</p><ul><li><input type="checkbox" checked> done</li><li><input type="checkbox"> todo</li></ul>')) AS html FROM {pages}
+"""
+
 # Body cut into 1,000-character chunks; seq from a generated series per page (no page x page join).
 CHUNKS_SPARK_SQL = """
 SELECT url AS req_url, CAST(seq AS BIGINT) AS seq, substring(html, CAST(seq * 1000 + 1 AS INT), 1000) AS chunk
@@ -111,6 +118,10 @@ def unclosed_pages(spark, sf_dir):
     return derived(spark, sf_dir, UNCLOSED_SQL)
 
 
+def rich_pages(spark, sf_dir):
+    return derived(spark, sf_dir, RICH_SQL)
+
+
 def dns_answers(spark, sf_dir):
     return derived(spark, sf_dir, DNS_SQL)
 
