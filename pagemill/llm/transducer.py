@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 
@@ -118,19 +120,19 @@ class Transducer:
         return np.where(alive & (self.final[state] >= 0), sums + self.final[state], 0)
 
     def pack(self) -> bytes:
-        """Its arrays, each in the smallest type that holds it."""
-        arrays = [self.first, np.searchsorted(self.alphabet, self.label), self.target, self.weight, self.final + 1, self.alphabet]
+        """Its arrays, each in the smallest type that holds it (the alphabet as steps), compressed."""
+        arrays = [self.first, np.searchsorted(self.alphabet, self.label), self.target, self.weight, self.final + 1, np.diff(self.alphabet, prepend=0)]
         arrays = [a.astype(np.min_scalar_type(int(a.max(initial=0)))) for a in arrays]
-        return b"".join([np.array([[len(a), a.itemsize] for a in arrays], np.int64).tobytes(), *(a.tobytes() for a in arrays)])
+        return zlib.compress(b"".join([np.array([[len(a), a.itemsize] for a in arrays], np.int64).tobytes(), *(a.tobytes() for a in arrays)]), 1)
 
     @staticmethod
     def unpack(data: bytes) -> "Transducer":
-        at, out = 96, []
+        data, at, out = zlib.decompress(data), 96, []
         for n, size in np.frombuffer(data, np.int64, 12).reshape(6, 2).tolist():
             out.append(np.frombuffer(data, f"u{size}", n, at).astype(np.int64))
             at += n * size
-        first, rank, target, weight, final, alphabet = out
-        return Transducer(first, alphabet[rank], target, weight, final - 1)
+        first, rank, target, weight, final, steps = out
+        return Transducer(first, np.cumsum(steps)[rank], target, weight, final - 1)
 
     @staticmethod
     def union(parts: list["Transducer"], least: int = 0) -> "Transducer":
