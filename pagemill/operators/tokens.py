@@ -79,7 +79,7 @@ def with_links_flag(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
 # --- G1 -------------------------------------------------------------------
 def tokenised(pages: DataFrame, opts: Options = DEFAULT) -> DataFrame:
     """pages(page_id, url, html[, lnk]) -> page rows with ``toks`` and ``names`` (lower-case tag name, '/name' for end
-    tags, '' for text and declarations). A page without any token has one empty token."""
+    tags, '' for text and declarations)."""
     p = partition_pages(with_links_flag(pages, opts), opts)
     p = p.selectExpr("page_id", "url", "lnk", f"{clean_html('html', opts)} AS h")
     p = step(p, toks=f"coalesce({D.rx_extract_all('h', TOKEN_RE)}, array())").drop("h")

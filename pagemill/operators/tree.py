@@ -380,15 +380,23 @@ def _lists(pages: list[dict], name: str, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _structs(rows, kind) if pa.types.is_struct(kind) else pa.array(rows, kind))
 
 
+#: Pages whose rows are held as Python lists at once.
+GROUP = 64
+
+
+def _arrays(pages: list[dict]) -> pa.StructArray:
+    title = pa.StructArray.from_arrays([pa.array([p["title"] and p["title"][k] for p in pages], pa.int32()) for k in (0, 1)], fields=list(REF))
+    return pa.StructArray.from_arrays([
+        _lists(pages, "tokens", TOKEN), _lists(pages, "blocks", BLOCK), _lists(pages, "spans", SPAN), _lists(pages, "refs", REF),
+        _lists(pages, "metas", pa.int32()), title, pa.array([p["markup"] for p in pages], pa.bool_())], fields=list(PAGE))
+
+
 def page_trees(opts: Options = DEFAULT):
     """A column function: marks (array of strings) -> the page's arrays (``PAGE_SQL``)."""
     @F.arrow_udf(PAGE_SQL)
     def trees(marks: pa.Array) -> pa.Array:
         fold = Fold(opts)
-        pages = [fold.page(m or []) for m in marks.to_pylist()]
-        title = pa.StructArray.from_arrays([pa.array([p["title"] and p["title"][k] for p in pages], pa.int32()) for k in (0, 1)], fields=list(REF))
-        return pa.StructArray.from_arrays([
-            _lists(pages, "tokens", TOKEN), _lists(pages, "blocks", BLOCK), _lists(pages, "spans", SPAN), _lists(pages, "refs", REF),
-            _lists(pages, "metas", pa.int32()), title, pa.array([p["markup"] for p in pages], pa.bool_())], fields=list(PAGE))
+        parts = [_arrays([fold.page(m or []) for m in marks.slice(at, GROUP).to_pylist()]) for at in range(0, max(1, len(marks)), GROUP)]
+        return pa.concat_arrays(parts)
 
     return trees
