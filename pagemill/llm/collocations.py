@@ -285,10 +285,10 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
         words, cells, totals, bounds = phrases(docs, least)
         found = checkpointed(compose(cells, bounds))
     hidden = found.select(F.explode("hides").alias("ids")).distinct()
-    kept = found.join(hidden, "ids", "left_anti").select(F.monotonically_increasing_id().alias("row"), "ids", "a", "cuts")
-    spelled = kept.select("row", F.posexplode("ids").alias("at", "id")).join(words.select("id", "lang", "word"), "id")
-    spelled = spelled.groupBy("row").agg(F.first("lang").alias("lang"), F.array_join(F.sort_array(F.collect_list(F.struct("at", "word"))).getField("word"), " ").alias("phrase"))
-    scored = kept.join(spelled, "row").join(totals, "lang").withColumn("best", F.expr(
+    kept = found.join(hidden, "ids", "left_anti")  # a phrase's ids name it: numbers of rows may differ where this is read twice
+    spelled = kept.select("ids", F.posexplode("ids").alias("at", "id")).join(words.select("id", "lang", "word"), "id")
+    spelled = spelled.groupBy("ids").agg(F.first("lang").alias("lang"), F.array_join(F.sort_array(F.collect_list(F.struct("at", "word"))).getField("word"), " ").alias("phrase"))
+    scored = kept.join(spelled, "ids").join(totals, "lang").withColumn("best", F.expr(
         "array_min(transform(cuts, c -> struct(cast((cast(1000 as decimal(38, 0)) * a * n) div (cast(c.l as decimal(20, 0)) * c.r) as long) as score, c.k as k, c.l as l, c.r as r)))"))
     order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -78,6 +78,23 @@ def test_phrases_as_plain_counts(spark, monkeypatch, fan):
     assert collocations.mine(docs(spark), least=10**9).collect() == []
 
 
+def test_phrases_are_the_same_whatever_the_partitions(spark):
+    """Joins of wide and of narrow rows, which Spark cuts into other partitions, agree on what a row is."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 40) % 50), ["en", "fr", None][i % 3], "s", 0) for i in range(600)]
+    want = phrases_plainly([(r[1], r[2]) for r in rows], 5, 10**6)
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1000",
+             "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        got = collocations.mine(docs(spark, rows), least=5, top=10**6).collect()
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+    assert key(got) == key(want) and len(want) > 500
+
+
 # --- whitening -----------------------------------------------------------------
 @pytest.mark.parametrize("values", [np.linspace(1, 9, 24), [5, 5, 5, 1, 1, 0.5, 0, 0], [1e9, 1, 1e-2, 1e-3], [3], np.ones(20), np.geomspace(1, 1e-9, 30)])
 def test_slices_hold_the_leading_eigenpairs(values):
