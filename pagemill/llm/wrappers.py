@@ -7,9 +7,10 @@ become slots. The wrapper's region of the main text is the article (or main) ele
 element whose slots hold most text for their links; parts that pages mark as menus, notices, adverts,
 comments and the like are no part of it.
 
-The texts at the paths of the region are taken, each block as a paragraph, and those of the page's own
-region, which its template's fixed texts don't count for. Articles that hold text are the region of
-every page of a signature, so only pages without one wait for the wrapper.
+Every page goes through its wrapper: a first pass reads it into its expression and its blocks of text
+with their paths, and the blocks at the paths of the wrapper's region are the main text. A signature's pages
+have the articles that hold text at the same paths; where there are none, the page's own region counts
+too, without its template's fixed texts.
 """
 
 from __future__ import annotations
@@ -272,15 +273,18 @@ def has_text(node: list) -> bool:
 
 
 def signature(wrapper: list) -> str:
-    """A digest of the paths of the containers that hold text."""
+    """A digest of the paths of the containers, articles and main elements that hold text (of articles the outermost)."""
     found = set()
 
     def walk(node, path):
         if node[0] == "#text" or node[2]:
             return
         path = (*path, node[0])
-        if node[0].split(".")[0] in CONTAINERS and slots_size(node):
+        tag = node[0].split(".")[0]
+        if (tag in CONTAINERS or tag in ("article", "main")) and slots_size(node):
             found.add(path)
+            if tag == "article":
+                return
         for c in node[3]:
             walk(c, path)
 
@@ -348,29 +352,69 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def place(path: list[str]) -> str:
+    """A path as text; a path's text begins with those of the elements around it."""
+    return "".join(json.dumps(kind) + "," for kind in path)
+
+
+def placed_blocks(root: Element) -> tuple[list[str], list[str]]:
+    """Places and texts of a page's blocks, in page order, without dropped parts."""
+    places, texts, held = [], [], []
+
+    def end(at: str) -> None:
+        flush(texts, held)
+        places.extend([at] * (len(texts) - len(places)))
+
+    def walk(e: Element, at: str) -> None:
+        for c in e.children:
+            if isinstance(c, str):
+                held.append(c)
+            elif c.dropped:
+                held.append(" ") if c.tag in INLINE else end(at)
+            elif c.tag == "br":
+                held.append(" ")
+            elif c.tag in INLINE:
+                walk(c, at)
+            else:
+                end(at)
+                inner = at + place([kind_of(c)])
+                walk(c, inner)
+                end(inner)
+
+    at = place([kind_of(root)])
+    walk(root, at)
+    end(at)
+    return places, texts
+
+
+def cut(places: list[str], texts: list[str], paths: list[list[str]]) -> str:
+    """The blocks at the paths."""
+    heads = tuple(map(place, paths))
+    return "\n\n".join(text for at, text in zip(places, texts) if at.startswith(heads))
+
+
 def read_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, text, and of pages whose region no article decides also html, signature, expression.
+    """page_id, url, host, signature, expression, places, texts of every page (empty ones: null from signature on).
 
-    The expression (JSON, digests for long texts) is the page's own.
+    The expression (JSON, digests for long texts) is the page's own; places and texts are its blocks.
     """
 
     def read(batches):
         for batch in batches:
             rows = []
             for page in batch["html"].tolist():
-                tree = parse(page) if page else None
-                own = expression(tree) if page else None
-                paths = region(own) if page else []
-                if not page or by_articles(paths):
-                    rows.append((apply(tree, paths) if page else "", None, None, None))
-                else:
-                    rows.append(("", page, signature(own), json.dumps(short(own))))
-            read_ = pd.DataFrame(rows, columns=["text", "html", "signature", "expression"])
+                if not page:
+                    rows.append((None, None, None, None))
+                    continue
+                tree = parse(page)
+                own = expression(tree)
+                rows.append((signature(own), json.dumps(short(own)), *placed_blocks(tree)))
+            read_ = pd.DataFrame(rows, columns=["signature", "expression", "places", "texts"])
             yield pd.concat([batch[["page_id", "url", "host"]].astype({"page_id": "Int64"}).reset_index(drop=True), read_], axis=1)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
     path = shared_path(pages.sparkSession, "pages-read")
-    rows.mapInPandas(read, "page_id long, url string, host string, text string, html string, signature string, expression string").write.parquet(path)
+    rows.mapInPandas(read, "page_id long, url string, host string, signature string, expression string, places array<string>, texts array<string>").write.option("compression", "zstd").parquet(path)
     return pages.sparkSession.read.parquet(path)
 
 
@@ -406,11 +450,12 @@ def infer_wrappers(read: DataFrame) -> DataFrame:
     return some.groupBy("host", "signature").applyInPandas(whole, "host string, signature string, paths string, fixed string")
 
 
-def page_text(page: str, own: list, paths: list[list[str]], fixed: set[str]) -> str:
-    """The main text of a page that no article decides, by its wrapper's region and its own."""
-    tree = parse(page)
+def page_text(places: list[str], texts: list[str], own: list, paths: list[list[str]], fixed: set[str]) -> str:
+    """The main text of a page by its wrapper's region, and by its own where no article decides."""
+    if by_articles(paths):
+        return cut(places, texts, paths)
     every = [*paths, *region(without(own, fixed)), *articles_of_links(own)]
-    return apply(tree, every) or apply(tree, region(own)) or ""
+    return cut(places, texts, every) or cut(places, texts, region(own))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -423,12 +468,17 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     read = read_pages(pages)
     wrappers = checkpointed(infer_wrappers(read))
-    done = read.where(F.col("signature").isNull()).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    done = read.where(F.col("signature").isNull()).select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars"))
     rest = read.where(F.col("signature").isNotNull()).join(F.broadcast(wrappers) if wrappers.count() <= BROADCAST_HOSTS else wrappers, ["host", "signature"])
 
     def texts(batches):
         for batch in batches:
-            out = [page_text(page, json.loads(own), json.loads(paths), set(json.loads(fixed))) for page, own, paths, fixed in zip(batch["html"], batch["expression"], batch["paths"], batch["fixed"])]
+            known = {}  # a batch has few wrappers
+            out = []
+            for places, words, own, paths, fixed in zip(batch["places"], batch["texts"], batch["expression"], batch["paths"], batch["fixed"]):
+                if (paths, fixed) not in known:
+                    known[paths, fixed] = json.loads(paths), set(json.loads(fixed))
+                out.append(page_text(places, words, json.loads(own), *known[paths, fixed]))
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": out, "n_chars": [len(t) for t in out]})
 
-    return done.unionByName(rest.select("page_id", "url", "html", "expression", "paths", "fixed").mapInPandas(texts, "page_id long, url string, text string, n_chars long"))
+    return done.unionByName(rest.select("page_id", "url", "places", "texts", "expression", "paths", "fixed").mapInPandas(texts, "page_id long, url string, text string, n_chars long"))

@@ -126,6 +126,19 @@ def test_templates_beyond_eight_pages_keep_their_text(spark):
     assert {r["page_id"]: r["text"] for r in wrappers.extract_main_text(frame.repartition(7, "url")).collect()} == want
 
 
+def test_articles_come_by_their_wrapper(spark):
+    """Pages with an article have wrappers like all others, and it is their region that is cut."""
+    page = "<html><body><div class='top'>site</div><span><div class='in'><article class='a'><h1>T{i}</h1><p>one {i}</p></article></div></span></body></html>"
+    rows = [(i, "http://c.example/", page.replace("{i}", str(i))) for i in range(9)] + [(9, "http://c.example/", "<body><main><p>m</p></main></body>"), (10, None, "")]
+    read = wrappers.read_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert read.where("signature IS NOT NULL AND expression IS NOT NULL").count() == 10
+    found = {r["paths"] for r in wrappers.infer_wrappers(read).collect()}
+    assert found == {'[["html", "body", "div.in", "article.a"]]', '[["html", "body", "main"]]'}
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {**{i: f"T{i}\n\none {i}" for i in range(9)}, 9: "m", 10: ""}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_top_k_cases(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "BLOCK", 16)
     rng = np.random.default_rng(3)
