@@ -8,29 +8,13 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.session import ensure_checkpoint_dir
-
-#: Rows of one Arrow batch handed to a Python worker; texts can be long, so batches stay short.
-BATCH_ROWS = 500
-#: Bytes of one batch where rows may be large (a larger row comes alone).
-BATCH_BYTES = 16 << 20
+from pagemill.session import bounded_batches, ensure_checkpoint_dir, small_batches  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers by the rows of a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers by the rows and the bytes of a batch."""
-    small_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the checkpoint folder, which the driver and all executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

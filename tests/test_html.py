@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from oracles.html import clean_pages_duck
+from pagemill.operators.tokens import with_tree
 from pagemill.options import COMMONMARK, DEFAULT, Rule
 from pagemill.plans.clean import clean_pages
 
@@ -177,3 +178,18 @@ def test_rules_of_options(spark):
     assert clean_pages(frame, DEFAULT.with_(rules=DEFAULT.rules + more)).first().markdown == "==m== <b>b</b> ~s~\n\n-   [x] t\n\n| a | b |\n| --- | --- |"
     assert clean_pages(frame, DEFAULT.with_(rules=COMMONMARK)).first().markdown == "m **b** s u\n\n-   t\n\na b"
     assert clean_pages(frame, DEFAULT.with_(rules=COMMONMARK + (Rule("plain", ("b",)),))).first().markdown == "m b s u\n\n-   t\n\na b"
+
+
+def test_page_arrays_are_made_in_bounded_batches(spark):
+    """A Python worker holds the arrays of one batch of pages, however many a partition has; a lower bound stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(3000).selectExpr("id AS page_id", "'http://a.example/' AS url", "concat('<p>', id, '</p>') AS html")
+    try:
+        for held, most in (("10000", 500), ("0", 500), ("7", 7)):
+            spark.conf.set(name, held)
+            pages = with_tree(rows)
+            assert int(spark.conf.get(name)) == most
+            assert pages.where("size(tokens) = 3").count() == 3000
+    finally:
+        spark.conf.set(name, before)
