@@ -10,7 +10,8 @@ below the threshold; what is left is confirmed on the full sets.
 
 Equal sets are one class and are never paired. Within a band's bucket, members are linked to one
 centre, not to each other; only pairs that the found components leave apart are tried besides, so
-every link that could join two components is confirmed or refuted.
+every link that could join two components is confirmed or refuted. In large buckets those are many, so
+there the full sets travel to the blocks of members and are compared in them: only links come out, not pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, short_lived_shuffles, small_batches
+from .common import bounded_batches, checkpointed, short_lived_shuffles, small_batches
 from .components import components
 
 BUCKETS, MANTISSA, BAND = 256, 10, 6
@@ -33,6 +34,10 @@ PERCENT = 80
 CACHE = 400_000
 #: Members of a bucket that are held against each other at once.
 BLOCK = 1024
+#: Buckets of at least this many members in several components are compared by full sets.
+LARGE = 256
+#: Shingles of the sets that are compared at once, about (8 bytes each).
+SET_BLOCK = 1 << 21
 #: Sets of fewer shingles are always read: their registers repeat too few hashes for an estimate.
 TINY = 8
 #: Keys of texts up to this many are broadcast (24 bytes each); more are joined by shuffle.
@@ -199,25 +204,66 @@ def unpacked(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([low & 15, low >> 4], axis=2).reshape(len(sketches), BUCKETS), np.ascontiguousarray(flat[:, BUCKETS // 2 :]).view("<u2")
 
 
-def apart_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """a, b: likely pairs that share a band but no component.
+def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """id, hashes (8 bytes each, in order) of the classes with these ids."""
+    def hashed(batches):
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "hashes": [shingles(t, k).tobytes() for t in batch["text"]]})
+
+    keys = checkpointed(classes.join(ids, "id", "left_semi").select("id", "text_key"))
+    texts = docs.select(text_key().alias("text_key"), "text")
+    texts = texts.join(F.broadcast(keys.select("text_key")) if keys.count() <= BROADCAST_KEYS else keys.select("text_key"), "text_key", "left_semi")
+    texts = texts.groupBy("text_key").agg(F.first("text").alias("text"))
+    return checkpointed(keys.join(texts, "text_key").select("id", "text").mapInPandas(hashed, "id long, hashes binary"))
+
+
+class Sets:
+    """Sets of hashes, one behind the other."""
+
+    def __init__(self, sets: list[bytes]):
+        self.sizes = np.array([len(x) // 8 for x in sets])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.values, self.codes = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+
+    def linked(self, other: bytes, percent: int) -> np.ndarray:
+        """Whether each set is linked with another."""
+        theirs = np.frombuffer(other, np.uint64)
+        at = np.minimum(np.searchsorted(self.values, theirs), len(self.values) - 1)
+        held = np.zeros(len(self.values), np.int64)
+        held[at[self.values[at] == theirs]] = 1
+        both = np.add.reduceat(held[self.codes], self.starts)
+        return 100 * both >= percent * (self.sizes + len(theirs) - both)
+
+
+def apart_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b, sure: pairs that share a band but no component, likely ones and links (sure).
 
     Of a bucket whose members lie in several components, the members outside the most frequent one
     are held against all members, in blocks of at most BLOCK by BLOCK, by 4 bits of each register.
-    Pairs well below the threshold are not returned, others at the first band they share.
+    Pairs well below the threshold are not returned, others at the first band they share. In buckets of
+    LARGE members and more the full sets are compared, and of an outer member's links one with each
+    component is returned.
     """
-    small_batches(members.sparkSession)
+    bounded_batches(members.sparkSession)
     placed = checkpointed(labelled(members.select("band", "at", "id"), "id", roots, "root"))
     several = (
-        placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
-        .agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("main")).where("roots > 1")
-        .select("band", F.col("main.root").alias("main"), F.ceil(F.col("all") / BLOCK).alias("nx"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).alias("ny"))
+        placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("some")).groupBy("band")
+        .agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("main"), F.min("some").alias("some")).where("roots > 1")
+        .withColumn("out", F.col("all") - F.col("main.n")).withColumn("large", F.col("all") >= LARGE)
     )
+    # sizes of a bucket's sets lie in two adjacent cells, so one member's bounds the others'
+    one = classes.select(F.col("id").alias("some"), (F.col("n") * (100.01 / percent) ** 2 / SET_BLOCK).alias("load"))
+    blocks = lambda n: F.ceil(F.greatest(F.col(n) / BLOCK, F.when(F.col("large"), F.col(n) * F.col("load")).otherwise(0.0)))
+    several = checkpointed(several.join(one, "some").select("band", F.col("main.root").alias("main"), "large", blocks("all").alias("nx"), blocks("out").alias("ny")))
     inside = placed.join(several, "band")
     make = F.pandas_udf(lambda r: pd.Series([sketch(x) for x in r]), "binary")
     ids = inside.select("id").distinct()
     sketches = checkpointed(classes.join(ids, "id", "left_semi").select("id", "n", make("registers").alias("sketch")))
-    inside = inside.join(sketches, "id")
+    hashes = F.lit(None).cast("binary")
+    if not several.where("large").isEmpty():
+        sketches = sketches.join(full_sets(inside.where("large").select("id").distinct(), classes, docs, k), "id", "left")
+        hashes = F.when(F.col("large"), F.col("hashes"))
+    inside = inside.join(sketches, "id").withColumn("hashes", hashes)
     deal = lambda n: F.pmod(F.xxhash64("id", "band"), n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     one = inside.withColumn("x", deal(F.col("nx"))).withColumn("y", every("ny")).withColumn("outer", F.lit(False))
@@ -234,17 +280,25 @@ def apart_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, percen
         at, main = int(held["at"].iloc[0]), int(held["main"].iloc[0])
         xid, xroot, xn = (xs[c].to_numpy() for c in ("id", "root", "n"))
         a, b = [], []
-        for row, row_bands, yid, yroot, yn in zip(y, yband, ys["id"], ys["root"], ys["n"]):
+        sure = bool(held["large"].iloc[0])
+        sets = Sets(xs["hashes"].tolist()) if sure else None
+        for row, row_bands, yid, yroot, yn, ysets in zip(y, yband, ys["id"], ys["root"], ys["n"], ys["hashes"]):
             maybe = np.flatnonzero((xroot != yroot) & ((xroot == main) | (xid < yid)) & (100 * np.minimum(xn, yn) >= percent * np.maximum(xn, yn)))
             if not len(maybe):
                 continue
+            if sure:
+                maybe = maybe[sets.linked(ysets, percent)[maybe]]
+                maybe = maybe[np.unique(xroot[maybe], return_index=True)[1]]
+                a += [yid] * len(maybe)
+                b += xid[maybe].tolist()
+                continue
             same = x[maybe] == row
             near = ((same.mean(axis=1) - chance_) / (1 - chance_) >= floor) | (np.minimum(xn[maybe], yn) < TINY)
             shared = (xband[maybe, :at] == row_bands[:at]) & same[:, : at * BAND].reshape(len(maybe), at, BAND).all(axis=2)
             near &= ~shared.any(axis=1)  # else an earlier band's bucket returns it
             a += [yid] * int(near.sum())
             b += xid[maybe[near]].tolist()
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}) if a else None
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure}) if a else None
 
     def groups(batches):
         rest = None
@@ -261,7 +315,7 @@ def apart_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, percen
         if rest is not None and len(rest) > 1 and (out := compare(rest)) is not None:
             yield out
 
-    return both.select("band", "x", "y", "outer", "at", "main", "id", "root", "n", "sketch").mapInPandas(groups, "a long, b long").distinct()
+    return both.select("band", "x", "y", "outer", "at", "main", "id", "root", "n", "sketch", "large", "hashes").mapInPandas(groups, "a long, b long, sure boolean").distinct()
 
 
 def labelled(rows: DataFrame, node: str, roots: DataFrame, label: str) -> DataFrame:
@@ -310,9 +364,9 @@ def set_components(signs: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     roots = components(links)
 
     # Then every pair of a bucket that the components leave apart and no star has tried.
-    cross = apart_pairs(members, classes, roots, percent).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    last = confirm(checkpointed(cross), classes, docs, k, percent)
-    roots = components(links.unionByName(last.where("linked").select("a", "b")))
+    cross = checkpointed(apart_pairs(members, classes, roots, docs, k, percent).join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+    last = confirm(cross.where("NOT sure").select("a", "b"), classes, docs, k, percent)
+    roots = components(links.unionByName(last.where("linked").select("a", "b")).unionByName(cross.where("sure").select("a", "b")))
 
     found = labelled(classes.select("id", "low", "set_key"), "id", roots, "root")
     lows = found.groupBy("root").agg(F.min("low").alias("component_id"))

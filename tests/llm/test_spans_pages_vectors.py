@@ -174,3 +174,34 @@ def test_near_duplicates_cases(spark):
     assert key(near_dedup.near_duplicates(frame, k=2).collect()) == key(want)
     assert near_dedup.near_duplicates(docs(spark, [])).collect() == []
     assert near_dedup.keep_one_of_each(clashing(spark)).columns == clashing(spark).columns
+
+
+def test_near_copies_below_the_threshold_are_not_paired_one_by_one(spark, monkeypatch):
+    """Many variants of one text that aren't linked: their bucket compares them, no join of all pairs does."""
+    monkeypatch.setattr(near_dedup, "LARGE", 16, raising=False)
+    monkeypatch.setattr(near_dedup, "SET_BLOCK", 4000, raising=False)
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    rng = np.random.default_rng(7)
+    texts = []
+    for v in range(150):
+        words = [f"w{i}" for i in range(200)]
+        for at in rng.choice(200, 8, replace=False):
+            words[at] = f"v{v}x{at}"
+        texts.append(" ".join(words))
+    for v in (3, 70, 149):  # a link of each with its source
+        texts += [texts[v].replace("w1 ", "w1 extra ", 1), texts[v].replace("w190 ", "w190 more ", 1)]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    sets = [set(zip(w, w[1:])) for w in (t.split() for t in texts)]
+    ids = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and ids[i] != ids[j]:
+                low, high = sorted((ids[i], ids[j]))
+                ids = [low if x == high else x for x in ids]
+    pairs = []
+    confirm = near_dedup.confirm
+    monkeypatch.setattr(near_dedup, "confirm", lambda p, *rest: (pairs.append(p.count()), confirm(p, *rest))[1])
+    got = near_dedup.near_duplicates(docs(spark, rows), k=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(ids)) and len(set(ids)) < len(ids)
+    assert sum(pairs) < 5000  # of 12,090
