@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterable
 
 #: Entries of a worker's two caches; a full cache is emptied, so memory stays bounded.
-CHUNKS, WORDS = 250_000, 400_000
+CHUNKS, WORDS = 500_000, 500_000
 
 # The splitter of the vocabulary file after lower-casing, for the characters of PLAIN.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -31,10 +31,11 @@ class _Words(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.model, self.letters = tokenizer.model, byte_letters()
+        self.written = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
     def __missing__(self, word: str) -> bytes:
         written = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-        ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(written))
+        ids = b"".join([self.written[t.id] for t in self.model.tokenize(written)])
         if len(self) >= WORDS:
             self.clear()
         self[word] = ids
@@ -47,7 +48,11 @@ class _Chunks(dict):
         self.tokenizer, self.words = tokenizer, _Words(tokenizer)
 
     def __missing__(self, chunk: str) -> bytes:
-        if PLAIN.fullmatch(chunk) and "<|" not in chunk:
+        if chunk.isascii() and chunk.isalpha():  # one word
+            ids = self.words[chunk.lower()]
+        elif chunk.isascii() and chunk[:-1].isalpha() and chunk[-1] in ".,":  # and a mark
+            ids = self.words[chunk[:-1].lower()] + self.words[chunk[-1]]
+        elif PLAIN.fullmatch(chunk) and "<|" not in chunk:
             ids = b"".join(map(self.words.__getitem__, SPLIT.findall(chunk.lower())))
         else:
             ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(chunk, add_special_tokens=False).ids)

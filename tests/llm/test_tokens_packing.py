@@ -35,6 +35,16 @@ def test_ids_of_whole_tables(spark, sf001):
         assert as_list(tokens.encode(text, PATH, 2)) == expected_ids(text)
 
 
+def test_plain_words_need_no_splitter(monkeypatch):
+    """A new word, with or without a mark behind it, goes to the merges at once."""
+    tokens._loaded.clear()
+    text = "Plainly spoken, newwords Qzxv. ABC"
+    want = expected_ids(text)
+    monkeypatch.setattr(tokens, "SPLIT", None)
+    assert as_list(tokens.encode(text, PATH, 2)) == want
+    tokens._loaded.clear()
+
+
 def test_full_caches_are_emptied(monkeypatch):
     monkeypatch.setattr(tokens, "CHUNKS", 5)
     monkeypatch.setattr(tokens, "WORDS", 5)
