@@ -4,19 +4,21 @@ Documents are read once into shards (a few megabytes of one language): word numb
 with their counts. Words that are frequent enough get ids in the order of (language, word). Each shard
 builds a count transducer of its bigrams of frequent words from their sorted rows, cut into cells: a
 cell holds the phrases whose first and second words lie in given ranges of ids. Cells are united and summed, a
-bounded number of shards at a time, and phrases below the least count go. Each shard is told which of its
+bounded number of shards at a time, and phrases below the least count go. A shard is cut into a few wide cells; what
+is united is cut into finer ones, in the end of about ``CELL`` words of the documents each, so that a cell is no
+larger where there are more documents. Each shard is told which of its
 bigrams stayed, and the same is done with its phrases of three to five words all of whose
 bigrams did (a phrase is never more frequent than its parts). The parts of a candidate are then looked
 up in the transducers of the parts' cells, cell by cell.
 
-No task holds more than one shard, ``FAN`` pieces of a cell or one cell; nothing is broadcast. The
-driver holds the cells' bounds.
+No task holds more than one shard or about twice the phrases of one cell; nothing is broadcast. The driver holds the cells' bounds.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,8 @@ from .wordarrays import byte_classes, column, segments, split
 LEAST, TOP, LONGEST = 100, 2000, 5
 PIECES = byte_classes(breaks=".,;:!?\n\x0b\x0c\r", blanks=" \t")
 SHARD_BYTES, FAN = 8 << 20, 32
+#: Words of the documents to a cell, and candidates whose parts are looked up or written at once.
+CELL, CANDIDATES = 1 << 20, 1 << 14
 SHARDS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("tokens", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
@@ -58,11 +62,13 @@ def _shards(table: pa.Table) -> Iterator[dict]:
         mine = np.flatnonzero(lang_of == k)
         if not len(mine):
             continue
-        used, local, counts = np.unique(ids[mine], return_inverse=True, return_counts=True)
+        counts = np.bincount(ids[mine], minlength=len(coded.dictionary))
+        used = np.flatnonzero(counts)
+        local = np.cumsum(counts > 0, dtype=np.int32)
         begins = found.begins[mine]
         tokens = np.zeros(len(mine) + int(begins.sum()), np.int32)
-        tokens[np.arange(len(mine)) + np.cumsum(begins)] = local + 1
-        yield {"lang": lang, "tokens": _small(tokens), "words": coded.dictionary.take(pa.array(used)).cast(pa.large_string()).to_pylist(), "counts": counts.tolist()}
+        tokens[np.arange(len(mine)) + np.cumsum(begins)] = local[ids[mine]]
+        yield {"lang": lang, "tokens": _small(tokens), "words": coded.dictionary.take(pa.array(used)).cast(pa.large_string()).to_pylist(), "counts": counts[used].tolist()}
 
 
 def read_shards(docs: DataFrame) -> DataFrame:
@@ -86,11 +92,13 @@ def _cells(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.searchsorted(bounds, grams[:, 0], side="right") * side + second
 
 
-def _cut(grams: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> tuple[list[int], list[bytes]]:
+def _cut(grams: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """The cells of the rows (in order) and the packed transducer of each."""
     cells = _cells(grams, bounds)
-    held = np.unique(cells).tolist()
-    return held, [Transducer.build(grams[cells == c], counts[cells == c]).pack() for c in held]
+    order = np.argsort(cells, kind="stable")
+    ends = np.flatnonzero(np.diff(cells[order])) + 1
+    for mine in np.split(order, ends) if len(order) else ():
+        yield int(cells[mine[0]]), Transducer.build(grams[mine], counts[mine]).pack()
 
 
 def _pairs(ranks: np.ndarray, base: int) -> np.ndarray:
@@ -133,17 +141,45 @@ def _longer(ranks: np.ndarray, alphabet: np.ndarray, pairs: np.ndarray) -> tuple
     return summed(np.concatenate(rows), np.concatenate(sums))
 
 
-def unite(pieces: DataFrame, shards: int, least: int) -> DataFrame:
+def unite(pieces: DataFrame, shards: int, least: int, levels: list[np.ndarray]) -> DataFrame:
     """cell, packed: the pieces (cell, shard, packed) of each cell united, at most about FAN at a time; phrases of
-    at least ``least``."""
-    def joined(frame: pd.DataFrame, least: int = 0) -> bytes:
-        return Transducer.union([Transducer.unpack(p) for p in frame["packed"]], least).pack()
+    at least ``least``. The pieces are in cells of the first of ``levels`` (bounds), after each union in those of the next."""
+    def united(frames: Iterator[pd.DataFrame], least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        return Transducer.united((Transducer.unpack(p) for frame in frames for p in frame["packed"]), least)
 
-    while shards > FAN:
+    def into(bounds: np.ndarray) -> Callable:
+        def some(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for cell, packed in _cut(*united(frames), bounds):
+                yield pd.DataFrame({"cell": [cell], "shard": [key[1]], "packed": [packed]})
+
+        return some
+
+    def last(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"cell": [key[0]], "packed": [Transducer.build(*united(frames, least)).pack()]})
+
+    for bounds in levels[1:]:
         shards = math.ceil(shards / FAN)
-        some = lambda key, g: pd.DataFrame({"cell": [key[0]], "shard": [key[1]], "packed": [joined(g)]})
-        pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(shards))).groupBy("cell", "shard").applyInPandas(some, "cell long, shard long, packed binary")
-    return pieces.groupBy("cell").applyInPandas(lambda key, g: pd.DataFrame({"cell": [key[0]], "packed": [joined(g, least)]}), "cell long, packed binary")
+        pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(shards))).groupBy("cell", "shard").applyInPandas(into(bounds), "cell long, shard long, packed binary")
+    return pieces.groupBy("cell").applyInPandas(last, "cell long, packed binary")
+
+
+def levels_of(words: DataFrame, least: int, shards: int) -> list[np.ndarray]:
+    """The bounds of the shards' cells, a few for each core, and of the cells after each union of FAN pieces until FAN
+    are left: of about CELL words of those shards that the next union brings together. Bounds part the ids into
+    ranges of about equal numbers of words, frequent words counting a few times."""
+    wide = math.ceil(math.sqrt(max(16, 2 * words.sparkSession.sparkContext.defaultParallelism)))
+    by_lang = words.groupBy("lang").agg(F.sum("count").cast("double").alias("n"))
+    total, squares = by_lang.agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+    sides, together = [wide], FAN
+    while together < shards:
+        together *= FAN
+        need = (total or 0) / CELL * min(1, together / shards)
+        # words of two languages make no phrase, so only the cells of one language's words hold any
+        sides.append(max(wide, math.ceil(min(need, math.sqrt(need * total * total / squares)))) if need else wide)
+    weight = (F.floor(F.log2(F.col("count") / least)) + 1).cast("int")
+    cuts = [F.percentile_approx("id", [k / side for k in range(1, side)], max(1000, 20 * side)).alias(str(side)) for side in sorted(set(sides))]
+    found = words.select(F.explode(F.array_repeat("id", weight)).alias("id")).agg(*cuts).first()
+    return [np.unique(np.array(found[str(side)] or [], np.int64)) for side in sides]
 
 
 def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
@@ -159,12 +195,9 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     # every word of a shard gets its answer; the frequent ones go back to the shard
     known = step(each.join(words.select("lang", "word", "id"), ["lang", "word"], "left"), rank=F.coalesce("id", F.lit(-1))).where("rank >= 0")
     held = checkpointed(known.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("id", "i"))).alias("m")).select("shard", F.col("m.id").alias("ids"), F.col("m.i").alias("at")))
-    side = math.ceil(math.sqrt(max(16, 2 * spark.sparkContext.defaultParallelism)))
-    # ranges of about equal numbers of words, frequent words counting a few times
-    weight = (F.floor(F.log2(F.col("count") / least)) + 1).cast("int")
-    quantiles = words.select(F.explode(F.array_repeat("id", weight)).alias("id")).agg(F.percentile_approx("id", [k / side for k in range(1, side)], 1000).alias("q")).first()["q"]
-    bounds = np.unique(np.array(quantiles or [], np.int64))
     total = held.count()
+    levels = levels_of(words, least, total)
+    wide, bounds = levels[0], levels[-1]
 
     def recode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -173,44 +206,52 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
                 rank = np.zeros(int(tokens.max(initial=0)) + 1, np.int32)
                 rank[at + 1] = np.arange(1, len(at) + 1)
                 ranks, alphabet = rank[tokens], np.asarray(row.ids, np.int64)
-                cells, packed = _cut(*_bigrams(ranks, alphabet), bounds)
-                yield pd.DataFrame({"shard": [row.shard], "ranks": [_small(ranks)], "alphabet": [alphabet.tobytes()], "cells": [cells], "packed": [packed]})
+                pieces = list(_cut(*_bigrams(ranks, alphabet), wide))
+                yield pd.DataFrame({"shard": [row.shard], "ranks": [_small(ranks)], "alphabet": [alphabet.tobytes()], "cells": [[c for c, _ in pieces]], "packed": [[p for _, p in pieces]]})
 
     path = shared_path(spark, "phrase-bigrams")
     shards.select("shard", "tokens").join(held, "shard").mapInPandas(recode, "shard long, ranks binary, alphabet binary, cells array<long>, packed array<binary>").write.option("compression", "zstd").parquet(path)
     coded = spark.read.parquet(path)
     pieces = coded.select("shard", F.explode(F.arrays_zip("cells", "packed")).alias("p")).select("shard", F.col("p.cells").alias("cell"), F.col("p.packed").alias("packed"))
-    bigrams = checkpointed(unite(pieces, total, least))
+    bigrams = checkpointed(unite(pieces, total, least, levels))
+
+    def widened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                for cell, packed in _cut(*Transducer.unpack(row.packed).paths(), wide):
+                    yield pd.DataFrame({"cell": [cell], "shard": [row.cell], "packed": [packed]})
 
     def stayed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        data, kept = None, None
         for frame in frames:
             for row in frame.itertuples():
-                grams, _ = Transducer.unpack(row.packed).paths()
-                grams = grams[Transducer.unpack(row.kept).weigh(grams) > 0] if grams.shape[1] == 2 else grams[:0]
+                if data != row.kept:
+                    data, kept = row.kept, Transducer.unpack(row.kept)
+                grams, _ = Transducer.unpack(row.packed).rows()
+                grams = grams[kept.weigh(grams) > 0] if grams.shape[1] == 2 else grams[:0]
                 if len(grams):
                     yield pd.DataFrame({"shard": [row.shard], "pairs": [grams.tobytes()]})
 
-    told = pieces.join(bigrams.select("cell", F.col("packed").alias("kept")), "cell").mapInPandas(stayed, "shard long, pairs binary").groupBy("shard").agg(F.collect_list("pairs").alias("pairs"))
+    again = bigrams if np.array_equal(bounds, wide) else checkpointed(unite(bigrams.mapInPandas(widened, "cell long, shard long, packed binary"), 1, least, [wide]))
+    told = pieces.join(again.select("cell", F.col("packed").alias("kept")), "cell").mapInPandas(stayed, "shard long, pairs binary").groupBy("shard").agg(F.collect_list("pairs").alias("pairs"))
 
     def lengthen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
                 pairs = np.frombuffer(b"".join(row.pairs), np.int64).reshape(-1, 2)
-                cells, packed = _cut(*_longer(_large(row.ranks), np.frombuffer(row.alphabet, np.int64), pairs), bounds)
-                yield pd.DataFrame({"cell": cells, "shard": row.shard, "packed": packed}, columns=["cell", "shard", "packed"])
+                for cell, packed in _cut(*_longer(_large(row.ranks), np.frombuffer(row.alphabet, np.int64), pairs), wide):
+                    yield pd.DataFrame({"cell": [cell], "shard": [row.shard], "packed": [packed]})
 
-    longer = unite(coded.select("shard", "ranks", "alphabet").join(told, "shard").mapInPandas(lengthen, "cell long, shard long, packed binary"), total, least)
+    longer = unite(coded.select("shard", "ranks", "alphabet").join(told, "shard").mapInPandas(lengthen, "cell long, shard long, packed binary"), total, least, levels)
 
     def single(key, g):
         grams, counts = summed(g[["id"]].to_numpy("int64"), g["count"].to_numpy("int64"))
         return pd.DataFrame({"cell": [key[0] * (len(bounds) + 1)], "packed": [Transducer.build(grams, counts).pack()]})
 
-    place = F.lit(0).cast("long")
-    for b in bounds.tolist():
-        place = place + (F.col("id") >= b).cast("long")
+    place = F.size(F.filter(F.lit(bounds.tolist()).cast("array<long>"), lambda b: b <= F.col("id"))).cast("long")
     ones = words.groupBy(place.alias("cell")).applyInPandas(single, "cell long, packed binary")
     every = ones.unionByName(bigrams).unionByName(longer)
-    return words, checkpointed(unite(every.withColumn("shard", F.lit(0).cast("long")), 1, least)), totals, bounds
+    return words, checkpointed(unite(every.withColumn("shard", F.lit(0).cast("long")), 1, least, [bounds])), totals, bounds
 
 
 def _parts(grams: np.ndarray) -> list[np.ndarray]:
@@ -237,17 +278,25 @@ def compose(cells: DataFrame, bounds: np.ndarray) -> DataFrame:
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                parts = np.concatenate(_parts(_candidates(row.packed)[0]))
-                slots = np.flatnonzero(parts[:, 0] >= 0)
-                to = np.where(parts[slots, 1] >= 0, _cells(parts[slots], bounds), _cells(parts[slots, :1], bounds))
-                for cell in np.unique(to).tolist():
-                    mine = slots[to == cell]
-                    yield pd.DataFrame({"asks": [row.cell], "cell": [cell], "slots": [mine.tobytes()], "parts": [parts[mine].tobytes()]})
+                grams = _candidates(row.packed)[0]
+                for at in range(0, len(grams), CANDIDATES):
+                    some = grams[at : at + CANDIDATES]
+                    parts = np.concatenate(_parts(some))
+                    held = np.flatnonzero(parts[:, 0] >= 0)
+                    parts = parts[held]
+                    slots = held // len(some) * len(grams) + at + held % len(some)
+                    to = np.where(parts[:, 1] >= 0, _cells(parts, bounds), _cells(parts[:, :1], bounds))
+                    order = np.argsort(to, kind="stable")
+                    for mine in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                        yield pd.DataFrame({"asks": [row.cell], "cell": [int(to[mine[0]])], "slots": [slots[mine].tobytes()], "parts": [parts[mine].tobytes()]})
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        data, held = None, None
         for frame in frames:
             for row in frame.itertuples():
-                weights = Transducer.unpack(row.packed).weigh(np.frombuffer(row.parts, np.int64).reshape(-1, LONGEST))
+                if data != row.packed:
+                    data, held = row.packed, Transducer.unpack(row.packed)
+                weights = held.weigh(np.frombuffer(row.parts, np.int64).reshape(-1, LONGEST))
                 yield pd.DataFrame({"cell": [row.asks], "slots": [row.slots], "weights": [weights.tobytes()]})
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,14 +307,15 @@ def compose(cells: DataFrame, bounds: np.ndarray) -> DataFrame:
                 for slots, weights in zip(row.slots, row.weights):
                     found[np.frombuffer(slots, np.int64)] = np.frombuffer(weights, np.int64)
                 found = found.reshape(LONGEST - 1, 2, len(grams))
-                ids, cuts, hides = [], [], []
-                for i, (gram, a) in enumerate(zip(grams.tolist(), counts.tolist())):
-                    words = [w for w in gram if w >= 0]
-                    size = len(words)
-                    ids.append(words)
-                    cuts.append([{"k": k, "l": int(found[k - 1, 0, i]), "r": int(found[k - 1, 1, i])} for k in range(1, size)])
-                    hides.append([p for p, f in ((words[:-1], found[size - 2, 0, i]), (words[1:], found[0, 1, i])) if size > 2 and a >= f])
-                yield pd.DataFrame({"ids": ids, "a": counts, "cuts": cuts, "hides": hides})
+                for at in range(0, len(grams), CANDIDATES):
+                    ids, cuts, hides, some = [], [], [], counts[at : at + CANDIDATES]
+                    for i, (gram, a) in enumerate(zip(grams[at : at + CANDIDATES].tolist(), some.tolist()), at):
+                        words = [w for w in gram if w >= 0]
+                        size = len(words)
+                        ids.append(words)
+                        cuts.append([{"k": k, "l": int(found[k - 1, 0, i]), "r": int(found[k - 1, 1, i])} for k in range(1, size)])
+                        hides.append([p for p, f in ((words[:-1], found[size - 2, 0, i]), (words[1:], found[0, 1, i])) if size > 2 and a >= f])
+                    yield pd.DataFrame({"ids": ids, "a": some, "cuts": cuts, "hides": hides})
 
     asked = cells.mapInPandas(ask, "asks long, cell long, slots binary, parts binary").join(cells, "cell")
     answers = asked.mapInPandas(answer, "cell long, slots binary, weights binary").groupBy("cell").agg(F.collect_list(F.struct("slots", "weights")).alias("x"))

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
+from functools import cached_property
 
 import numpy as np
 
+#: Rows that are summed together, unless those that they are added to are more.
+PORTION = 1 << 19
+
 
 def _runs(changed: np.ndarray) -> np.ndarray:
     return np.cumsum(changed) - 1
@@ -20,6 +25,17 @@ def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return grams[first], np.add.reduceat(counts, np.flatnonzero(first)) if len(grams) else counts
 
 
+def _added(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of several tables of rows, which need not be equally wide; the list is emptied."""
+    width, size = max(g.shape[1] for g, _ in rows), sum(len(c) for _, c in rows)
+    grams, counts, at = np.full((size, width), -1, np.int64), np.empty(size, np.int64), 0
+    while rows:
+        some, n = rows.pop()
+        grams[at : at + len(n), : some.shape[1]], counts[at : at + len(n)] = some, n
+        at += len(n)
+    return summed(grams, counts)
+
+
 class Transducer:
     """States with arcs (label, target, weight) in order of their labels, and the weight at which a phrase
     may end in them (-1: none does). A phrase's count is the sum of the weights on its path and of
@@ -27,8 +43,15 @@ class Transducer:
 
     def __init__(self, first: np.ndarray, label: np.ndarray, target: np.ndarray, weight: np.ndarray, final: np.ndarray):
         self.first, self.label, self.target, self.weight, self.final = first, label, target, weight, final  # the root is the last state
-        self.alphabet, rank = np.unique(label, return_inverse=True)
-        self.keys = np.repeat(np.arange(len(final), dtype=np.int64), np.diff(first)) * max(1, len(self.alphabet)) + rank
+
+    @cached_property
+    def alphabet(self) -> np.ndarray:
+        return np.unique(self.label)
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        """State and label of each arc as one number, in order."""
+        return np.repeat(np.arange(len(self.final), dtype=np.int64), np.diff(self.first)) * max(1, len(self.alphabet)) + np.searchsorted(self.alphabet, self.label)
 
     @staticmethod
     def build(grams: np.ndarray, counts: np.ndarray) -> "Transducer":
@@ -92,6 +115,10 @@ class Transducer:
 
     def paths(self) -> tuple[np.ndarray, np.ndarray]:
         """All phrases in order, and their counts."""
+        return summed(*self.rows())
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """All phrases, shorter ones first, and their counts."""
         state, sums, grams, out = np.array([len(self.final) - 1]), np.zeros(1, np.int64), np.zeros((1, 0), np.int64), []
         while len(state):
             ends = self.final[state] >= 0
@@ -102,7 +129,7 @@ class Transducer:
             state, sums = self.target[arc], np.repeat(sums, size) + self.weight[arc]
         width = max(1, max(g.shape[1] for g, _ in out))
         grams = np.concatenate([np.pad(g, ((0, 0), (0, width - g.shape[1])), constant_values=-1) for g, _ in out])
-        return summed(grams, np.concatenate([c for _, c in out]))
+        return grams, np.concatenate([c for _, c in out])
 
     def weigh(self, grams: np.ndarray) -> np.ndarray:
         """Counts of the rows (-1 behind the end), 0 for phrases that it lacks: one step for each word."""
@@ -135,9 +162,22 @@ class Transducer:
         return Transducer(first, np.cumsum(steps)[rank], target, weight, final - 1)
 
     @staticmethod
-    def union(parts: list["Transducer"], least: int = 0) -> "Transducer":
-        """The phrases of all parts with their summed counts, of at least ``least``."""
-        grams, counts = zip(*(p.paths() for p in parts))
-        width = max(g.shape[1] for g in grams)
-        grams, counts = summed(np.concatenate([np.pad(g, ((0, 0), (0, width - g.shape[1])), constant_values=-1) for g in grams]), np.concatenate(counts))
-        return Transducer.build(grams[counts >= least], counts[counts >= least])
+    def united(parts: Iterable["Transducer"], least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases of all parts in order, with their summed counts, of at least ``least``. One part is taken
+        after another and summed up by portions, so never more than about twice the phrases of the sum are held."""
+        held, size, most = [], 0, PORTION
+        for part in parts:
+            held.append(part.rows())
+            size += len(held[-1][1])
+            if size >= most and len(held) > 1:
+                held = [_added(held)]
+                size = len(held[0][1])
+                most = size + max(PORTION, size)
+        if not held:
+            return np.zeros((0, 1), np.int64), np.zeros(0, np.int64)
+        grams, counts = _added(held)
+        return (grams, counts) if least <= 0 else (grams[counts >= least], counts[counts >= least])
+
+    @staticmethod
+    def union(parts: Iterable["Transducer"], least: int = 0) -> "Transducer":
+        return Transducer.build(*Transducer.united(parts, least))

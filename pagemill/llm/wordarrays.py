@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled together; a longer text is handled alone.
 SEGMENT_BYTES = 8 << 20
+#: Bytes of text that are cut into words at once; a longer text is cut alone.
+SPLIT_BYTES = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -40,12 +42,26 @@ class Words:
 
 
 def split(texts: pa.Array, classes: np.ndarray) -> Words:
-    """The words of the texts (null: none), A-Z in lower case."""
+    """The words of the texts (null: none), A-Z in lower case. Texts are cut a few at a time, so the work takes
+    little memory beside the words."""
     texts = pc.fill_null(texts, "").cast(pa.large_binary())
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
-    bounds = bounds - bounds[0]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    at, held = 0, []
+    while at < len(texts) or not held:
+        n = max(1, int(np.searchsorted(bounds, bounds[at] + SPLIT_BYTES, side="right")) - 1 - at) if len(texts) else 0
+        held.append(_cut(raw[bounds[at] : bounds[at + n]], bounds[at : at + n + 1] - bounds[at], at, classes))
+        at += n
+    letters, lengths, text, begins = (held[0][k] if len(held) == 1 else np.concatenate([h[k] for h in held]) for k in range(4))
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    return Words(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]), text, begins, len(texts))
+
+
+def _cut(raw: np.ndarray, bounds: np.ndarray, number: int, classes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The words of texts that lie one behind the other, the first of which is text ``number``: the bytes of all, the
+    length of each, its text and whether a piece begins with it."""
     raw = LOWER[raw]
     kind = classes[raw]
     inside = kind == 0
@@ -53,14 +69,11 @@ def split(texts: pa.Array, classes: np.ndarray) -> Words:
     first[bounds[:-1]] = True
     at = np.flatnonzero(inside & (first[:-1] | np.concatenate([[True], ~inside[:-1]])))
     stop = np.flatnonzero(inside & (np.concatenate([first[1:-1], [True]]) | np.concatenate([~inside[1:], [True]]))) if len(raw) else at
-    lengths = stop - at + 1
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
     text = np.searchsorted(bounds, at, side="right") - 1
     ends = np.searchsorted(np.flatnonzero(kind == 2), at)  # piece ends before each word
     begins = np.ones(len(at), bool)
     begins[1:] = (text[1:] != text[:-1]) | (ends[1:] != ends[:-1])
-    return Words(words, text, begins, len(texts))
+    return raw[inside], stop - at + 1, text + number, begins
 
 
 def segments(batches: Iterator[pa.RecordBatch], column: str, limit: int = SEGMENT_BYTES) -> Iterator[pa.Table]:

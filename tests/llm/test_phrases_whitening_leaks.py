@@ -1,5 +1,6 @@
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagemill.llm import collocations, decontamination, oracles_sql, whitening
+from pagemill.llm import collocations, decontamination, oracles_sql, transducer, whitening
 from pagemill.llm.transducer import Transducer, summed
 from tests.llm.cases import ROWS, clashing, docs, key
 
@@ -38,6 +39,23 @@ def test_equal_endings_share_states():
     assert len(t.final) == 4 and len(t.label) == 40
 
 
+def test_union_of_many_parts_holds_few_rows_at_once(monkeypatch):
+    monkeypatch.setattr(transducer, "PORTION", 20_000, raising=False)
+    grams = np.array([[a, b] for a in range(100) for b in range(100)], np.int64)
+    data = Transducer.build(grams, np.arange(1, 10_001)).pack()
+    wider = Transducer.build(np.array([[3, 4, 5]]), np.array([7])).pack()
+    tracemalloc.start()
+    try:
+        t = Transducer.union((Transducer.unpack(d) for d in [*[data] * 40, wider, *[data] * 40]), least=81)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 12 << 20  # 81 parts at once take 48 MB and more
+    got, counts = t.paths()
+    assert got.shape == (9_999, 2) and counts.tolist() == list(range(160, 800_001, 80))
+    assert Transducer.union([], least=1).paths()[1].tolist() == []
+
+
 def phrases_plainly(rows, least, top):
     f, n, out = {}, Counter(), []
     for text, lang in rows:
@@ -95,6 +113,22 @@ def test_phrases_are_the_same_whatever_the_partitions(spark):
     assert key(got) == key(want) and len(want) > 500
 
 
+def test_cells_are_finer_where_there_are_more_documents(spark, monkeypatch):
+    """A cell holds the phrases of about CELL words of the documents, however many documents there are."""
+    monkeypatch.setattr(collocations, "CELL", 250, raising=False)
+    monkeypatch.setattr(collocations, "FAN", 8)
+    monkeypatch.setattr(collocations, "SHARD_BYTES", 4000)
+    rng = np.random.default_rng(17)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 120, 40)), "en", "s", 0) for i in range(400)]
+    words, cells, _, bounds = collocations.phrases(docs(spark, rows), least=2)
+    sizes = [(Transducer.unpack(r["packed"]).paths()[0][:, 1:2] >= 0).sum() for r in cells.collect()]
+    cores = spark.sparkContext.defaultParallelism
+    assert words.count() == 120 and len(bounds) == max(8, int(np.ceil(np.sqrt(2 * cores)))) - 1  # 64 cells of 250 words, or two for each core
+    assert sum(sizes) > 3000 and max(sizes) < sum(sizes) / 20
+    want = phrases_plainly([(r[1], r[2]) for r in rows], 2, 50)
+    assert key(collocations.mine(docs(spark, rows), least=2, top=50).collect()) == key(want)
+
+
 # --- whitening -----------------------------------------------------------------
 @pytest.mark.parametrize("values", [np.linspace(1, 9, 24), [5, 5, 5, 1, 1, 0.5, 0, 0], [1e9, 1, 1e-2, 1e-3], [3], np.ones(20), np.geomspace(1, 1e-9, 30)])
 def test_slices_hold_the_leading_eigenpairs(values):
