@@ -1,6 +1,6 @@
 """Passages of a benchmark found in documents, by a distributed positional inverted index.
 
-The index has a segment for every few megabytes of documents: the segment's terms, and for each term
+The index has a segment for every two megabytes of documents: the segment's terms, and for each term
 the ascending list of its positions in the segment (every token is a posting; a term's postings lie
 spread over the segments, so no term makes a large group). It is written once to the shared folder
 and answers any number of benchmarks.
@@ -34,6 +34,8 @@ N = 10
 ROUND, PIECE = 1 << 17, 1 << 12
 #: Candidates of a segment that are held at once (unless one window has more: at most a segment's words).
 CANDIDATES = 1 << 21
+#: Bytes of text of a segment, and of an Arrow batch and a row group of the index (a larger segment has one of its own).
+SEGMENT, ROW_GROUP = 2 << 20, 4 << 20
 LETTERS = byte_classes(word="0123456789abcdefghijklmnopqrstuvwxyz")
 INDEX = "uids array<long>, doc_ids array<long>, n_words array<long>, terms binary, term_ends binary, ends binary, positions binary"
 SCHEMA = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.list_(pa.int64())) for c in INDEX.split(", ")])
@@ -59,15 +61,19 @@ def _segment(table: pa.Table) -> dict:
 def build_index(docs: DataFrame) -> DataFrame:
     """The index of the documents, written to the shared folder; they are read once."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, ROW_GROUP)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in segments(batches, "text"):
+        for table in segments(batches, "text", SEGMENT):
             yield pa.RecordBatch.from_pylist([_segment(table)], SCHEMA)
 
     path = shared_path(spark, "positional-index")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows.mapInArrow(index, INDEX).write.option("compression", "zstd").parquet(path)
+    written = rows.mapInArrow(index, INDEX).write.option("compression", "zstd")
+    # readers decode a row group at once: a segment or two each
+    for name, value in (("parquet.block.size", ROW_GROUP), ("parquet.page.size.row.check.min", 1), ("parquet.page.size.row.check.max", 1)):
+        written = written.option(name, str(value))
+    written.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -1,3 +1,4 @@
+import glob
 import hashlib
 import re
 import tracemalloc
@@ -5,11 +6,13 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagemill.llm import collocations, decontamination, oracles_sql, transducer, whitening
+from pagemill.llm import collocations, decontamination, oracles_sql, transducer, whitening, wordarrays
 from pagemill.llm.transducer import Transducer, summed
 from tests.llm.cases import ROWS, clashing, docs, key
 
@@ -221,6 +224,41 @@ def test_leaks_as_a_plain_search(spark, monkeypatch, small):
     assert not any(r["contaminated"] for r in decontamination.contamination(docs(spark, rows), benchmark.limit(0)).collect())
 
 
+def test_index_is_made_and_read_in_small_pieces(spark, tmp_path, monkeypatch):
+    """Segments and row groups are bounded by bytes; what cutting a text needs beside its words is bounded too."""
+    path = str(tmp_path / "index")
+    monkeypatch.setattr(decontamination, "shared_path", lambda *_: path)
+    rng = np.random.default_rng(23)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 10**6, 14_000)), "en", "s", 0) for i in range(90)]
+    assert sum(len(r[1]) for r in rows) < 10 << 20
+    index = decontamination.build_index(docs(spark, rows).coalesce(1))
+    texts = {r[0]: len(r[1]) for r in rows}
+    held = [sum(texts[i] for i in r["doc_ids"]) for r in index.select("doc_ids").collect()]
+    assert sum(held) == sum(texts.values()) and max(held) <= 2 << 20
+    groups = [pq.ParquetFile(f).metadata.row_group(k) for f in glob.glob(f"{path}/*.parquet") for k in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert len(groups) >= 3 and max(g.num_rows for g in groups) <= 2 and sum(g.num_rows for g in groups) == len(held)
+    monkeypatch.undo()
+    got = decontamination.contamination(docs(spark, rows[:3]), spark.createDataFrame([("x", rows[1][1][:200])], "item_id string, text string"))
+    assert [(r["doc_id"], r["n_words"], r["contaminated"]) for r in got.orderBy("doc_id").collect()] == [(0, 14_000, False), (1, 14_000, True), (2, 14_000, False)]
+
+
+@pytest.mark.parametrize("size", [1, 7, 10**6])
+def test_texts_are_cut_alike_whatever_is_cut_at_once(monkeypatch, size):
+    texts = pa.array(["x, y", "One two. three", None, "", ".", "a b\nc", " ", "É\x00 z.z", "tail"]).slice(1)
+    want = [(w, i, b) for i, t in enumerate(texts.to_pylist()) for w, b in re_words(t or "")]
+    monkeypatch.setattr(wordarrays, "SPLIT_BYTES", size, raising=False)
+    got = wordarrays.split(texts, collocations.PIECES)
+    assert list(zip([w.decode() for w in got.words.to_pylist()], got.text.tolist(), got.begins.tolist())) == want and got.texts == 8
+    none = wordarrays.split(texts[:0], collocations.PIECES)
+    assert len(none.words) == len(none.text) == none.texts == 0
+
+
+def re_words(text):
+    for piece in re.split("[.,;:!?\n-\r]", text.translate(LOWER)):
+        for k, word in enumerate(re.findall("[^ \t]+", piece)):
+            yield word, not k
+
+
 def test_proximity_matches(spark):
     rows = [(1, "alpha beta gamma"), (2, "alpha x beta gamma"), (3, "alpha gamma beta"), (4, "alpha x x x beta gamma"), (5, "beta alpha")]
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
