@@ -36,6 +36,8 @@ from .wordarrays import byte_classes, column, segments, split
 LEAST, TOP, LONGEST = 100, 2000, 5
 PIECES = byte_classes(breaks=".,;:!?\n\x0b\x0c\r", blanks=" \t")
 SHARD_BYTES, FAN = 8 << 20, 32
+#: Bytes of an Arrow batch (a larger row comes alone).
+BATCH = 4 << 20
 #: Words of the documents to a cell, and candidates whose parts are looked up or written at once.
 CELL, CANDIDATES = 1 << 20, 1 << 14
 SHARDS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("tokens", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
@@ -186,7 +188,7 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     """(words: id, lang, word, count of the frequent ones; cells: cell, packed: all frequent phrases of one to
     five words; totals: lang, n; the bounds of the cells)."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH)
     shards = read_shards(docs)
     each = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "w")).select("shard", "lang", "i", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
     totals = each.groupBy("lang").agg(F.sum("count").alias("n"))

@@ -8,8 +8,8 @@ from functools import cached_property
 
 import numpy as np
 
-#: Rows that are summed together, unless those that they are added to are more.
-PORTION = 1 << 19
+#: Rows that are added at once, or half as many as those that they are added to, if that is more.
+PORTION = 1 << 18
 
 
 def _runs(changed: np.ndarray) -> np.ndarray:
@@ -19,10 +19,12 @@ def _runs(changed: np.ndarray) -> np.ndarray:
 def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows in order, with the sums of their counts."""
     order = np.lexsort(grams.T[::-1])
-    grams, counts = grams[order], counts[order]
-    first = np.ones(len(grams), bool)
-    first[1:] = (grams[1:] != grams[:-1]).any(axis=1)
-    return grams[first], np.add.reduceat(counts, np.flatnonzero(first)) if len(grams) else counts
+    first = np.zeros(len(grams), bool)
+    first[:1] = True
+    for column in grams.T:
+        column = column[order]
+        first[1:] |= column[1:] != column[:-1]
+    return grams[order[first]], np.add.reduceat(counts[order], np.flatnonzero(first)) if len(grams) else counts
 
 
 def _added(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +166,7 @@ class Transducer:
     @staticmethod
     def united(parts: Iterable["Transducer"], least: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """The phrases of all parts in order, with their summed counts, of at least ``least``. One part is taken
-        after another and summed up by portions, so never more than about twice the phrases of the sum are held."""
+        after another and summed up by portions, so beside the sum only a portion or half as many phrases are held."""
         held, size, most = [], 0, PORTION
         for part in parts:
             held.append(part.rows())
@@ -172,7 +174,7 @@ class Transducer:
             if size >= most and len(held) > 1:
                 held = [_added(held)]
                 size = len(held[0][1])
-                most = size + max(PORTION, size)
+                most = size + max(PORTION, size // 2)
         if not held:
             return np.zeros((0, 1), np.int64), np.zeros(0, np.int64)
         grams, counts = _added(held)

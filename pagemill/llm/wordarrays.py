@@ -73,7 +73,7 @@ def _cut(raw: np.ndarray, bounds: np.ndarray, number: int, classes: np.ndarray)
     ends = np.searchsorted(np.flatnonzero(kind == 2), at)  # piece ends before each word
     begins = np.ones(len(at), bool)
     begins[1:] = (text[1:] != text[:-1]) | (ends[1:] != ends[:-1])
-    return raw[inside], stop - at + 1, text + number, begins
+    return raw[inside], (stop - at + 1).astype(np.int32), (text + number).astype(np.int32), begins
 
 
 def segments(batches: Iterator[pa.RecordBatch], column: str, limit: int = SEGMENT_BYTES) -> Iterator[pa.Table]:
